@@ -70,33 +70,39 @@ def contamination(docs: DataFrame, benchmark: DataFrame, length: int = 10, shing
         for p in parts[1:]:
             placed = placed.unionByName(p)
         placed = stored(placed, "placed")
-    empty = F.array().cast("array<struct<start:int,size:int,window:string>>")
+    counted = base.select("doc_id", "same", "kind", F.size(words_of(F.col("text"))).cast("long").alias("n_words"))
+    none = F.array().cast("array<string>")
     if placed is None:
-        joined = base.withColumn("found", empty)
+        return counted.select("doc_id", "n_words", *_reported(F.lit(0).cast("long"), none))
+    # one pass: where documents hold any benchmark shingle
+    words = base.select("same", "kind", words_of(F.col("text")).alias("words"))
+    if len(keys) == 1:
+        at = words.select("same", "kind", F.posexplode(_shingles(F.col("words"), keys[0])).alias("pos", "key"))
     else:
-        # one pass: where documents hold any benchmark shingle
-        words = base.select("same", "kind", words_of(F.col("text")).alias("words"))
-        hashes = F.concat(*[F.transform(_shingles(F.col("words"), k), lambda h, i: F.struct(h.alias("key"), i.alias("pos"))) for k in keys]) if len(keys) > 1 else None
-        if hashes is None:
-            at = words.select("same", "kind", F.posexplode(_shingles(F.col("words"), keys[0])).alias("pos", "key"))
-        else:
-            at = words.select("same", "kind", F.explode(hashes).alias("h")).select("same", "kind", F.col("h.pos").alias("pos"), F.col("h.key").alias("key"))
-        matches = stored(at.join(_small(placed.select("key").distinct()), "key"), "matches")
-        # rarity order: the window's shingle with the fewest matches; none at all means that no document holds the window
-        seen = matches.groupBy("key").agg(F.count("*").alias("n"))
-        ranked = placed.join(seen, "key", "left").withColumn("rank", F.row_number().over(Window.partitionBy("window").orderBy(F.coalesce("n", F.lit(0)), "key", "place")))
-        prefix = stored(ranked.where("rank = 1 and n > 0").select("key", "size", "window", "place"), "prefix")
-        candidates = matches.join(_small(prefix), "key").withColumn("start", F.col("pos") - F.col("place")).where("start >= 0")
-        # distinct places of one document: bounded by its words
-        grouped = stored(candidates.groupBy("same", "kind").agg(F.collect_set(F.struct("start", "size", "window")).alias("found")), "candidates")
-        joined = base.join(grouped, ["same", "kind"], "left")
+        hashes = F.concat(*[F.transform(_shingles(F.col("words"), k), lambda h, i: F.struct(h.alias("key"), i.alias("pos"))) for k in keys])
+        at = words.select("same", "kind", F.explode(hashes).alias("h")).select("same", "kind", F.col("h.pos").alias("pos"), F.col("h.key").alias("key"))
+    matches = stored(at.join(_small(placed.select("key").distinct()), "key"), "matches")
+    # rarity order: the window's shingle with the fewest matches; none at all means that no document holds the window
+    seen = matches.groupBy("key").agg(F.count("*").alias("n"))
+    ranked = placed.join(seen, "key", "left").withColumn("rank", F.row_number().over(Window.partitionBy("window").orderBy(F.coalesce("n", F.lit(0)), "key", "place")))
+    prefix = stored(ranked.where("rank = 1 and n > 0").select("key", "size", "window", "place"), "prefix")
+    candidates = matches.join(_small(prefix), "key").withColumn("start", F.col("pos") - F.col("place")).where("start >= 0")
+    # distinct places of one document: bounded by its words
+    grouped = stored(candidates.groupBy("same", "kind").agg(F.collect_set(F.struct("start", "size", "window")).alias("found")), "candidates")
+    # only texts with candidates move; all others are just counted
+    texts = base.select("same", "kind", "text").join(_small(grouped.select("same", "kind")), ["same", "kind"], "left_semi")
+    joined = texts.join(grouped, ["same", "kind"]).withColumn("words", words_of(F.col("text")))
     held = F.filter("found", lambda c: (c["start"] + c["size"] <= F.size("words")) & (F.array_join(F.slice("words", c["start"] + 1, c["size"]), " ") == c["window"]))
-    checked = joined.withColumn("words", words_of(F.col("text"))).withColumn("held", F.when(F.col("found").isNotNull(), held).otherwise(empty))
+    checked = joined.select("same", "kind", held.alias("held")).where(F.size("held") > 0)
     places = F.flatten(F.transform("held", lambda c: F.sequence(c["start"], c["start"] + c["size"] - 1)))
-    result = stored(checked.select("doc_id", "same", "kind", F.size("words").cast("long").alias("n_words"), F.size(F.array_distinct(places)).cast("long").alias("n_hit"), F.array_distinct(F.transform("held", lambda c: c["window"])).alias("windows")), "hits")
-    of = result.where(F.size("windows") > 0).select("same", "kind", F.explode("windows").alias("window")).join(_small(items.select("item", "window")), "window")
+    per_row = checked.select("same", "kind", F.size(F.array_distinct(places)).cast("long").alias("n_hit"), F.array_distinct(F.transform("held", lambda c: c["window"])).alias("windows"))
+    hits = stored(per_row.groupBy("same", "kind").agg(F.first("n_hit").alias("n_hit"), F.first("windows").alias("windows")), "hits")
+    of = hits.select("same", "kind", F.explode("windows").alias("window")).join(_small(items.select("item", "window")), "window")
     named = of.groupBy("same", "kind").agg(F.sort_array(F.collect_set("item")).alias("ids"))
-    ids = F.coalesce("ids", F.array().cast("array<string>"))
-    return result.join(named, ["same", "kind"], "left").select(
-        "doc_id", "n_words", "n_hit", F.size(ids).cast("long").alias("n_items"), F.sha2(F.array_join(ids, ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated")
-    )
+    told = stored(hits.select("same", "kind", "n_hit").join(named, ["same", "kind"]), "told")
+    result = counted.join(told, ["same", "kind"], "left")
+    return result.select("doc_id", "n_words", *_reported(F.coalesce("n_hit", F.lit(0)).cast("long"), F.coalesce("ids", none)))
+
+
+def _reported(n_hit: Column, ids: Column) -> list[Column]:
+    return [n_hit.alias("n_hit"), F.size(ids).cast("long").alias("n_items"), F.sha2(F.array_join(ids, ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated")]
