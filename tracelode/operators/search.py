@@ -99,17 +99,23 @@ def _bm25(scored: DataFrame, corpus: DataFrame, phrases: int) -> DataFrame:
     return joined.withColumn("score", score)
 
 
-def _phrase_at(tokens: list[str], prefix: bool):
-    """Whether a phrase starts at a place of column tokens."""
-
-    def hit(at: Column) -> Column:
+def _phrase_count(tokens: list[str], prefix: bool) -> Column:
+    """How often a phrase occurs in column tokens. Shifted copies are zipped, so that the lambda sees one element and never
+    the column, which the optimizer would otherwise compute again for every element."""
+    words = F.col("tokens")
+    last = len(tokens) - 1
+    same = lambda x, j: F.startswith(x, F.lit(tokens[j])) if prefix and j == last else x == tokens[j]
+    if not last:
+        return F.size(F.filter(words, lambda x: same(x, 0)))
+    shifted = [F.slice(words, j + 1, F.greatest(F.size(words), F.lit(1))).alias(f"t{j}") for j in range(len(tokens))]
+
+    def hit(z: Column) -> Column:
         ok = F.lit(True)
-        for j, t in enumerate(tokens):
-            x = F.get(F.col("tokens"), at + j)
-            ok = ok & (F.startswith(x, F.lit(t)) if prefix and j == len(tokens) - 1 else x == t)
+        for j in range(len(tokens)):
+            ok = ok & same(z[f"t{j}"], j)
         return F.coalesce(ok, F.lit(False))
 
-    return hit
+    return F.size(F.filter(F.arrays_zip(*shifted), hit))
 
 
 def search_prose(items: DataFrame, query: str, stopwords: set[str] = frozenset(), stemmed: bool = True, prefix: bool = True) -> DataFrame:
@@ -120,8 +126,7 @@ def search_prose(items: DataFrame, query: str, stopwords: set[str] = frozenset()
     rows = rows.withColumn("dl", F.size("tokens"))
     phrases = query_phrases(query, set(stopwords), stemmed, prefix)
     for i, (tokens, pre) in enumerate(phrases):
-        places = F.filter(F.sequence(F.lit(0), F.col("dl") - 1), _phrase_at(tokens, pre))
-        rows = rows.withColumn(f"tf_{i}", F.when(F.col("dl") > 0, F.size(places)).otherwise(0))
+        rows = rows.withColumn(f"tf_{i}", _phrase_count(tokens, pre))
     return _bm25(rows, rows, len(phrases)).drop("tokens", "dl", "n_docs", "avgdl", *[f"{x}_{i}" for x in ("tf", "df") for i in range(len(phrases))])
 
 
