@@ -6,6 +6,7 @@ import atexit
 import gc
 import shutil
 import tempfile
+import time
 import uuid
 
 import numpy as np
@@ -49,8 +50,10 @@ def stored(df: DataFrame, name: str = "t") -> DataFrame:
 
 def release(spark: SparkSession) -> None:
     """Let Spark delete shuffle files of finished plans now and not at some later collection."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # the second collection finds what the first one's finalizers let go
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def pack(values: np.ndarray) -> bytes:
@@ -59,3 +62,15 @@ def pack(values: np.ndarray) -> bytes:
 
 def unpack(blob: bytes, dtype) -> np.ndarray:
     return np.frombuffer(zstandard.decompress(blob), dtype=dtype)
+
+
+def numbered(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values, ascending, and each value's place among them as 32-bit numbers; np.unique in half the memory."""
+    order = np.argsort(values, kind="stable")
+    ordered = values[order]
+    new = np.empty(len(values), bool)
+    new[:1] = True
+    np.not_equal(ordered[1:], ordered[:-1], out=new[1:])
+    places = np.empty(len(values), np.int32)
+    places[order] = np.cumsum(new, dtype=np.int32) - 1
+    return ordered[new], places

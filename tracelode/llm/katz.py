@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import crc_mod, pack, release, scratch, unpack
+from ._common import crc_mod, numbered, pack, release, scratch, unpack
 
 #: Both the context before a text's first word and the token after its last.
 EDGE = np.uint64(0x9AE16A3B2F90404F)
@@ -62,7 +62,7 @@ def good_turing(n: dict[int, int], least: int = 1) -> tuple[float, ...]:
 
 class _Hashes(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
+        if len(self) > 200_000:
             self.clear()
         h = self[word] = xxhash.xxh64_intdigest(word)
         return h
@@ -83,14 +83,17 @@ class Block:
 
     def pairs(self) -> tuple[np.ndarray, np.ndarray]:
         """Distinct (context, word) keys, ascending, and each token's place among them."""
-        return pair_keys(self.local, self.ends, self.words)
+        return pair_keys(self.local, self.ends, len(self.words), int(np.searchsorted(self.words, EDGE)))
 
 
-def pair_keys(local: np.ndarray, ends: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    before = np.empty_like(local)
-    before[1:] = local[:-1]
-    before[np.append(0, ends[:-1])] = np.searchsorted(words, EDGE)
-    return np.unique(before.astype(np.int64) * len(words) + local, return_inverse=True)
+def pair_keys(local: np.ndarray, ends: np.ndarray, words: int, edge: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys context * words + word of tokens given by their places among `words` distinct ones; `edge` is EDGE's place."""
+    keys = np.empty(len(local), np.int64)
+    keys[1:] = local[:-1]
+    keys[np.append(0, ends[:-1])] = edge
+    keys *= words
+    keys += local
+    return numbered(keys)
 
 
 def blocks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[Block]:
@@ -100,8 +103,10 @@ def blocks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[Block]:
 
     def closed() -> Block:
         ends = np.cumsum([len(p) for p in parts])
-        words, local = np.unique(np.concatenate(parts), return_inverse=True)
-        return Block(number, list(ids), np.array(flags, bool), np.array(held, bool), ends, words, local.astype(np.int32))
+        joined = np.concatenate(parts)
+        parts.clear()
+        words, local = numbered(joined)
+        return Block(number, list(ids), np.array(flags, bool), np.array(held, bool), ends, words, local)
 
     for batch in batches:
         for at in range(0, batch.num_rows, 500):
@@ -234,10 +239,7 @@ def _scored(totals: Totals):
         weight, count, pair = (np.concatenate([unpack(x, t) for x in replies.column(c).to_pylist()]) for c, t in (("weights", np.float64), ("y", np.int64), ("z", np.uint32)))
         row = tokens.slice(0, 1).to_pylist()[0]
         ends, local, n = unpack(row["ends"], np.int64), unpack(row["local"], np.int32), row["words"]
-        before = np.empty_like(local)
-        before[1:] = local[:-1]
-        before[np.append(0, ends[:-1])] = row["edge"]
-        keys, of = np.unique(before.astype(np.int64) * n + local, return_inverse=True)
+        keys, of = pair_keys(local, ends, n, row["edge"])
         context, word = np.divmod(keys, n)
         low = np.log10(totals.word(count))
         c = pair.astype(np.int64)
