@@ -126,7 +126,8 @@ def _cells(base: DataFrame, cells: int) -> Column:
     lower = _tree(F.col("key"), inner, 0, len(inner))
     edges = F.array(*[F.lit(b) for b in bounds])
     start, stop = F.element_at(edges, lower + 1), F.element_at(edges, lower + 2)
-    within = F.floor((F.col("key") - start).cast("double") / F.greatest(stop - start, F.lit(1)).cast("double") * fine)
+    start, stop = start.cast("double"), stop.cast("double")  # the key of a null id is far from all others
+    within = F.floor((F.col("key").cast("double") - start) / F.greatest(stop - start, F.lit(1.0)) * fine)
     return (lower * fine + F.least(F.greatest(within, F.lit(0)), F.lit(fine - 1))).cast("int")
 
 

@@ -131,12 +131,15 @@ def fit(positives: np.ndarray, unlabelled: np.ndarray, steps: int = 1500, seed:
         return Network(np.zeros(FEATURES), np.ones(FEATURES), np.zeros((FEATURES, 1)), np.zeros(1), np.zeros(1), 0.0, 0.5)
     mean = unlabelled.mean(0)
     scale = np.maximum(unlabelled.std(0), 1e-3)
-    order = np.random.default_rng(seed).permutation(len(positives))
+    rng = np.random.default_rng(seed)
+    order, unlabelled = rng.permutation(len(positives)), unlabelled[rng.permutation(len(unlabelled))]
     aside = order[: len(positives) // 5]
     p, u = (np.clip((x - mean) / scale, -8, 8) for x in (positives[order[len(aside) :]], unlabelled))
-    first = _fit(p, u, None, steps // 2, seed)
+    first = _fit(p, u[: len(u) // 2], None, steps // 2, seed)
     against = lambda x: np.maximum(x @ first[0] + first[1], 0) @ first[2] + first[3]
-    prior = best_bin_prior(against(p), against(u))
+    # rows that this fit has not seen: it remembers a small sample, and would take the other positives for negatives
+    fresh = np.clip((positives[aside] - mean) / scale, -8, 8) if len(aside) else p
+    prior = best_bin_prior(against(fresh), against(u[len(u) // 2 :]))
     w1, b1, w2, b2 = _fit(p, u, prior, steps, seed + 1)
     network = Network(mean, scale, w1, b1, w2, float(b2[0]), prior)
     if not len(aside):
