@@ -1,0 +1,112 @@
+"""The engine against DuckDB, its readers, store and algorithms."""
+
+import json
+import os
+import random
+import sqlite3
+from itertools import combinations
+
+import duckdb
+import pytest
+
+from tracelode.functions.chunking import chunk, count
+from tracelode.functions.porter import stem
+from tracelode.functions.projects import Project, identify
+from tracelode.operators import mining, search
+from tracelode.operators.store import Store
+from tracelode.plans import catalog
+from tracelode.sources import readers
+from tracelode.sources.discover import InputDefinition, discover, glob_regex
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="module")
+def duck():
+    con = duckdb.connect()
+    for name in os.listdir(SF):
+        con.execute(f"CREATE VIEW {name.split('.')[0]} AS SELECT * FROM '{SF}/{name}'")
+    return con
+
+
+def rows(df):
+    columns = sorted(df.columns)
+    show = lambda v: "None" if v is None or v != v else str(round(v, 9)) if isinstance(v, float) else str(v)
+    return sorted(tuple(show(v) for v in r) for r in df[columns].astype(object).where(df[columns].notna(), None).itertuples(index=False))
+
+
+@pytest.mark.parametrize("name", sorted(catalog.ORACLE_SQL))
+def test_query_equals_sql(spark, duck, name):
+    assert rows(catalog.QUERIES[name](spark, SF).toPandas()) == rows(duck.execute(catalog.ORACLE_SQL[name]).df())
+
+
+def test_prefix_span_equals_brute_force(spark):
+    rng = random.Random(42)
+    seqs = [[rng.choice("ABCD") for _ in range(rng.randint(1, 6))] for _ in range(8)]
+    want = {}
+    for s in seqs:
+        for p in {c for n in (2, 3) for c in combinations(s, n)}:
+            want[" ".join(p)] = want.get(" ".join(p), 0) + 1
+    got = mining.prefix_span(spark.createDataFrame([(s,) for s in seqs], "seq array<string>"), 3, 2, 3).collect()
+    assert {r["items"]: r["support"] for r in got} == {k: v for k, v in want.items() if v >= 3}
+
+
+def test_small_functions():
+    assert [stem(w) for w in ("caresses", "ponies", "relational", "hopping", "falling", "happy")] == ["caress", "poni", "relat", "hop", "fall", "happi"]
+    assert all(count(c) <= 12 for c in chunk("One two three. " * 30, 10)) and chunk("  ", 5) == [] and chunk("a b", 5) == ["a b"]
+    assert identify("/x/shop", [Project("op", suffixes=("op",))]) == "shop" and identify("/home/a/work/x", [Project("w", roots=("/home/a/work",))]) == "w"
+    assert glob_regex("**/*.jsonl").match("a/b/c.jsonl") and not glob_regex("*.jsonl").match("a/b.jsonl")
+    with pytest.raises(ValueError):
+        search.SearchRequest(" ")
+
+
+def test_ingest_search_purge_and_recover(spark, tmp_path):
+    folder = tmp_path / "in"
+    (folder / "subagents").mkdir(parents=True)
+    record = lambda **k: json.dumps(k)
+    lines = [
+        record(uuid="u1", timestamp="2024-01-01T10:00:00Z", cwd="/w/app", type="user", message={"role": "user", "content": "please <caveat>x</caveat> run the tests"}),
+        record(uuid="u2", timestamp="2024-01-01T10:01:00Z", type="assistant", message={"role": "assistant", "content": [{"type": "text", "text": "ok"}, {"type": "tool_use", "id": "t", "name": "Bash", "input": {"command": "A=1 pytest -q"}}]}),
+        record(uuid="u3", timestamp="2024-02-01T10:02:00Z", type="user", message={"role": "user", "content": [{"type": "tool_result", "tool_use_id": "t", "is_error": True, "content": "line 1\nerror: exit code 2 at /tmp/x"}]}),
+        record(uuid="u4", type="progress", message={"role": "user", "content": "noise"}), "not json", "",
+    ]
+    (folder / "a.jsonl").write_text("\n".join(lines))
+    (folder / "subagents" / "b.jsonl").write_text(lines[0])
+    found = discover(InputDefinition("x", roots=[str(folder)], exclude=["**/subagents/**", "subagents/**"]))
+    assert [os.path.basename(p) for p in found] == ["a.jsonl"]
+    messages = readers.reader_for("")(spark, found)
+    got = messages.orderBy("ordinal").collect()
+    assert [(r["role"], r["content_type"], r["text"]) for r in got][:3] == [("user", "text", "please run the tests"), ("assistant", "text", "ok"), ("assistant", "tool", "Bash command=A=1 pytest -q")]
+    assert (got[3]["tool_name"], got[3]["command_head"], got[3]["is_error"], got[3]["exit_code"]) == ("Bash", "pytest", True, 2)
+    files = spark.createDataFrame([(found[0], "h", 1, None)], "path string, hash string, file_size bigint, file_mtime timestamp")
+    store = Store(spark, str(tmp_path / "store"))
+    for _ in range(2):  # again: nothing is added
+        store.ingest(messages, files)
+    assert store.table("items").count() == 4 and store.table("template_matches").count() >= 1
+    assert {r["tag"] for r in store.table("tags").collect()} >= {"testing", "debugging"}
+    hits = search.search(store.table("items"), search.SearchRequest("tests", content_type="text")).collect()
+    assert [h["text"] for h in hits] == ["please run the tests"]
+    store.annotate("note", "a", uuid="u1")
+    store.annotate("note", "b", uuid="u1")
+    assert [r["label"] for r in store.table("annotations").collect()] == ["b"]
+    other = Store(spark, str(tmp_path / "other"))
+    other.ingest(messages, files)
+    assert store.purge("2024-01-15") == 3 and store.table("items").count() == 1
+    with pytest.raises(LookupError):
+        store.annotate("note", "c", uuid="u1")
+    assert store.recover([str(tmp_path / "other")])["conflicts"] == 0
+    assert store.table("items").count() == 4 and store.validate()["missing"] == []  # purge writes all tables
+
+
+def test_sqlite_and_markdown(spark, tmp_path):
+    db = sqlite3.connect(tmp_path / "s.db")
+    db.executescript("CREATE TABLE message(id, session_id, data, time_created, time_updated); CREATE TABLE part(id, message_id, data)")
+    db.execute("INSERT INTO message VALUES ('m', 's', '{\"role\":\"user\"}', 1704067200000, 5)")
+    for i, p in enumerate([{"type": "text", "text": "hello"}, {"type": "text", "text": "there"}, {"type": "tool", "tool": "Read", "state": {"input": {"f": "x"}, "output": "done"}}]):
+        db.execute("INSERT INTO part VALUES (?, 'm', ?)", (f"p{i}", json.dumps(p)))
+    db.commit()
+    got = readers.opencode(spark, [str(tmp_path / "s.db")]).orderBy("ordinal").collect()
+    assert [r["text"] for r in got] == ["hello there", "Read f=x", "done"] and readers.watermark(str(tmp_path / "s.db")) != "empty"
+    (tmp_path / "n.md").write_text("---\nid: note\n---\nintro\n## One\na\n## Two\nb\n")
+    got = readers.markdown(spark, [str(tmp_path / "n.md")], "rule", True).orderBy("ordinal").collect()
+    assert [(r["id"], r["text"]) for r in got] == [("note-1", "## One\na"), ("note-2", "## Two\nb")]
