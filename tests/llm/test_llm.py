@@ -101,7 +101,7 @@ def test_quality():
     assert np.isfinite(quality.features(None)).all() and quality.fit(good[:0], good).score(good)[0] == 0.5
 
 
-def test_line_dedup(docs, odd, none):
+def test_line_dedup(docs, odd, none, monkeypatch):
     holders, last = collections.Counter(), {}
     strip = " \t\n\x0b\x0c\r"
     key = lambda x: x.strip(strip).encode().lower().decode()
@@ -114,8 +114,10 @@ def test_line_dedup(docs, odd, none):
         lines = (t or "").split("\n")
         kept = [x for x in lines if not (len(key(x)) >= 40 and holders[key(x)] >= 5 and last[key(x)] != i)]
         want[i] = (len(lines), len(lines) - len(kept), "\n".join(kept))
-    got = {r["doc_id"]: (r["n_lines"], r["n_dropped"], r["kept_text"]) for r in line_dedup.dedup_lines(docs).collect()}
-    assert got == want and sum(w[1] for w in want.values()) == 5
+    for rows in (line_dedup.BROADCAST_ROWS, 0):  # with and without a broadcast
+        monkeypatch.setattr(line_dedup, "BROADCAST_ROWS", rows)
+        got = {r["doc_id"]: (r["n_lines"], r["n_dropped"], r["kept_text"]) for r in line_dedup.dedup_lines(docs).collect()}
+        assert got == want and sum(w[1] for w in want.values()) == 5
     assert line_dedup.dedup_lines(odd).count() == 5 and line_dedup.dedup_lines(none).count() == 0
 
 
