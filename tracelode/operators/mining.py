@@ -81,7 +81,7 @@ def prefix_span(seqs: DataFrame, min_support: int, min_length: int = 2, max_leng
     from pyspark.ml.fpm import PrefixSpan
 
     total = seqs.count()
-    if not total:
+    if total < max(1, min_support):  # nothing can have that support, and Spark refuses a share over 1
         return seqs.sparkSession.createDataFrame([], "items string, support bigint")
     boxed = seqs.select(F.transform("seq", lambda x: F.array(x)).alias("sequence"))
     span = PrefixSpan(minSupport=max(0.0, (min_support - 0.5) / total), maxPatternLength=max_length, sequenceCol="sequence")
