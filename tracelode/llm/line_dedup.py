@@ -16,8 +16,6 @@ from pyspark.sql import functions as F
 from ._common import SPACES, lower_ascii, scratch, stored
 
 KEY = ["k1", "k2"]
-#: Bounds of what is sent to all tasks (15 MB were measured for 100,854 rows, so about 50 MB); larger tables are shuffled: rows, and line numbers in all rows.
-BROADCAST_ROWS, BROADCAST_LINES = 300_000, 2_000_000
 
 
 def line_key(line: Column) -> Column:
@@ -79,12 +77,6 @@ def _lines(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n", -1)
 
 
-def _small(df: DataFrame, lines: Column) -> DataFrame:
-    """A stored table, broadcast if its size allows; `lines` counts the line numbers of a row."""
-    got = df.agg(F.count("*").alias("rows"), F.coalesce(F.sum(lines), F.lit(0)).alias("lines")).first()
-    return F.broadcast(df) if got["rows"] <= BROADCAST_ROWS and got["lines"] <= BROADCAST_LINES else df
-
-
 def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, batches: int = 3, fanout: int = 2, keep: list[str] | None = None) -> DataFrame:
     """Drop repeated lines: (doc_id, n_lines, n_dropped, kept_text) and the columns `keep` of docs, one row for each row.
 
@@ -108,9 +100,9 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, batches
         # new keys open an entry; keys that the runs hold already add to theirs when levels are merged
         runs.add(new if b == 0 else new.unionByName(batch.join(new.select(*KEY), KEY, "left_anti")))
     lost = stored(runs.all().where(F.col("docs") >= min_docs).select(*KEY, "last_doc"), "lost")
-    dropped = hashed.join(_small(lost, F.lit(0)), KEY).where(F.col("same") != F.col("last_doc")).groupBy("same", "kind").agg(F.collect_set("line_no").alias("dropped"))
-    # within the bounds no text moves; beyond them each moves once
-    joined = base.join(_small(stored(dropped, "dropped"), F.size("dropped")), ["same", "kind"], "left")
+    dropped = hashed.join(lost.hint("merge"), KEY).where(F.col("same") != F.col("last_doc")).groupBy("same", "kind").agg(F.collect_set("line_no").alias("dropped"))
+    # both tables grow with the input, so neither is broadcast at any size; each text moves once
+    joined = base.join(stored(dropped, "dropped").hint("merge"), ["same", "kind"], "left")
     all_lines = _lines(F.col("text"))
     kept = F.array_except(F.sequence(F.lit(0), F.size(all_lines) - 1), F.col("dropped"))
     kept_text = F.when(F.col("dropped").isNull(), F.coalesce("text", F.lit(""))).otherwise(F.array_join(F.transform(kept, lambda i: F.get(F.col("all_lines"), i)), "\n"))
