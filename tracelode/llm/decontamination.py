@@ -89,9 +89,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, length: int = 10, shing
     candidates = matches.join(_small(prefix), "key").withColumn("start", F.col("pos") - F.col("place")).where("start >= 0")
     # distinct places of one document: bounded by its words
     grouped = stored(candidates.groupBy("same", "kind").agg(F.collect_set(F.struct("start", "size", "window")).alias("found")), "candidates")
-    # only texts with candidates move; all others are just counted
-    texts = base.select("same", "kind", "text").join(_small(grouped.select("same", "kind")), ["same", "kind"], "left_semi")
-    joined = texts.join(grouped, ["same", "kind"]).withColumn("words", words_of(F.col("text")))
+    # candidates grow with the documents, so they are not broadcast at any size; each text moves once
+    joined = base.select("same", "kind", "text").join(grouped.hint("merge"), ["same", "kind"]).withColumn("words", words_of(F.col("text")))
     held = F.filter("found", lambda c: (c["start"] + c["size"] <= F.size("words")) & (F.array_join(F.slice("words", c["start"] + 1, c["size"]), " ") == c["window"]))
     checked = joined.select("same", "kind", held.alias("held")).where(F.size("held") > 0)
     places = F.flatten(F.transform("held", lambda c: F.sequence(c["start"], c["start"] + c["size"] - 1)))
