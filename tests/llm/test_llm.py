@@ -163,6 +163,13 @@ def test_fingerprints(spark, docs, odd, none):
     out = spark.createDataFrame([(t,) for t in texts], "t string").select("t", fingerprint.canonical(fingerprint.F.col("t")).alias("c")).collect()
     assert all(r["c"] == canon(r["t"]) for r in out)
     assert fingerprint.fingerprint_documents(odd).count() == 5 and fingerprint.fingerprint_documents(none).count() == 0
+    table, plain = spark.createDataFrame([("a",), ("A",), ("b",)], "t string"), {}
+    for named in ([], ["of a"], ["x"] * (fingerprint.MOST_COLLIDED + 1)):  # no collisions, one that is named, too many to name
+        named = [plain["a"]] if named == ["of a"] else named
+        found = {r["t"]: r["f"] for r in fingerprint.with_fingerprint(table, "t", "f", named).collect()}
+        plain = plain or found
+        assert found["a"] == found["A"] != found["b"] and all(found[t].startswith(plain[t]) for t in found)
+        assert [len(found[t]) for t in "ab"] == ([32, 32] if not named else [96, 32] if len(named) == 1 else [96, 96])
 
 
 def test_decontamination(spark, docs, odd, none):

@@ -78,6 +78,10 @@ def canonical(text: Column) -> Column:
     return F.trim(F.regexp_replace(folded, "[\\s\\x0B\\x1C-\\x1F\\x85\\xA0\\u1680\\u2000-\\u200A\\u2028\\u2029\\u202F\\u205F\\u3000]+", " "))
 
 
+#: 128-bit collisions that are named one by one in a plan.
+MOST_COLLIDED = 1000
+
+
 def digest(canon: Column) -> Column:
     """32 hex digits: two xxhash64 of independent seeds."""
     halves = [F.lpad(F.hex(h), 16, "0") for h in (F.xxhash64(canon), F.xxhash64(F.lit(0x5BD1E995), canon))]
@@ -100,10 +104,16 @@ def collisions(docs: DataFrame) -> DataFrame:
 
 
 def with_fingerprint(df: DataFrame, text: str, name: str, collided: list[str]) -> DataFrame:
-    """df with the fingerprint of column `text`; the canonical text is computed once a row."""
+    """df with the fingerprint of column `text`; the canonical text is computed once a row.
+
+    Collided digests are lengthened by a sha256 of the canonical text; if there are over MOST_COLLIDED, all are.
+    """
     df = df.withColumn("canon", canonical(F.col(text)))
     fp = digest(F.col("canon"))
-    return df.withColumn(name, F.when(fp.isin(collided), F.concat(fp, F.sha2(F.col("canon"), 256))).otherwise(fp) if collided else fp).drop("canon")
+    if collided:
+        longer = F.concat(fp, F.sha2(F.col("canon"), 256))
+        fp = longer if len(collided) > MOST_COLLIDED else F.when(fp.isin(collided), longer).otherwise(fp)
+    return df.withColumn(name, fp).drop("canon")
 
 
 def _tree(value: Column, bounds: list[int], lo: int, hi: int) -> Column:
@@ -140,7 +150,7 @@ def fingerprint_documents(docs: DataFrame, cells: int | None = None) -> DataFram
     its own next.
     """
     spark = docs.sparkSession
-    doubtful = [r["fp"] for r in collisions(docs).limit(1000).collect()]  # of 128-bit collisions
+    doubtful = [r["fp"] for r in collisions(docs).take(MOST_COLLIDED + 1)]
     cells = cells or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     base = base.withColumn("key", F.coalesce(F.col("doc_id"), F.lit(-(2**63))))
