@@ -28,15 +28,20 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays, the one with the smallest id (operator 5)."""
+    """One document of each group of near copies stays, the one with the smallest id (operator 5).
+
+    Documents without an id stay; so do all rows of an id if one of them is its group's smallest.
+    """
     groups = simhash.near_duplicates(docs)
-    return docs.join(groups.where("doc_id = component_id").select("doc_id"), "doc_id", "left_semi").select(*COLUMNS)
+    gone = groups.groupBy("doc_id").agg(F.max("component_id").alias("kept")).where("kept < doc_id").select("doc_id")
+    return docs.join(gone.hint("merge"), "doc_id", "left_anti").select(*COLUMNS)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with benchmark passages go (operator 7)."""
-    found = decontamination.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return docs.join(found.where("contaminated").select("doc_id"), "doc_id", "left_anti").select(*COLUMNS)
+    """Documents with benchmark passages go (operator 7), by row and text, so null and repeated ids are no exception."""
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    found = decontamination.contamination(docs, benchmark, keep=["text", "lang", "source", "n_chars"])
+    return found.where("not contaminated").select(*COLUMNS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -45,14 +45,15 @@ def windows_of(benchmark: DataFrame, length: int) -> DataFrame:
     return items.select("item", size.alias("size"), "words", F.explode(starts).alias("at")).select("item", "size", F.array_join(F.slice("words", F.col("at") + 1, F.col("size")), " ").alias("window")).distinct()
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, length: int = 10, shingle: int = 3) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, length: int = 10, shingle: int = 3, keep: list[str] | None = None) -> DataFrame:
     """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated), one row for each row of docs.
 
     A window is `length` consecutive words of an item, or a shorter item's all. n_hit counts words inside any occurrence
     of a window; n_items the items with occurring windows; items_sha256 digests their ids as sorted strings, comma-joined. Null texts have no
     words, a null item_id is the empty string, items that share an id are one, and repeated document rows keep theirs.
+    The columns `keep` of docs follow.
     """
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.struct(*(keep or [F.lit(0).alias("none")])).alias("rest"))
     base = base.withColumn("same", F.coalesce(F.col("doc_id"), F.lit(-(2**63)))).withColumn("kind", F.xxhash64("text"))
     items = stored(windows_of(benchmark, length), "windows")
     windows = items.select("size", "window").distinct()
@@ -70,10 +71,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, length: int = 10, shing
         for p in parts[1:]:
             placed = placed.unionByName(p)
         placed = stored(placed, "placed")
-    counted = base.select("doc_id", "same", "kind", F.size(words_of(F.col("text"))).cast("long").alias("n_words"))
+    counted = base.select("doc_id", "same", "kind", "rest", F.size(words_of(F.col("text"))).cast("long").alias("n_words"))
     none = F.array().cast("array<string>")
+    kept = [F.col("rest")[c].alias(c) for c in keep or []]
     if placed is None:
-        return counted.select("doc_id", "n_words", *_reported(F.lit(0).cast("long"), none))
+        return counted.select("doc_id", "n_words", *_reported(F.lit(0).cast("long"), none), *kept)
     # one pass: where documents hold any benchmark shingle
     words = base.select("same", "kind", words_of(F.col("text")).alias("words"))
     if len(keys) == 1:
@@ -99,8 +101,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, length: int = 10, shing
     of = hits.select("same", "kind", F.explode("windows").alias("window")).join(_small(items.select("item", "window")), "window")
     named = of.groupBy("same", "kind").agg(F.sort_array(F.collect_set("item")).alias("ids"))
     told = stored(hits.select("same", "kind", "n_hit").join(named, ["same", "kind"]), "told")
-    result = counted.join(told, ["same", "kind"], "left")
-    return result.select("doc_id", "n_words", *_reported(F.coalesce("n_hit", F.lit(0)).cast("long"), F.coalesce("ids", none)))
+    result = counted.join(told.hint("merge"), ["same", "kind"], "left")
+    return result.select("doc_id", "n_words", *_reported(F.coalesce("n_hit", F.lit(0)).cast("long"), F.coalesce("ids", none)), *kept)
 
 
 def _reported(n_hit: Column, ids: Column) -> list[Column]:
