@@ -138,6 +138,16 @@ def test_simhash(docs, odd, none):
     assert simhash.near_duplicates(odd).count() == 5 and simhash.near_duplicates(none).count() == 0
 
 
+def test_simhash_of_a_text_longer_than_two_chunks():
+    words = [f"{i * 2654435761 % 1_000_003:x}" for i in range(140_003)]
+    digests = np.array([xxhash.xxh64_intdigest(" ".join(words[i : i + 3]).encode(), 42) for i in range(len(words) - 2)], dtype="<u8")
+    for n in range(131_070, len(digests) + 1, 97):  # a lost shingle shows where a bit is near half
+        ones = np.unpackbits(digests[:n].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0)
+        if (abs(2 * ones.astype(int) - n) <= 1).any():
+            break
+    assert simhash.simhash(" ".join(words[: n + 2])) == sum(1 << b for b in range(64) if 2 * int(ones[b]) > n)
+
+
 def test_hot_shards_split_exactly(spark):
     rng = random.Random(1)
     base = [rng.getrandbits(64) for _ in range(3)]

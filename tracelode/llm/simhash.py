@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import reduce
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +37,7 @@ def simhash(text: str | None, width: int = 3, seed: int = 42) -> int:
     digest = xxhash.xxh64_intdigest
     ones, n = np.zeros(BITS, np.int64), len(words) - k + 1
     pairs = zip(starts[:n].tolist(), ends[k - 1 :].tolist(), strict=True)
-    while chunk := [digest(joined[a:b], seed) for (a, b), _ in zip(pairs, range(65536))]:
+    while chunk := [digest(joined[a:b], seed) for a, b in islice(pairs, 65536)]:
         ones += np.unpackbits(np.array(chunk, dtype="<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
 
