@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelode.llm import decontamination, line_dedup, packing, quality, simhash
+from tracelode.llm import decontamination, line_dedup, near_copies, packing, quality
 from tracelode.llm._common import scratch
 from tracelode.llm.queries import tokenizer_path
 
@@ -28,11 +28,12 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays, the one with the smallest id (operator 5).
+    """One document of each group of near copies stays, the one with the smallest id.
 
+    Near copies hold the same five-word shingles to 4/5 or more, which operator 5's three words and two bits mostly miss.
     Documents without an id stay; so do all rows of an id if one of them is its group's smallest.
     """
-    groups = simhash.near_duplicates(docs)
+    groups = near_copies.near_copies(docs)
     gone = groups.groupBy("doc_id").agg(F.max("component_id").alias("kept")).where("kept < doc_id").select("doc_id")
     return docs.join(gone.hint("merge"), "doc_id", "left_anti").select(*COLUMNS)
 

@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from tracelode.llm import chat, decontamination, fingerprint, html_text, katz, line_dedup, packing, quality, simhash, substring_dedup
+from tracelode.llm import chat, decontamination, fingerprint, html_text, katz, line_dedup, near_copies, packing, quality, simhash, substring_dedup
 from tracelode.llm.queries import tokenizer_path
 
 LINE = "This line is long enough to count as a repeated one."
@@ -257,6 +257,38 @@ def test_packing(docs, odd, none):
     assert packing.pack_documents(none, tokenizer_path()).count() == 0
 
 
+def test_near_copies_equal_brute_force(spark):
+    """Edits that operator 5's radius misses, a large group of copies that differ among each other, a shared passage."""
+    import corpus_pipeline
+
+    rng = random.Random(3)
+    fresh = lambda n: [f"v{rng.randrange(5000)}" for _ in range(n)]
+    passage, base, texts = fresh(30), fresh(150), []
+    for _ in range(40):
+        w = [*base]
+        for _ in range(rng.randrange(5)):
+            w[rng.randrange(len(w))] = "edited"
+        texts.append(" ".join(w))
+    for _ in range(30):
+        own = fresh(rng.choice([8, 30, 60, 200])) + passage
+        texts.append(" ".join(own))
+        own[rng.randrange(len(own))] = "Changed"
+        texts.append(" ".join([*own, "tail"]))
+    texts += [None, "", " \n", "a b", "A  b", "a b c", texts[0], texts[45]]
+    sets = []
+    for t in texts:
+        w = (t or "").encode().lower().split()
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))})
+    root, pairs = list(range(len(texts))), [(i, j) for i in range(len(texts)) for j in range(i) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
+    for _ in texts:
+        for i, j in pairs:
+            root[i] = root[j] = min(root[i], root[j])
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(4)
+    assert {r["doc_id"]: r["component_id"] for r in near_copies.near_copies(docs).collect()} == dict(enumerate(root))
+    rows = docs.selectExpr("doc_id", "text", "'x' lang", "'y' source", "1L n_chars")
+    assert {r["doc_id"] for r in corpus_pipeline.drop_near_copies(spark, rows, "").collect()} == set(root)
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
