@@ -75,6 +75,32 @@ def test_katz(docs, odd, none):
     assert katz.score_corpus(odd).count() == 5 and katz.score_corpus(none).count() == 0
 
 
+def test_katz_query_scores_pairs_seen_once(spark, tmp_path):
+    from tracelode.llm import queries
+
+    rows = corpus()
+    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    tokens = {i: [*(t or "").encode().lower().split(), None] for i, t in rows}
+    train = [i for i in tokens if zlib.crc32(str(i).encode()) % 7 != 2]
+    uni = collections.Counter(w for i in train for w in tokens[i])
+    pair = collections.Counter(p for i in train for p in zip([None, *tokens[i]], tokens[i], strict=False))
+    n, by, of = sum(uni.values()), collections.Counter(uni.values()), collections.Counter(pair.values())
+    d1, d2 = (katz.good_turing({r: c[r] for r in range(1, 7)}) for c in (by, of))
+    disc = lambda d, c: (d[c - 1] if c <= 5 else 1) * c
+    unseen = sum((1 - d1[r - 1]) * r * by[r] for r in range(1, 6)) / n
+    p1 = lambda w: disc(d1, uni[w]) / n if w in uni else unseen
+    q, p = collections.Counter(), collections.Counter()
+    for (h, w), c in pair.items():
+        q[h] += disc(d2, c) / uni[h]
+        p[h] += p1(w)
+    alpha = {h: max(1 - q[h], 1e-12) / max(1 - p[h], 1e-12) for h in q}
+    got = {r["doc_id"]: r["score"] for r in queries.op1(spark, str(tmp_path)).collect()}
+    assert any(pair[x] == 1 for i in tokens if i not in train for x in zip([None, *tokens[i]], tokens[i], strict=False))
+    for i, ws in tokens.items():
+        want = sum(math.log10(disc(d2, pair[h, w]) / uni[h] if pair[h, w] else alpha.get(h, 1) * p1(w)) for h, w in zip([None, *ws], ws, strict=False))
+        assert got[i] == pytest.approx(want)
+
+
 def test_substring_dedup(docs, odd, none):
     length, seen, want = 20, set(), {}
     for i, t in corpus():

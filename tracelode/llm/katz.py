@@ -6,7 +6,7 @@ model's tables and answers each block in the order it asked. So a pair crosses t
 holds it and not once for each occurrence, and no vocabulary is gathered anywhere.
 
 Tables, stored in the shared folder and partitioned by kind: `word` (word, count), `pair` (bucket, context, word, count)
-for pairs of at least `min_pair` occurrences, `reply`. Counts up to 5 get Good-Turing discounts. A context's back-off weight
+for pairs of at least `min_pair` occurrences (the query keeps all), `reply`. Counts up to 5 get Good-Turing discounts. A context's back-off weight
 is the mass that its discounts free, divided by the unigram mass of the words it has not stored: one join of pairs with words. Tokens are
 evaluated recursively: the stored pair, or else the back-off weight times the word's discounted probability, or else the
 mass of unseen words.
@@ -240,15 +240,20 @@ def _scored(totals: Totals):
         row = tokens.slice(0, 1).to_pylist()[0]
         ends, local, n = unpack(row["ends"], np.int64), unpack(row["local"], np.int32), row["words"]
         keys, of = pair_keys(local, ends, n, row["edge"])
-        context, word = np.divmod(keys, n)
+        context, word = (x.astype(np.int32) for x in np.divmod(keys, n))
+        del keys
         low = np.log10(totals.word(count))
-        c = pair.astype(np.int64)
+        logs = weight[context]
+        logs += low[word]
+        del word
+        at = np.flatnonzero(pair)
+        c = pair[at].astype(np.int64)
         d = np.array([1.0, *totals.pair_discounts, 1.0])[np.minimum(c, CUT + 1)]
-        high = np.log10(np.where(c > 0, d * c / np.maximum(count[context], 1), 1.0))
-        logs = np.where(c > 0, high, weight[context] + low[word])
+        logs[at] = np.log10(d * c / np.maximum(count[context[at]], 1))
+        del context, at, c, d
         starts = np.append(0, ends[:-1])
         base = np.log10((count + 1) / (totals.tokens + totals.words + 1))
-        sums = [np.add.reduceat(x, starts) for x in (logs[of], base[local], (count[local] > 0).astype(np.int64))]
+        sums = [np.add.reduceat(x[i], starts) for x, i in ((logs, of), (base, local), ((count > 0).astype(np.int64), local))]
         size = len(ends)
         return pa.table(
             {

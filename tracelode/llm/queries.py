@@ -23,7 +23,7 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return katz.score_corpus(_documents(spark, sf_dir))
+    return katz.score_corpus(_documents(spark, sf_dir), min_pair=1)
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
