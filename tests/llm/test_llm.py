@@ -184,28 +184,55 @@ def test_hot_shards_split_exactly(spark):
     assert len({found[s] for s in signed if s in found}) == 3 and all(found[v - (1 << 64) if v >> 63 else v] for v in base if (v - (1 << 64) if v >> 63 else v) in found)
 
 
-def test_fingerprints(spark, docs, odd, none):
-    def canon(t):
-        return " ".join(unicodedata.normalize("NFKC", unicodedata.normalize("NFKC", t or "").casefold()).split())
+def canon(t):
+    return " ".join(unicodedata.normalize("NFKC", unicodedata.normalize("NFKC", t or "").casefold()).split())
 
+
+def test_canonical_text_equals_unicodedata(spark):
+    """Every code point that Unicode assigns, and random sequences of marks, jamo and letters with a final form."""
+    rng = random.Random(11)
+    marks = [chr(c) for c in range(0x300, 0x370)] + ["\u0651", "\u064e", "\u1161", "\u11a8", "\u03c2", "\u03a3", "\u2003", "\x1f"]
+    texts = [f"a{chr(c)} {chr(c)}" for c in range(0x30000) if not 0xD800 <= c < 0xE000 and unicodedata.category(chr(c)) != "Cn"]
+    texts += ["".join(rng.choice("aeoA\xe9\u1100\u03a3\u039f ") + "".join(rng.choices(marks, k=rng.randrange(5))) for _ in range(4)) for _ in range(5000)]
+    texts += ["\u039f\u0394\u039f\u03a3", "\u03bf\u03b4\u03bf\u03c2", "", "  ", "Stra\xdfe", "\ufb01 A\xa0\u2028b"]
+    out = spark.createDataFrame([(t,) for t in texts], "t string").select("t", fingerprint.canonical(fingerprint.F.col("t")).alias("c")).collect()
+    assert [(r["t"], r["c"]) for r in out if r["c"] != canon(r["t"])] == []
+
+
+@pytest.mark.parametrize("digest_bits", [128, 6])  # the few bits make digests of different texts collide
+def test_fingerprints(spark, docs, odd, none, digest_bits):
     rows = corpus()
-    got = {r["doc_id"]: r for r in fingerprint.fingerprint_documents(docs, cells=8).collect()}
+    got = {r["doc_id"]: r for r in fingerprint.fingerprint_documents(docs, cells=8, digest_bits=digest_bits).collect()}
+    prints = {}
     for k, (i, t) in enumerate(rows):
         t, after = t or "", rows[(k + 1) % len(rows)][1] or ""
         edited = t[: len(t) - len(t) // 2] + after[: len(t) // 2]
         assert got[i]["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest() and got[i]["n_chars"] == len(t)
         assert got[i]["near_edited"] == float(canon(t) == canon(edited)) and got[i]["near_next"] == float(canon(t) == canon(after))
-    texts = ["éa ﬁ", "\xe9a fi", "Stra\xdfe", "STRASSE", "Ａb", "ộ", "ộ", "a\xa0 b"]
-    out = spark.createDataFrame([(t,) for t in texts], "t string").select("t", fingerprint.canonical(fingerprint.F.col("t")).alias("c")).collect()
-    assert all(r["c"] == canon(r["t"]) for r in out)
-    assert fingerprint.fingerprint_documents(odd).count() == 5 and fingerprint.fingerprint_documents(none).count() == 0
-    table, plain = spark.createDataFrame([("a",), ("A",), ("b",)], "t string"), {}
-    for named in ([], ["of a"], ["x"] * (fingerprint.MOST_COLLIDED + 1)):  # no collisions, one that is named, too many to name
-        named = [plain["a"]] if named == ["of a"] else named
-        found = {r["t"]: r["f"] for r in fingerprint.with_fingerprint(table, "t", "f", named).collect()}
-        plain = plain or found
-        assert found["a"] == found["A"] != found["b"] and all(found[t].startswith(plain[t]) for t in found)
-        assert [len(found[t]) for t in "ab"] == ([32, 32] if not named else [96, 32] if len(named) == 1 else [96, 96])
+        prints.setdefault(canon(t), set()).add(got[i]["fingerprint"])
+        prints.setdefault(canon(edited), set()).add(got[i]["edited_fingerprint"])
+    assert all(len(p) == 1 for p in prints.values()) and len(set.union(*prints.values())) == len(prints)
+    assert fingerprint.fingerprint_documents(none, digest_bits=digest_bits).count() == 0
+    # null ids first, rows of one id by their texts' hash: values, not only the number of rows
+    order = sorted(((-(2**63) if r["doc_id"] is None else r["doc_id"], r["h"], r["doc_id"], r["t"]) for r in odd.selectExpr("doc_id", "coalesce(text, '') t", "xxhash64(coalesce(text, '')) h").collect()))
+    want = collections.Counter()
+    for k, (_, _, i, t) in enumerate(order):
+        after = order[(k + 1) % len(order)][3]
+        want[i, len(t), hashlib.sha256((t[: len(t) - len(t) // 2] + after[: len(t) // 2]).encode()).hexdigest(), float(t == after)] += 1
+    assert collections.Counter((r["doc_id"], r["n_chars"], r["edited_sha256"], r["near_next"]) for r in fingerprint.fingerprint_documents(odd, digest_bits=digest_bits).collect()) == want
+
+
+def test_fingerprints_of_one_id_are_dealt_to_many_cells(spark):
+    rows = [(7, f"text {i % 50}") for i in range(400)] + [(i, f"other {i}") for i in range(300)] + [(None, "x")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
+    base = df.selectExpr("doc_id", "text", "coalesce(doc_id, -9223372036854775808L) key", "xxhash64(text) tie")
+    placed = base.select("key", "tie", fingerprint._cells(base, 40).alias("cell")).collect()
+    assert len({r["cell"] for r in placed if r["key"] == 7}) > 8
+    ordered = sorted((r["key"], r["tie"], r["cell"]) for r in placed)
+    assert [c for _, _, c in ordered] == sorted(c for _, _, c in ordered)
+    order = sorted((r["key"], r["tie"], r["text"]) for r in base.collect())
+    want = collections.Counter((len(t), float(t == order[(k + 1) % len(order)][2])) for k, (_, _, t) in enumerate(order))
+    assert collections.Counter((r["n_chars"], r["near_next"]) for r in fingerprint.fingerprint_documents(df, cells=40).collect()) == want
 
 
 def test_decontamination(spark, docs, odd, none):

@@ -31,20 +31,22 @@ def crc_mod(key: Column, n: int) -> Column:
 
 
 def scratch(spark: SparkSession) -> str:
-    """A fresh folder below spark.checkpoint.dir; only where that is unset (tests, one machine) a local one."""
+    """A fresh folder below spark.checkpoint.dir; a local one only where that is unset and the master is local."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="tracelode-")
         atexit.register(shutil.rmtree, base, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/tracelode-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str = "t") -> DataFrame:
+def stored(df: DataFrame, name: str = "t", compression: str = "snappy") -> DataFrame:
     """Write df to the shared scratch folder and read it back: lineage is cut and lost executors cost nothing."""
     spark = df.sparkSession
     path = f"{scratch(spark)}/{name}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -1,119 +1,47 @@
 """Document fingerprints: a canonical exact digest, in DataFrame functions only.
 
-The canonical form is NFKC-composed (base letters with their marks, compatibility characters), case-folded and has white
-space folded. Its digest is 128 bits of xxhash. Inside buckets of equal digests the canonical bytes are compared; a
-bucket whose texts differ gets its digests widened by sha-256, so equal fingerprints mean equal canonical texts.
+The canonical form is NFKC, then full case folding, then NFKC again, with white space folded. Spark has no function for the
+first two, but its own class path holds ICU, whose static methods the SQL function java_method calls inside the JVM. The
+digest is 128 bits of xxhash. Inside buckets of equal digests the canonical bytes are compared; a bucket whose texts differ
+gets its digests widened by sha-256, so equal fingerprints mean equal canonical texts.
+
+Each text is made canonical once, and its edited text once. Only members of buckets of two or more are made canonical again,
+to be compared: a bitmap of fixed size tells them from the others without a join, and a wrong positive of the bitmap is a
+bucket of one, which does no harm.
 """
 
 from __future__ import annotations
 
-import unicodedata
-from functools import lru_cache
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._common import stored
 
-
-def _ranges(points: list[int]) -> str:
-    """Regex character ranges of sorted code points."""
-    out, i = [], 0
-    while i < len(points):
-        j = i
-        while j + 1 < len(points) and points[j + 1] == points[j] + 1:
-            j += 1
-        out.append(f"\\x{{{points[i]:X}}}" + (f"-\\x{{{points[j]:X}}}" if j > i else ""))
-        i = j + 1
-    return "".join(out)
-
-
-@lru_cache(1)
-def _tables() -> tuple[str, str, dict[str, str], str]:
-    """By rule, from the Unicode data: characters that map to one other, from and to; clusters and characters that map to
-    several or from several; all characters that NFKC changes, marks included."""
-    one_from, one_to, many, changed = [], [], {}, []
-    for c in range(0x80, 0x30000):
-        if 0xD800 <= c < 0xE000 or 0xAC00 <= c < 0xD7A4 or 0x3400 <= c < 0xA000 or 0x20000 <= c < 0x2A6E0:
-            continue
-        ch = chr(c)
-        to = unicodedata.normalize("NFKC", ch)
-        if ch.casefold() != ch.lower() and ch != "\xdf":  # full case folding beyond lower case; canonical() folds the sharp s
-            to = unicodedata.normalize("NFKC", to.casefold())
-        if to != ch or unicodedata.category(ch)[0] == "M":
-            changed.append(ch)
-        if to != ch:
-            if len(to) == 1:
-                one_from.append(ch)
-                one_to.append(to)
-            else:
-                many[ch] = to
-        step = unicodedata.decomposition(ch)
-        if to == ch and step and step[0] != "<":  # a composed letter: its mark sequences lead to it
-            pair = "".join(chr(int(x, 16)) for x in step.split())
-            if len(pair) > 1:
-                apart = unicodedata.normalize("NFD", ch)
-                many[apart] = ch
-                if len(apart) == 3 and unicodedata.combining(apart[1]) != unicodedata.combining(apart[2]):
-                    many[apart[0] + apart[2] + apart[1]] = ch
-                many[pair] = ch
-    return "".join(one_from), "".join(one_to), many, "".join(changed)
+#: What Unicode calls white space once NFKC has made the other kinds blanks.
+_SPACE = "\\x09-\\x0D\\x1C-\\x1F\\x85\\u1680\\u2028\\u2029"
+#: Bits of the bitmap of shared digests, 32,768 to a row: 8 MB at most.
+BITMAP = 1 << 26
+_ROW = 32_768
 
 
 def canonical(text: Column) -> Column:
-    """Unicode normalised, case- and white-space-folded text. Texts without combining marks or compatibility characters,
-    nearly all, skip the first step by one regex test. Three
-    and more marks out of canonical order keep their order and Hangul given in separate letters stays so. Null: empty."""
-    one_from, one_to, many, changed = _tables()
-    text = F.coalesce(text, F.lit(""))
-    table = F.str_to_map(F.lit("\x01".join(f"{k}\x02{v}" for k, v in many.items())), F.lit("\x01"), F.lit("\x02"))  # folded to a constant
-    plain = F.translate(text, one_from, one_to)
-    multi = _ranges(sorted(ord(k) for k in many if len(k) == 1))
-    parts = F.regexp_extract_all(plain, F.lit(f"(?s)[{multi}]|[^\\p{{M}}{multi}]\\p{{M}}+|[^\\p{{M}}{multi}](?!\\p{{M}})(?:[^\\p{{M}}{multi}](?!\\p{{M}}))*|\\p{{M}}"), F.lit(0))
-    slow = F.array_join(F.transform(parts, lambda g: F.when(F.char_length(g) <= 4, F.coalesce(F.try_element_at(table, g), g)).otherwise(g)), "")
-    # a short character class settles nearly all texts; a look-up of each character settles the others
-    unusual = F.regexp_like(text, F.lit("[^\\x00-\\x7F\\xC0-\\xFF\\u2018-\\u201E\\u2013\\u2014]"))
-    composed = F.when(unusual, F.when(F.char_length(F.translate(text, changed, "")) < F.char_length(text), slow).otherwise(text)).otherwise(text)
-    folded = F.replace(F.lower(composed), F.lit("\xdf"), F.lit("ss"))
-    return F.trim(F.regexp_replace(folded, "[\\s\\x0B\\x1C-\\x1F\\x85\\xA0\\u1680\\u2000-\\u200A\\u2028\\u2029\\u202F\\u205F\\u3000]+", " "))
-
-
-#: 128-bit collisions that are named one by one in a plan.
-MOST_COLLIDED = 1000
-
-
-def digest(canon: Column) -> Column:
-    """32 hex digits: two xxhash64 of independent seeds."""
-    halves = [F.lpad(F.hex(h), 16, "0") for h in (F.xxhash64(canon), F.xxhash64(F.lit(0x5BD1E995), canon))]
-    return F.lower(F.concat(*halves))
+    """Unicode normalised, case- and white-space-folded text; null: empty. Texts of ASCII alone need no tables.
 
-
-def collisions(docs: DataFrame) -> DataFrame:
-    """Digests (column fp) that texts of different canonical bytes share; empty but for a miracle.
-
-    Bucket sizes come first; only buckets of two rows or more have their bytes compared, as a smallest and a largest text
-    for each task, so a bucket of any size costs one row a task.
+    The expression counts as non-deterministic, so Spark computes it where it stands and never twice.
     """
-    prints = docs.select(canonical(F.col("text")).alias("canon")).select(digest(F.col("canon")).alias("fp"))
-    buckets = stored(prints.groupBy("fp").agg(F.count("*").alias("n")).where("n > 1").select("fp"), "buckets")
-    if buckets.count() <= 500_000:  # 32 bytes each
-        buckets = F.broadcast(buckets)
-    members = docs.select(canonical(F.col("text")).alias("canon")).withColumn("fp", digest(F.col("canon"))).join(buckets, "fp", "left_semi")
-    ends = members.groupBy("fp").agg(F.min("canon").alias("low"), F.max("canon").alias("high"))
-    return ends.where("low <> high").select("fp")
-
+    text = F.coalesce(text, F.lit(""))
+    composed = lambda t: F.java_method(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), t, F.lit(True))
+    folded = F.java_method(F.lit("com.ibm.icu.lang.UCharacter"), F.lit("foldCase"), composed(text), F.lit(True))
+    any_case = F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(composed(folded))
+    # single blanks, most white space, match nothing and are not copied one by one
+    return F.trim(F.regexp_replace(any_case, f"[{_SPACE}][{_SPACE} ]*| [{_SPACE} ]+", " "))
 
-def with_fingerprint(df: DataFrame, text: str, name: str, collided: list[str]) -> DataFrame:
-    """df with the fingerprint of column `text`; the canonical text is computed once a row.
 
-    Collided digests are lengthened by a sha256 of the canonical text; if there are over MOST_COLLIDED, all are.
-    """
+def _digested(df: DataFrame, text: str, a: str, b: str, bits: int) -> DataFrame:
+    """df with the digest of column `text` as longs a and b, the lowest `bits` bits of each half."""
     df = df.withColumn("canon", canonical(F.col(text)))
-    fp = digest(F.col("canon"))
-    if collided:
-        longer = F.concat(fp, F.sha2(F.col("canon"), 256))
-        fp = longer if len(collided) > MOST_COLLIDED else F.when(fp.isin(collided), longer).otherwise(fp)
-    return df.withColumn(name, fp).drop("canon")
+    mask = F.lit((1 << bits) - 1 if bits < 64 else -1)
+    return df.withColumns({a: F.xxhash64("canon").bitwiseAND(mask), b: F.xxhash64(F.lit(0x5BD1E995), "canon").bitwiseAND(mask)}).drop("canon")
 
 
 def _tree(value: Column, bounds: list[int], lo: int, hi: int) -> Column:
@@ -125,51 +53,111 @@ def _tree(value: Column, bounds: list[int], lo: int, hi: int) -> Column:
 
 
 def _cells(base: DataFrame, cells: int) -> Column:
-    """A cell number for each id, ascending with it: quantiles cut the ids, equal steps cut between quantiles."""
+    """A cell number for each row, ascending with (key, tie): quantiles cut the keys, equal steps cut between quantiles, and
+    a key that spans quantiles is cut by steps of its ties, which are hashes."""
     coarse = min(128, cells)
-    got = base.agg(F.percentile_approx("key", [i / coarse for i in range(coarse + 1)], 10_000).alias("q")).collect()[0]["q"]
-    bounds = sorted(set(got or [0]))
-    if len(bounds) == 1:
-        return F.lit(0)
-    fine = max(1, -(-cells // (len(bounds) - 1)))
-    inner = bounds[1:-1]
-    lower = _tree(F.col("key"), inner, 0, len(inner))
-    edges = F.array(*[F.lit(b) for b in bounds])
-    start, stop = F.element_at(edges, lower + 1), F.element_at(edges, lower + 2)
-    start, stop = start.cast("double"), stop.cast("double")  # the key of a null id is far from all others
-    within = F.floor((F.col("key").cast("double") - start) / F.greatest(stop - start, F.lit(1.0)) * fine)
-    return (lower * fine + F.least(F.greatest(within, F.lit(0)), F.lit(fine - 1))).cast("int")
-
-
-def fingerprint_documents(docs: DataFrame, cells: int | None = None) -> DataFrame:
+    got = base.agg(F.percentile_approx("key", [i / coarse for i in range(coarse + 1)], 10_000).alias("q")).collect()[0]["q"] or [0]
+    bounds = sorted(set(got))
+    starts, spans, parts, points = [], [], [], []
+    fine = max(1, -(-cells // len(bounds)))
+    for i, b in enumerate(bounds):
+        times = got.count(b)
+        if times > 1:
+            starts.append(b), spans.append(1.0), parts.append(fine * times), points.append(True)
+        if i + 1 < len(bounds) or times == 1:
+            starts.append(b + (times > 1)), spans.append(float(max(1, bounds[min(i + 1, len(bounds) - 1)] - b))), parts.append(fine), points.append(False)
+    firsts = [sum(parts[:i]) for i in range(len(parts))]
+    at = _tree(F.col("key"), starts[1:], 0, len(starts) - 1)
+    pick = lambda values: F.element_at(F.array(*map(F.lit, values)), at + 1)
+    within = F.when(pick(points), F.col("tie").cast("double") / 2.0**64 + 0.5).otherwise((F.col("key").cast("double") - pick([float(s) for s in starts])) / pick(spans))
+    return (pick(firsts) + F.least(F.greatest(F.floor(within * pick(parts)), F.lit(0)), pick(parts) - 1)).cast("int")
+
+
+def _bitmap(values: DataFrame) -> DataFrame:
+    """Column h of values as rows (row, bits) of a bitmap: at most BITMAP / 32,768 rows of 4 KB."""
+    at = F.pmod("h", F.lit(BITMAP))
+    return stored(values.select(F.floor(at / _ROW).cast("int").alias("row"), F.pmod(at, F.lit(_ROW)).alias("bit")).groupBy("row").agg(F.bitmap_construct_agg("bit").alias("bits")), "bitmap")
+
+
+def _in_bitmap(df: DataFrame, h: str, bitmap: DataFrame) -> DataFrame:
+    """Rows of df whose column h may be in the bitmap."""
+    at = F.pmod(df[h], F.lit(BITMAP))
+    bit = F.pmod(at, F.lit(_ROW)).cast("int")
+    byte = F.conv(F.hex(F.substring(bitmap["bits"], F.floor(bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return df.join(F.broadcast(bitmap), (F.floor(at / _ROW).cast("int") == bitmap["row"]) & (F.getbit(byte, F.pmod(bit, F.lit(8))) == 1), "left_semi")
+
+
+def _told(docs: DataFrame, cells: int, bits: int) -> DataFrame:
+    """A row for each row: its digest (a, b), the next document's (na, nb) and the edited text's (ea, eb), with the hashes of
+    the texts that they come from (kind, nkind, ekind)."""
+    spark = docs.sparkSession
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    base = base.withColumn("key", F.coalesce(F.col("doc_id"), F.lit(-(2**63)))).withColumn("tie", F.xxhash64("text"))
+    cell = _cells(base, cells)
+    firsts = stored(base.select("key", "tie", cell.alias("cell")).groupBy("cell").agg(F.min(F.struct("key", "tie")).alias("first")), "firsts")
+    # each cell's first document is copied to the cell before it, that of the first cell to the last
+    order = sorted((r["cell"], *r["first"]) for r in firsts.collect())  # one row for each cell
+    copies = spark.createDataFrame([(key, tie, order[i - 1][0], int(i == 0)) for i, (_, key, tie) in enumerate(order)], "key bigint, tie bigint, cell int, wrap int")
+    borrowed = base.join(F.broadcast(copies), ["key", "tie"]).groupBy("key", "tie", "cell", "wrap").agg(F.first("text").alias("text"))
+    borrowed = borrowed.select(F.lit(None).cast("long").alias("doc_id"), "text", "key", "tie", "cell", "wrap", F.lit(True).alias("copy"))
+    rows = base.select("doc_id", "text", "key", "tie", cell.alias("cell"), F.lit(0).alias("wrap"), F.lit(False).alias("copy")).unionByName(borrowed)
+    rows = _digested(rows, "text", "a", "b", bits)
+    after = Window.partitionBy("cell").orderBy("wrap", "key", "tie", "copy")
+    half = F.floor(F.char_length("text") / 2).cast("int")
+    paired = rows.withColumns({"next_text": F.lead("text").over(after), "na": F.lead("a").over(after), "nb": F.lead("b").over(after), "nkind": F.lead("tie").over(after)}).where(~F.col("copy"))
+    edited = F.concat(F.left(F.col("text"), F.char_length("text") - half), F.left(F.col("next_text"), half))
+    done = paired.select("doc_id", F.char_length("text").cast("long").alias("n_chars"), "a", "b", F.col("tie").alias("kind"), "na", "nb", "nkind", edited.alias("edited"))
+    done = _digested(done, "edited", "ea", "eb", bits)
+    return stored(done.withColumn("ekind", F.xxhash64("edited")).withColumn("edited_sha256", F.sha2("edited", 256)), "told", compression="zstd")
+
+
+def _collided(docs: DataFrame, told: DataFrame, bits: int) -> DataFrame:
+    """(a, b, kind, sha): digests that different canonical texts share, with the sha-256 of each such text; empty but for a miracle.
+
+    Buckets are counted by digests alone. The members of buckets of two or more are then compared as bytes: a smallest and
+    a largest text for each task, so that a bucket of any size costs one row a task.
+    """
+    digests = told.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("ea").alias("a"), F.col("eb").alias("b")))).alias("d")).select("d.*")
+    shared = _bitmap(digests.groupBy("a", "b").agg(F.count("*").alias("n")).where("n > 1").select(F.xxhash64("a", "b").alias("h")))
+    originals = _in_bitmap(told.select("kind", F.xxhash64("a", "b").alias("h")), "h", shared)
+    kinds = _bitmap(originals.select(F.col("kind").alias("h")))
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    again = _in_bitmap(docs.select(text.alias("text"), F.xxhash64(text).alias("kind")), "kind", kinds)
+    edited = _in_bitmap(told.select(F.col("edited").alias("text"), F.col("ekind").alias("kind"), F.xxhash64("ea", "eb").alias("h")), "h", shared).select("text", "kind")
+    members = _digested(again.unionByName(edited).withColumn("canon_text", canonical(F.col("text"))), "canon_text", "a", "b", bits)
+    ends = members.groupBy("a", "b").agg(F.min("canon_text").alias("low"), F.max("canon_text").alias("high"))
+    found = stored(ends.where("low <> high").select("a", "b"), "collided")
+    if found.isEmpty():
+        return found.withColumns({"kind": F.lit(0).cast("long"), "sha": F.lit("")})
+    return stored(members.join(found, ["a", "b"]).select("a", "b", "kind", F.sha2("canon_text", 256).alias("sha")).distinct(), "longer")
+
+
+def _hex(a: str, b: str) -> Column:
+    return F.lower(F.concat(*[F.lpad(F.hex(c), 16, "0") for c in (a, b)]))
+
+
+def fingerprint_documents(docs: DataFrame, cells: int | None = None, digest_bits: int = 128) -> DataFrame:
     """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next), one row for each row.
 
     The edited text has its last floor(n_chars / 2) code points replaced by the first as many (or all) of the next document
     in ascending doc_id; the last document's next is the first. Likeness is 1.0 for equal fingerprints, else 0.0: the digest
     is exact. Null texts are empty. Null ids come first; rows of one id are ordered by a hash of their text. A single row is
-    its own next.
+    its own next; an empty table gives an empty one. Rows equal in id and text share a cell, which is streamed.
+
+    A fingerprint is 32 hex digits; 64 of sha-256 follow where canonical texts differ and their digests do not. Fewer
+    `digest_bits` make that happen on purpose.
     """
     spark = docs.sparkSession
-    doubtful = [r["fp"] for r in collisions(docs).take(MOST_COLLIDED + 1)]
-    cells = cells or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    base = base.withColumn("key", F.coalesce(F.col("doc_id"), F.lit(-(2**63))))
-    cell = _cells(base, cells)
-    firsts = stored(base.select("key", cell.alias("cell")).groupBy("cell").agg(F.min("key").alias("key")), "firsts")
-    # each cell's first document is copied to the cell before it, that of the first cell to the last
-    order = sorted((r["cell"], r["key"]) for r in firsts.collect())  # one row for each cell
-    copies = spark.createDataFrame([(key, order[i - 1][0], int(i == 0)) for i, (_, key) in enumerate(order)], "key bigint, cell int, wrap int")
-    borrowed = base.join(F.broadcast(copies), "key").select("doc_id", "text", "key", "cell", "wrap", F.lit(True).alias("copy"))
-    rows = base.select("doc_id", "text", "key", cell.alias("cell"), F.lit(0).alias("wrap"), F.lit(False).alias("copy")).unionByName(borrowed)
-    rows = with_fingerprint(rows, "text", "fp", doubtful)
-    after = Window.partitionBy("cell").orderBy("wrap", "key", "tie")
-    half = F.floor(F.char_length("text") / 2).cast("int")
-    paired = rows.withColumn("tie", F.xxhash64("text")).withColumns({"next_text": F.lead("text").over(after), "next_fp": F.lead("fp").over(after)}).where(~F.col("copy"))
-    edited = F.concat(F.left(F.col("text"), F.char_length("text") - half), F.left(F.col("next_text"), half))
-    done = paired.select("doc_id", F.char_length("text").cast("long").alias("n_chars"), "fp", "next_fp", edited.alias("edited"))
-    done = with_fingerprint(done, "edited", "edited_fingerprint", doubtful)
+    bits = digest_bits // 2
+    told = _told(docs, cells or 4 * int(spark.conf.get("spark.sql.shuffle.partitions")), bits)
+    longer = _collided(docs, told, bits)
+    columns = {"fingerprint": ("a", "b", "kind"), "edited_fingerprint": ("ea", "eb", "ekind"), "next": ("na", "nb", "nkind")}
+    out = told.drop("edited")
+    if longer.isEmpty():
+        out = out.withColumns({name: _hex(a, b) for name, (a, b, _) in columns.items()})
+    else:
+        for name, (a, b, kind) in columns.items():
+            more = longer.select(F.col("a").alias(a), F.col("b").alias(b), F.col("kind").alias(kind), F.col("sha").alias(f"sha_{name}"))
+            out = out.join(more, [a, b, kind], "left").withColumn(name, F.concat(_hex(a, b), F.coalesce(f"sha_{name}", F.lit(""))))
     like = lambda a, b: F.when(F.col(a) == F.col(b), 1.0).otherwise(0.0)
-    return done.select(
-        "doc_id", "n_chars", F.sha2(F.col("edited"), 256).alias("edited_sha256"), F.col("fp").alias("fingerprint"), "edited_fingerprint",
-        like("fp", "edited_fingerprint").alias("near_edited"), like("fp", "next_fp").alias("near_next"),
-    )
+    return out.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", like("fingerprint", "edited_fingerprint").alias("near_edited"), like("fingerprint", "next").alias("near_next"))
