@@ -115,7 +115,48 @@ def test_substring_dedup(docs, odd, none):
     for size in (40_000, 40):  # the small one splits hot minimisers
         got = substring_dedup.remove_repeats(docs, shard_segments=size).collect()
         assert {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in got} == want
-    assert substring_dedup.remove_repeats(odd, length=3, gram=2).count() == 5 and substring_dedup.remove_repeats(none).count() == 0
+    # null id first; equal rows are one document; rows of one id by their texts' hash
+    kinds = {r["doc_id"]: r["h"] for r in odd.selectExpr("doc_id", "xxhash64(text) h").collect()}
+    assert len(kinds) == 3
+    got = collections.Counter((r["doc_id"], r["n_words"], r["n_removed"], r["kept_text"]) for r in substring_dedup.remove_repeats(odd, length=3, gram=2).collect())
+    assert got == collections.Counter([(None, 3, 0, "a b c"), (1, 0, 0, ""), (1, 0, 0, ""), (1, 4, 3, "d"), (2, 3, 3, "")])
+    assert substring_dedup.remove_repeats(none).count() == 0
+
+
+def test_substring_segments_cover_each_window_once():
+    rng = np.random.default_rng(2)
+    sizes = [0, 5, 19, 20, 21, 300, 0, 90, 20]
+    h = rng.integers(0, 7, sum(sizes)).astype(np.uint64)
+    h[40:300] = 3  # periodic
+    of, minimiser, start, windows = substring_dedup.segments(h, np.cumsum(sizes), 20, 5)
+    seen = sorted((d, s + i) for d, s, n in zip(of.tolist(), start.tolist(), windows.tolist(), strict=True) for i in range(n))
+    assert seen == [(d, i) for d, n in enumerate(sizes) for i in range(n - 19)] and windows.max() <= 32
+    by = {}
+    begin = np.concatenate(([0], np.cumsum(sizes)))
+    for d, m, s, n in zip(of.tolist(), minimiser.tolist(), start.tolist(), windows.tolist(), strict=True):
+        for i in range(s, s + n):
+            by.setdefault(h[begin[d] + i : begin[d] + i + 20].tobytes(), set()).add(m)
+    assert all(len(x) == 1 for x in by.values())  # equal windows meet
+
+
+def test_substring_dedup_of_hostile_texts(spark):
+    """A passage in most rows, periodic texts, texts that contain each other, one very long text."""
+    rng = random.Random(4)
+    passage = [f"p{i}" for i in range(30)]
+    texts = [" ".join([*rng.choices(["a", "b", "c", "d"], k=rng.randrange(40)), *passage, *rng.choices(["a", "b"], k=rng.randrange(30))]) for _ in range(120)]
+    texts += ["x y " * k for k in (5, 40, 41)] + [" ".join(passage * 3), "same " * 5000, " ".join(f"n{i % 977}" for i in range(60_000))]
+    seen, want = set(), {}
+    for i, t in enumerate(texts):
+        words, gone = t.split(), set()
+        for s in range(len(words) - 19):
+            w = tuple(words[s : s + 20])
+            if w in seen:
+                gone.update(range(s, s + 20))
+            seen.add(w)
+        want[i] = (len(words), len(gone))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(6)
+    for size in (40_000, 50):
+        assert {r["doc_id"]: (r["n_words"], r["n_removed"]) for r in substring_dedup.remove_repeats(docs, shard_segments=size).collect()} == want
 
 
 def test_quality():

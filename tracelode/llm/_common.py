@@ -3,10 +3,8 @@
 from __future__ import annotations
 
 import atexit
-import gc
 import shutil
 import tempfile
-import time
 import uuid
 
 import numpy as np
@@ -42,20 +40,21 @@ def scratch(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/tracelode-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str = "t", compression: str = "snappy") -> DataFrame:
-    """Write df to the shared scratch folder and read it back: lineage is cut and lost executors cost nothing."""
-    spark = df.sparkSession
-    path = f"{scratch(spark)}/{name}"
-    df.write.parquet(path, compression=compression)
-    return spark.read.schema(df.schema).parquet(path)
+#: Has Spark delete the shuffle files of an execution when it ends.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark delete shuffle files of finished plans now and not at some later collection."""
-    for _ in range(2):  # the second collection finds what the first one's finalizers let go
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.5)
+def stored(df: DataFrame, name: str = "t", compression: str = "snappy", partition_by: tuple[str, ...] = ()) -> DataFrame:
+    """Write df to the shared scratch folder and read it back: lineage is cut, lost executors cost nothing, and the shuffle
+    files of the writing are deleted with it and not at some later collection."""
+    spark = df.sparkSession
+    path, before = f"{scratch(spark)}/{name}", spark.conf.get(_CLEANUP)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path, compression=compression, partitionBy=list(partition_by))
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def pack(values: np.ndarray) -> bytes:

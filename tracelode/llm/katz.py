@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import crc_mod, numbered, pack, release, scratch, unpack
+from ._common import crc_mod, numbered, pack, stored, unpack
 
 #: Both the context before a text's first word and the token after its last.
 EDGE = np.uint64(0x9AE16A3B2F90404F)
@@ -279,12 +279,9 @@ def score_corpus(docs: DataFrame, held_out: int = 7, remainder: int = 2, min_pai
     # as many buckets as blocks, nearly: a bucket then takes about as much memory as a block, at any size of input
     length = base.agg(F.sum(F.octet_length("text"))).collect()[0][0] or 0
     buckets = max(1, -(-int(length / 6) // block_tokens))
-    path = f"{scratch(spark)}/model"
     counted = _ask(base, block_tokens, buckets).groupBy("bucket").applyInArrow(lambda t: _counted(t, min_pair), _ROWS)
-    counted.write.partitionBy("kind").parquet(path)
-    del counted
-    release(spark)
-    kind = lambda k: spark.read.schema(_ROWS).parquet(path).where(F.col("kind") == k)
+    model = stored(counted, "model", partition_by=("kind",))
+    kind = lambda k: model.where(F.col("kind") == k).toDF(*model.columns)
     small = kind("word").groupBy(F.least("n", F.lit(CUT + 2)).alias("r")).agg(F.count("*").alias("k"), F.sum("n").alias("s")).collect()
     pairs = kind("order").groupBy("a").agg(F.sum("n").alias("k")).collect()
     n_words = {r["r"]: r["k"] for r in small}

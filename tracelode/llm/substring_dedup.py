@@ -3,11 +3,14 @@
 A window is `length` consecutive words. Windows are dealt to shards by content: a window's minimiser is the smallest
 hash among its `gram`-word grams, and a run of windows with one minimiser forms a segment. Equal windows have equal
 minimisers, hence meet in one shard, and a minimiser that occurs once in the corpus cannot repeat: its segments are
-dropped before any text moves. A shard's segments, in document order, are indexed by an FM-index (wavelet matrix over
-the BWT of word numbers) with a bit vector that marks where neighbouring suffixes agree on fewer than `length` words. The
+dropped before any text moves. Tasks combine segments of equal bytes, each with its earliest place, before they are moved.
+
+A shard's distinct segments, in the order of their earliest places, are indexed by an FM-index (wavelet matrix over the BWT
+of word numbers) with a bit vector that marks where neighbouring suffixes agree on fewer than `length` words. The
 segments are then streamed through it: each backward-search step extends the match by a word, and the bit vector shrinks
-it to the threshold, so the statistics of all windows cost one step a word. A window is reported if the earliest
-occurrence in its interval starts before it.
+it to the threshold, so the statistics of all windows cost one step a word. The shard answers, for each segment, where it
+is first and which of its windows are in an interval with an earlier start. A document's windows are repeats unless
+an answer says that they are first.
 """
 
 from __future__ import annotations
@@ -21,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import release, stored
+from ._common import stored
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -54,18 +57,30 @@ def gram_hashes(h: np.ndarray, width: int) -> np.ndarray:
     return _mixed(acc)
 
 
-def segments(h: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(minimiser, start, windows) of each segment of a document given by its word hashes."""
-    if len(h) < length:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    g = gram_hashes(h, gram)
-    span, at = length - gram + 1, []
-    for lo in range(0, len(h) - length + 1, 1 << 16):  # in pieces, for bounded memory
-        hi = min(lo + (1 << 16), len(h) - length + 1)
-        at.append(np.lib.stride_tricks.sliding_window_view(g[lo : hi + span - 1], span).argmin(axis=1) + np.arange(lo, hi))
-    at = np.concatenate(at)
-    start = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
-    return g[at[start]], start, np.diff(np.append(start, len(at)))
+def segments(h: np.ndarray, ends: np.ndarray, length: int, gram: int, longest: int = 32) -> tuple[np.ndarray, ...]:
+    """(document, minimiser, start, windows) of each segment of documents given by their word hashes, one after another, and
+    where each document ends. A run of more than `longest` windows, of periodic text, is cut."""
+    starts = np.concatenate(([0], ends[:-1]))
+    n = len(h) - length + 1
+    none = np.zeros(0, np.int64)
+    if n < 1:
+        return none, none.astype(np.uint64), none, none
+    low, have, span = gram_hashes(h, gram), 1, length - gram + 1
+    while 2 * have <= span:  # the smallest of 2, 4, 8 ... grams
+        low = np.minimum(low[:-have], low[have:])
+        have *= 2
+    if have < span:
+        low = np.minimum(low[: have - span], low[span - have :])
+    of = np.repeat(np.arange(len(ends)), ends - starts)
+    at = np.flatnonzero(of[:n] == of[length - 1 :])  # windows inside one document
+    if not len(at):
+        return none, none.astype(np.uint64), none, none
+    value, of, at = low[at], of[at], at - starts[of[at]]
+    new = np.concatenate(([True], (value[1:] != value[:-1]) | (of[1:] != of[:-1])))
+    first = np.flatnonzero(new)
+    since = np.arange(len(at)) - np.repeat(first, np.diff(np.append(first, len(at))))
+    first = np.flatnonzero(since % longest == 0)
+    return of[first], value[first], at[first], np.diff(np.append(first, len(at)))
 
 
 # --- FM-index ------------------------------------------------------------------------------------------------------
@@ -98,15 +113,18 @@ class WaveletMatrix:
             bits = Bits(ones)
             self.levels.append((bit, bits, len(values) - bits.total))
             values = np.concatenate((values[~ones], values[ones]))
+        self.begin = self._down(np.arange(1 << depth), np.zeros(1 << depth, np.int64))
 
-    def ranks(self, symbol: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Where the symbol begins in the last level's order, and the positions that i and j map to."""
-        lo = np.zeros_like(i)
+    def _down(self, symbol: np.ndarray, i: np.ndarray) -> np.ndarray:
         for bit, bits, zeros in self.levels:
             one = (symbol >> bit & 1).astype(bool)
-            r = [bits.rank(x) for x in (lo, i, j)]
-            lo, i, j = (np.where(one, zeros + y, x - y) for x, y in zip((lo, i, j), r, strict=True))
-        return lo, i, j
+            rank = bits.rank(i)
+            i = np.where(one, zeros + rank, i - rank)
+        return i
+
+    def rank(self, symbol: np.ndarray, i: np.ndarray) -> np.ndarray:
+        """How often each symbol occurs before i."""
+        return self._down(symbol, i) - self.begin[symbol]
 
 
 class FMIndex:
@@ -149,8 +167,9 @@ class FMIndex:
 
     def step(self, symbol: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Backward search: the intervals of symbol + pattern from those of the patterns."""
-        base, i, j = self.bwt.ranks(symbol, lo, hi)
-        return self.less[symbol] + i - base, self.less[symbol] + j - base
+        less = self.less[symbol]
+        both = self.bwt.rank(np.concatenate((symbol, symbol)), np.concatenate((lo, hi)))
+        return less + both[: len(lo)], less + both[len(lo) :]
 
     def shrink(self, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The intervals of the patterns' first `length` symbols."""
@@ -185,91 +204,113 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def _minimisers(base: DataFrame, length: int, gram: int) -> DataFrame:
+    """(minimiser, same, kind, start, windows) of all segments."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _Hashes()
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                b = batch.slice(at, 1000)
+            for at in range(0, batch.num_rows, 200):
+                b = batch.slice(at, 200)
                 same, kind = np.asarray(b.column(0)), np.asarray(b.column(1))
-                found = [segments(np.array([hashes[w] for w in words_of(t)], dtype=np.uint64), length, gram) for t in b.column(2).to_pylist()]
-                n = [len(f[0]) for f in found]
-                columns = [np.concatenate([f[k] for f in found]) for k in range(3)]
+                words = [np.array([hashes[w] for w in words_of(t)], dtype=np.uint64) for t in b.column(2).to_pylist()]
+                of, minimiser, start, windows = segments(np.concatenate(words), np.cumsum([len(w) for w in words]), length, gram)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(columns[0].view(np.int64)), pa.array(np.repeat(same, n)), pa.array(np.repeat(kind, n)), pa.array(columns[1].astype(np.int32)), pa.array(columns[2].astype(np.int32))],
+                    [pa.array(minimiser.view(np.int64)), pa.array(same[of]), pa.array(kind[of]), pa.array(start.astype(np.int32)), pa.array(windows.astype(np.int32))],
                     names=["minimiser", "same", "kind", "start", "windows"],
                 )
 
     return base.select("same", "kind", "text").mapInArrow(run, "minimiser bigint, same bigint, kind bigint, start int, windows int")
 
 
-def _segment_texts(with_text: DataFrame, length: int, shards: int) -> DataFrame:
-    """(shard, same, kind, start, windows, words) of candidate segments; `words` is null where the task saw the same words in
-    an earlier place, for then all its windows are repeats and need no index."""
+#: Bytes of distinct segments that a task keeps before it sends them on.
+COMBINED = 32 << 20
+
+
+def _contents(with_text: DataFrame, length: int) -> DataFrame:
+    """(deal, same, kind, start, windows, words): the candidate segments' distinct bytes in a task, or in what it kept at a time,
+    with their earliest place. Segments of a hot minimiser are dealt window by window, by content."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["shard", "same", "kind", "start", "windows", "words"]
-        types = [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
-        seen: dict[bytes, tuple] = {}
+        kept: dict[bytes, tuple] = {}
+        size, types = 0, [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64()]
+        digest = xxhash.xxh64_intdigest
+
+        def sent() -> Iterator[pa.RecordBatch]:
+            rows = list(kept.items())
+            for lo in range(0, len(rows), 20_000):
+                part = rows[lo : lo + 20_000]
+                columns = zip(*[v for _, v in part], strict=True)
+                yield pa.RecordBatch.from_arrays([*[pa.array(c, t) for c, t in zip(columns, types, strict=True)], pa.array([w for w, _ in part], pa.binary())], names=["same", "kind", "start", "windows", "deal", "words"])
+
         for batch in batches:
             for at in range(0, batch.num_rows, 200):
-                out = []
-                for r in batch.slice(at, 200).to_pylist():
-                    words = words_of(r["text"])
-                    for s in r["segments"]:
-                        pieces = [(s["start"] + i, 1) for i in range(s["windows"])] if s["hot"] else [(s["start"], s["windows"])]
-                        for start, windows in pieces:
-                            text = b" ".join(words[start : start + windows + length - 1])
-                            key = xxhash.xxh128_digest(text)
-                            place = (r["same"], r["kind"], start)
-                            shard = (xxhash.xxh64_intdigest(text) if s["hot"] else s["minimiser"]) % shards
-                            first = seen.get(key)
-                            if first == place:  # a row that repeats its document
+                b = batch.slice(at, 200)
+                listed = b.column(3)
+                edge, fields = np.asarray(listed.offsets) - listed.offsets[0].as_py(), listed.flatten()
+                starts, windows, minimisers, hots = (fields.field(c).to_pylist() for c in ("start", "windows", "minimiser", "hot"))
+                for i, (same, kind, text) in enumerate(zip(*(b.column(c).to_pylist() for c in range(3)), strict=True)):
+                    words = words_of(text)
+                    joined = b" ".join(words)
+                    ends = np.cumsum([len(w) + 1 for w in words])
+                    begin, ends = [0, *ends.tolist()], ends.tolist()
+                    for k in range(edge[i], edge[i + 1]):
+                        start, n, deal = starts[k], windows[k], minimisers[k]
+                        for s, m in [(start + j, 1) for j in range(n)] if hots[k] else [(start, n)]:
+                            content = joined[begin[s] : ends[s + m + length - 2] - 1]
+                            first = kept.get(content)
+                            if first is None:
+                                size += len(content) + 200
+                            elif first[:3] <= (same, kind, s):
                                 continue
-                            if first is None or place < first:
-                                if len(seen) > 500_000:
-                                    seen.clear()
-                                seen[key] = place
-                                out.append((shard, *place, windows, text))
-                            else:
-                                out.append((shard, *place, windows, None))
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
-
-    return with_text.select("same", "kind", "text", "segments").mapInArrow(run, "shard int, same bigint, kind bigint, start int, windows int, words binary")
-
-
-def _intervals(flags: np.ndarray, first: int, windows: int, start: int, length: int) -> Iterator[tuple[int, int]]:
-    """[begin, end) word intervals covered by a segment's reported windows."""
-    hit = np.flatnonzero(flags[first : first + windows])
-    if len(hit):
-        cut = np.flatnonzero(np.diff(hit) > length)
-        for a, b in zip(hit[np.append(0, cut + 1)], hit[np.append(cut, len(hit) - 1)], strict=True):
-            yield start + int(a), start + int(b) + length
-
-
-def _indexed(shard_rows: pa.Table, length: int) -> pa.Table:
-    """One shard: build its index, stream its segments, report intervals."""
-    names = ["same", "kind", "begin", "end"]
+                            kept[content] = (same, kind, s, m, (digest(content) if hots[k] else deal) & 0x7FFFFFFFFFFFFFFF)
+                    if size > COMBINED:
+                        yield from sent()
+                        kept.clear()
+                        size = 0
+        yield from sent()
+
+    return with_text.select("same", "kind", "text", "segments").mapInArrow(run, "same bigint, kind bigint, start int, windows int, deal bigint, words binary")
+
+
+def _answers(shard_rows: pa.Table, length: int) -> pa.Table:
+    """One shard: index its distinct segments and stream them; (same, kind, start, flags), for each its first place and a byte for
+    each window, 1 if it occurs earlier."""
     same, kind, start = (np.asarray(shard_rows.column(c)) for c in ("same", "kind", "start"))
-    order = np.lexsort((start, kind, same))
-    new = np.append(True, np.any([x[order][1:] != x[order][:-1] for x in (same, kind, start)], axis=0))
-    order = order[new]  # rows that repeat a document count once
+    words, first = shard_rows.column("words").to_pylist(), {}
+    for i in np.lexsort((start, kind, same)).tolist():
+        first.setdefault(words[i], i)
+    order = np.fromiter(first.values(), np.int64, len(first))
     same, kind, start = same[order], kind[order], start[order]
     windows = np.asarray(shard_rows.column("windows"))[order].astype(np.int64)
-    joined = b" \x00 ".join(shard_rows.column("words").take(pa.array(order)).to_pylist()) + b" \x00"
-    numbers: dict[bytes, int] = {b"\x00": 0}
-    symbols = np.fromiter((numbers.setdefault(w, len(numbers)) for w in joined.split(b" ")), np.int64)
+    numbers: dict[bytes, int] = {}
+    symbols = np.fromiter((numbers.setdefault(w, len(numbers) + 1) for content in first for w in (*content.split(b" "), b"")), np.int64)
+    symbols[symbols == numbers[b""]] = 0  # no word is empty: the end of a segment
     size = windows + length - 1
-    starts = np.concatenate(([0], np.cumsum(size + 1)[:-1]))
-    word_is_zero = symbols == 0
-    word_is_zero[starts + size] = False
-    symbols[word_is_zero] = len(numbers)  # a word that is the separator's byte has a number of its own
-    flags = repeated_windows(symbols, starts, windows, length)
-    first = np.concatenate(([0], np.cumsum(windows)))
-    out = [(int(same[i]), int(kind[i]), a, b) for i in np.flatnonzero(np.add.reduceat(flags, first[:-1])) for a, b in _intervals(flags, first[i], windows[i], int(start[i]), length)]
-    types = [pa.int64(), pa.int64(), pa.int32(), pa.int32()]
-    columns = list(zip(*out, strict=True)) or [[]] * 4
-    return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
+    flags = repeated_windows(symbols, np.concatenate(([0], np.cumsum(size + 1)[:-1])), windows, length)
+    edges = np.concatenate(([0], np.cumsum(windows)))
+    raw = flags.tobytes()
+    return pa.table({"same": pa.array(same), "kind": pa.array(kind), "start": pa.array(start), "flags": pa.array([raw[a:b] for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)], pa.binary())})
+
+
+def _intervals(found: DataFrame, length: int) -> DataFrame:
+    """(same, kind, spans) of documents with candidate segments and the answers for them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            spans = []
+            for segs, told in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+                repeated = np.zeros(max(s["start"] + s["windows"] for s in segs), bool)
+                for s in segs:
+                    repeated[s["start"] : s["start"] + s["windows"]] = True
+                for a in told or ():
+                    repeated[a["start"] : a["start"] + len(a["flags"])] = np.frombuffer(a["flags"], bool)
+                hit = np.flatnonzero(repeated)
+                cut = np.flatnonzero(np.diff(hit) > length)
+                ends = zip(hit[np.append(0, cut + 1)].tolist(), (hit[np.append(cut, len(hit) - 1)] + length).tolist(), strict=True) if len(hit) else ()
+                spans.append([{"begin": x, "end": y} for x, y in ends])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(spans, pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())])))], names=["same", "kind", "spans"])
+
+    return found.select("same", "kind", "segments", "told").mapInArrow(run, "same bigint, kind bigint, spans array<struct<begin: int, end: int>>").where(F.size("spans") > 0)
 
 
 def repeats(docs: DataFrame, length: int = 20, gram: int = 5, shard_segments: int = 40_000) -> DataFrame:
@@ -277,19 +318,17 @@ def repeats(docs: DataFrame, length: int = 20, gram: int = 5, shard_segments: in
 
     same, kind identify the document: its id (null: the smallest long) and its text's hash.
     """
-    spark, base = docs.sparkSession, _keyed(docs)
+    base = _keyed(docs)
     places = stored(_minimisers(base, length, gram), "places")
     counts = stored(places.groupBy("minimiser").agg(F.count("*").alias("n")).where("n > 1"), "counts")
-    total = counts.agg(F.sum("n")).collect()[0][0] or 0
-    shards = max(1, -(-total // shard_segments))
     candidates = places.join(counts, "minimiser").withColumn("hot", F.col("n") > shard_segments // 4)
     grouped = stored(candidates.groupBy("same", "kind").agg(F.collect_set(F.struct("start", "windows", "minimiser", "hot")).alias("segments")), "candidates")
-    release(spark)
-    texts = stored(_segment_texts(base.join(grouped, ["same", "kind"]), length, shards), "segments")
-    release(spark)
-    told = texts.where("words is null").select("same", "kind", F.col("start").alias("begin"), (F.col("start") + F.col("windows") + length - 1).alias("end"))
-    found = texts.where("words is not null").groupBy("shard").applyInArrow(lambda t: _indexed(t, length), "same bigint, kind bigint, begin int, end int")
-    return told.unionByName(found).groupBy("same", "kind").agg(F.collect_list(F.struct("begin", "end")).alias("spans"))
+    contents = stored(_contents(base.join(grouped.hint("merge"), ["same", "kind"]), length), "contents")
+    shards = max(1, -(-contents.count() // shard_segments))
+    dealt = contents.withColumn("shard", F.pmod("deal", F.lit(shards))).drop("deal")
+    answers = stored(dealt.groupBy("shard").applyInArrow(lambda t: _answers(t, length), "same bigint, kind bigint, start int, flags binary"), "answers")
+    told = answers.groupBy("same", "kind").agg(F.collect_list(F.struct("start", "flags")).alias("told"))
+    return _intervals(grouped.select("same", "kind", F.transform("segments", lambda s: F.struct(s["start"].alias("start"), s["windows"].alias("windows"))).alias("segments")).join(told, ["same", "kind"], "left"), length)
 
 
 def remove_repeats(docs: DataFrame, length: int = 20, gram: int = 5, shard_segments: int = 40_000) -> DataFrame:
@@ -301,7 +340,6 @@ def remove_repeats(docs: DataFrame, length: int = 20, gram: int = 5, shard_segme
     them reported.
     """
     spans = stored(repeats(docs, length, gram, shard_segments), "spans")
-    release(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -322,5 +360,5 @@ def remove_repeats(docs: DataFrame, length: int = 20, gram: int = 5, shard_segme
             types = [pa.int64(), pa.int64(), pa.string(), pa.string()]
             yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, out, types)], names=["doc_id", "n_words", "n_removed", "kept_text", "kept_sha256"])
 
-    joined = _keyed(docs).join(spans, ["same", "kind"], "left").select("doc_id", "text", "spans")
+    joined = _keyed(docs).join(spans.hint("merge"), ["same", "kind"], "left").select("doc_id", "text", "spans")
     return joined.mapInArrow(run, "doc_id bigint, n_words bigint, n_removed bigint, kept_text string, kept_sha256 string")
