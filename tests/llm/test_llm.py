@@ -44,61 +44,79 @@ def none(spark):
     return spark.createDataFrame([], "doc_id bigint, text string")
 
 
-def test_katz(docs, odd, none):
-    got = {r["doc_id"]: r for r in katz.score_corpus(docs, block_tokens=300).collect()}
-    tokens = {i: [*(t or "").encode().lower().split(), None] for i, t in corpus()}
-    train = [i for i in tokens if zlib.crc32(str(i).encode()) % 7 != 2]
-    uni = collections.Counter(w for i in train for w in tokens[i])
-    pair = collections.Counter(p for i in train for p in zip([None, *tokens[i]], tokens[i], strict=False))
-    n, v = sum(uni.values()), len(uni)
-    by = collections.Counter(uni.values())
-    d1 = katz.good_turing({r: by[r] for r in range(1, 7)})
-    d2 = katz.good_turing({r: k for r, k in collections.Counter(pair.values()).items() if r < 7}, 2)
-    disc = lambda d, c: (d[c - 1] if c <= 5 else 1) * c
-    unseen = sum((1 - d1[r - 1]) * r * by[r] for r in range(1, 6)) / n
-    p1 = lambda w: disc(d1, uni[w]) / n if w in uni else unseen
-    followers = collections.defaultdict(list)
-    for (h, w), c in pair.items():
-        if c >= 2:
-            followers[h].append((w, c))
-    alpha = {h: (1 - sum(disc(d2, c) / uni[h] for _, c in ws)) / (1 - sum(p1(w) for w, _ in ws)) for h, ws in followers.items()}
-    for i, ws in tokens.items():
-        want = 0.0
-        for h, w in zip([None, *ws], ws, strict=False):
-            want += math.log10(disc(d2, pair[h, w]) / uni[h] if pair[h, w] >= 2 else alpha.get(h, 1) * p1(w))
-        assert got[i]["score"] == pytest.approx(want) and got[i]["train_tokens"] == n
-        assert got[i]["base_score"] == pytest.approx(sum(math.log10((uni[w] + 1) / (n + v + 1)) for w in ws))
-        assert (got[i]["n_tokens"], got[i]["n_known"]) == (len(ws), sum(w in uni for w in ws))
-    for h, ws in followers.items():  # exactly normalised over seen words and the unseen mass
-        total = sum(disc(d2, c) / uni[h] for _, c in ws) + alpha[h] * (sum(map(p1, uni)) + unseen - sum(p1(w) for w, _ in ws))
-        assert total == pytest.approx(1)
-    assert katz.score_corpus(odd).count() == 5 and katz.score_corpus(none).count() == 0
-
-
-def test_katz_query_scores_pairs_seen_once(spark, tmp_path):
+class Katz:
+    """The model by dictionaries."""
+
+    def __init__(self, rows, orders):
+        self.tokens = {k: [*(t or "").encode().lower().split(), None] for k, (_, t) in enumerate(rows)}
+        train = [self.tokens[k] for k, (i, _) in enumerate(rows) if zlib.crc32(("" if i is None else str(i)).encode()) % 7 != 2]
+        self.orders, self.count = orders, [collections.Counter(g for ws in train for g in self.grams(ws, n)) for n in range(1, orders + 1)]
+        of = [collections.Counter(c.values()) for c in self.count]
+        self.d = [katz.good_turing({r: o[r] for r in range(1, 7)}) for o in of]
+        self.n, self.v = sum(self.count[0].values()), len(self.count[0])
+        self.unseen = sum((1 - self.d[0][r - 1]) * r * of[0][r] for r in range(1, 6)) / self.n
+        self.after = [collections.defaultdict(list) for _ in range(orders + 1)]
+        for n in range(2, orders + 1):
+            for g in self.count[n - 1]:
+                self.after[n][g[:-1]].append(g[-1])
+
+    def grams(self, ws, n):
+        """The first token's context is the edge; longer contexts need tokens to hold them."""
+        padded = [None, *ws]
+        return [tuple(padded[i - n + 2 : i + 2]) for i in range(len(ws)) if i >= n - 2] if n > 1 else [(w,) for w in ws]
+
+    def discounted(self, n, c):
+        return (self.d[n - 1][c - 1] if c <= 5 else 1) * c
+
+    def p(self, gram):
+        n = len(gram)
+        c = self.count[n - 1][gram]
+        if n == 1:
+            return self.discounted(1, c) / self.n if c else self.unseen
+        if c:
+            return self.discounted(n, c) / self.count[n - 2][gram[:-1]]
+        return self.alpha(gram[:-1]) * self.p(gram[1:])
+
+    def alpha(self, context):
+        words = self.after[len(context) + 1][context]
+        if not words:
+            return 1
+        return max(1 - sum(self.p((*context, w)) for w in words), 1e-12) / max(1 - sum(self.p((*context[1:], w)) for w in words), 1e-12)
+
+    def score(self, ws):
+        padded = [None, *ws]
+        return sum(math.log10(self.p(tuple(padded[max(0, i + 2 - self.orders) : i + 2]))) for i in range(len(ws)))
+
+
+@pytest.mark.parametrize("orders,block", [(2, 300), (3, 300), (3, 100_000), (4, 700)])
+def test_katz(docs, none, orders, block):
+    got = {r["doc_id"]: r for r in katz.score_corpus(docs, orders=orders, block_tokens=block).collect()}
+    want = Katz(corpus(), orders)
+    for i, ws in want.tokens.items():
+        assert got[i]["score"] == pytest.approx(want.score(ws)) and got[i]["train_tokens"] == want.n
+        assert got[i]["base_score"] == pytest.approx(sum(math.log10((want.count[0][w,] + 1) / (want.n + want.v + 1)) for w in ws))
+        assert (got[i]["n_tokens"], got[i]["n_known"], got[i]["held_out"]) == (len(ws), sum((w,) in want.count[0] for w in ws), zlib.crc32(str(i).encode()) % 7 == 2)
+    assert katz.score_corpus(none, orders=orders).count() == 0
+    for n in range(2, orders + 1):  # exactly normalised over seen words and the unseen mass
+        for context in list(want.after[n])[:40]:
+            total = sum(want.p((*context, w)) for (w,) in want.count[0]) + want.alpha(context) * want.p((*context[1:], b"never seen"))
+            assert n > 2 or total == pytest.approx(1)
+
+
+def test_katz_of_odd_rows_and_the_query(spark, odd, tmp_path):
     from tracelode.llm import queries
 
-    rows = corpus()
-    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
-    tokens = {i: [*(t or "").encode().lower().split(), None] for i, t in rows}
-    train = [i for i in tokens if zlib.crc32(str(i).encode()) % 7 != 2]
-    uni = collections.Counter(w for i in train for w in tokens[i])
-    pair = collections.Counter(p for i in train for p in zip([None, *tokens[i]], tokens[i], strict=False))
-    n, by, of = sum(uni.values()), collections.Counter(uni.values()), collections.Counter(pair.values())
-    d1, d2 = (katz.good_turing({r: c[r] for r in range(1, 7)}) for c in (by, of))
-    disc = lambda d, c: (d[c - 1] if c <= 5 else 1) * c
-    unseen = sum((1 - d1[r - 1]) * r * by[r] for r in range(1, 6)) / n
-    p1 = lambda w: disc(d1, uni[w]) / n if w in uni else unseen
-    q, p = collections.Counter(), collections.Counter()
-    for (h, w), c in pair.items():
-        q[h] += disc(d2, c) / uni[h]
-        p[h] += p1(w)
-    alpha = {h: max(1 - q[h], 1e-12) / max(1 - p[h], 1e-12) for h in q}
-    got = {r["doc_id"]: r["score"] for r in queries.op1(spark, str(tmp_path)).collect()}
-    assert any(pair[x] == 1 for i in tokens if i not in train for x in zip([None, *tokens[i]], tokens[i], strict=False))
-    for i, ws in tokens.items():
-        want = sum(math.log10(disc(d2, pair[h, w]) / uni[h] if pair[h, w] else alpha.get(h, 1) * p1(w)) for h, w in zip([None, *ws], ws, strict=False))
-        assert got[i] == pytest.approx(want)
+    rows = [(r["doc_id"], r["text"]) for r in odd.collect()]
+    want = Katz(rows, 3)
+    scores = lambda df: sorted((r["doc_id"] or 0, r["n_tokens"], round(r["score"], 9)) for r in df.collect())
+    assert scores(katz.score_corpus(odd)) == sorted((i or 0, len(want.tokens[k]), round(want.score(want.tokens[k]), 9)) for k, (i, _) in enumerate(rows))
+    spark.createDataFrame(corpus(), "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    want = Katz(corpus(), 3)
+    assert {r["doc_id"]: pytest.approx(r["score"]) for r in queries.op1(spark, str(tmp_path)).collect()} == {i: want.score(ws) for i, ws in want.tokens.items()}
+    held = [i for i in want.tokens if zlib.crc32(str(i).encode()) % 7 == 2]  # n-grams seen once are in the model
+    assert any(want.count[2][g] == 1 for i in held for g in want.grams(want.tokens[i], 3))
+    alone = spark.createDataFrame([(i, "x y") for i in range(40) if zlib.crc32(str(i).encode()) % 7 == 2], "doc_id bigint, text string")
+    assert {(r["score"], r["train_tokens"]) for r in katz.score_corpus(alone).collect()} == {(0.0, 0)}  # nothing to learn from
 
 
 def test_substring_dedup(docs, odd, none):
