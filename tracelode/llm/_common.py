@@ -54,7 +54,33 @@ def stored(df: DataFrame, name: str = "t", compression: str = "snappy", partitio
         df.write.parquet(path, compression=compression, partitionBy=list(partition_by))
     finally:
         spark.conf.set(_CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def discard(table: DataFrame, part: str = "") -> None:
+    """Delete a stored table, or one of its partitions, that no later step reads."""
+    jvm = table.sparkSession.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path("/".join(filter(None, (table.scratch_path, part))))
+    path.getFileSystem(table.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+#: Bits of a bitmap, 64 to a row: at most 524,288 rows of two numbers, however many values are set.
+BITMAP = 1 << 25
+
+
+def bitmap(values: DataFrame) -> DataFrame:
+    """Rows (slot, bits) of a bitmap of the hashes in column h: a filter of bounded size, to be sent to all tasks. It
+    lets through every value that was set, and a share of others that nears one only as the bitmap fills."""
+    slot = F.floor(F.pmod("h", F.lit(BITMAP)) / 64).cast("int")
+    return stored(values.select(slot.alias("slot"), F.expr("shiftleft(1L, cast(pmod(h, 64) as int))").alias("bit")).groupBy("slot").agg(F.bit_or("bit").alias("bits")), "bitmap")
+
+
+def in_bitmap(df: DataFrame, h: str, bits: DataFrame, how: str = "left_semi") -> DataFrame:
+    """Rows of df whose hash h may be in the bitmap; how='left_anti': the others, which certainly are not."""
+    held = F.getbit(bits["bits"], F.pmod(df[h], F.lit(64)).cast("int")) == 1
+    return df.join(F.broadcast(bits), (F.floor(F.pmod(df[h], F.lit(BITMAP)) / 64).cast("int") == bits["slot"]) & held, how)
 
 
 def pack(values: np.ndarray) -> bytes:

@@ -15,13 +15,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import stored
+from ._common import bitmap, in_bitmap, stored
 
 #: What Unicode calls white space once NFKC has made the other kinds blanks.
 _SPACE = "\\x09-\\x0D\\x1C-\\x1F\\x85\\u1680\\u2028\\u2029"
-#: Bits of the bitmap of shared digests, 32,768 to a row: 8 MB at most.
-BITMAP = 1 << 26
-_ROW = 32_768
 
 
 def canonical(text: Column) -> Column:
@@ -73,20 +70,6 @@ def _cells(base: DataFrame, cells: int) -> Column:
     return (pick(firsts) + F.least(F.greatest(F.floor(within * pick(parts)), F.lit(0)), pick(parts) - 1)).cast("int")
 
 
-def _bitmap(values: DataFrame) -> DataFrame:
-    """Column h of values as rows (row, bits) of a bitmap: at most BITMAP / 32,768 rows of 4 KB."""
-    at = F.pmod("h", F.lit(BITMAP))
-    return stored(values.select(F.floor(at / _ROW).cast("int").alias("row"), F.pmod(at, F.lit(_ROW)).alias("bit")).groupBy("row").agg(F.bitmap_construct_agg("bit").alias("bits")), "bitmap")
-
-
-def _in_bitmap(df: DataFrame, h: str, bitmap: DataFrame) -> DataFrame:
-    """Rows of df whose column h may be in the bitmap."""
-    at = F.pmod(df[h], F.lit(BITMAP))
-    bit = F.pmod(at, F.lit(_ROW)).cast("int")
-    byte = F.conv(F.hex(F.substring(bitmap["bits"], F.floor(bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    return df.join(F.broadcast(bitmap), (F.floor(at / _ROW).cast("int") == bitmap["row"]) & (F.getbit(byte, F.pmod(bit, F.lit(8))) == 1), "left_semi")
-
-
 def _told(docs: DataFrame, cells: int, bits: int) -> DataFrame:
     """A row for each row: its digest (a, b), the next document's (na, nb) and the edited text's (ea, eb), with the hashes of
     the texts that they come from (kind, nkind, ekind)."""
@@ -118,12 +101,12 @@ def _collided(docs: DataFrame, told: DataFrame, bits: int) -> DataFrame:
     a largest text for each task, so that a bucket of any size costs one row a task.
     """
     digests = told.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("ea").alias("a"), F.col("eb").alias("b")))).alias("d")).select("d.*")
-    shared = _bitmap(digests.groupBy("a", "b").agg(F.count("*").alias("n")).where("n > 1").select(F.xxhash64("a", "b").alias("h")))
-    originals = _in_bitmap(told.select("kind", F.xxhash64("a", "b").alias("h")), "h", shared)
-    kinds = _bitmap(originals.select(F.col("kind").alias("h")))
+    shared = bitmap(digests.groupBy("a", "b").agg(F.count("*").alias("n")).where("n > 1").select(F.xxhash64("a", "b").alias("h")))
+    originals = in_bitmap(told.select("kind", F.xxhash64("a", "b").alias("h")), "h", shared)
+    kinds = bitmap(originals.select(F.col("kind").alias("h")))
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    again = _in_bitmap(docs.select(text.alias("text"), F.xxhash64(text).alias("kind")), "kind", kinds)
-    edited = _in_bitmap(told.select(F.col("edited").alias("text"), F.col("ekind").alias("kind"), F.xxhash64("ea", "eb").alias("h")), "h", shared).select("text", "kind")
+    again = in_bitmap(docs.select(text.alias("text"), F.xxhash64(text).alias("kind")), "kind", kinds)
+    edited = in_bitmap(told.select(F.col("edited").alias("text"), F.col("ekind").alias("kind"), F.xxhash64("ea", "eb").alias("h")), "h", shared).select("text", "kind")
     members = _digested(again.unionByName(edited).withColumn("canon_text", canonical(F.col("text"))), "canon_text", "a", "b", bits)
     ends = members.groupBy("a", "b").agg(F.min("canon_text").alias("low"), F.max("canon_text").alias("high"))
     found = stored(ends.where("low <> high").select("a", "b"), "collided")

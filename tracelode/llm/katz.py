@@ -10,7 +10,7 @@ Tables, stored in the shared folder and partitioned by kind: `count` (order, buc
 seen once as well; `reply` and `size` serve the evaluation. Counts up to 5 get Good-Turing discounts. A context's back-off
 weight is the mass that its discounts free, divided by the lower order's mass of the words it was not seen with. Of all blocks
 that hold an n-gram one owns it and adds it to its context's two sums, so each counts once; contexts that no
-other block asked for are summed in place, the others in buckets. Tokens are evaluated recursively: the n-gram, or else the context's weight
+other block may ask for are summed in place, the others in buckets. Tokens are evaluated recursively: the n-gram, or else the context's weight
 times the probability of the shorter n-gram, down to discounted words and the mass of unseen ones.
 
 A block's messages to a bucket are as many as blocks times buckets, (tokens / block_tokens) squared, and never more than
@@ -21,6 +21,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import crc_mod, pack, stored, unpack
+from ._common import crc_mod, discard, pack, stored, unpack
 
 #: Both the context before a text's first word and the token after its last.
 EDGE = np.uint64(0x9AE16A3B2F90404F)
@@ -213,21 +214,27 @@ def _read(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
 # --- counting ------------------------------------------------------------------------------------------------------
 
 
-def _ask(blocks: DataFrame, orders: int, buckets: int) -> DataFrame:
-    """(order, bucket, block, keys, counts): each block's n-grams in each bucket, with their training counts."""
+def _ask(blocks: DataFrame, orders: list[int], buckets: int) -> DataFrame:
+    """(order, bucket, block, keys, counts, held): each block's n-grams of these orders in each bucket, with their training counts
+    and whether texts that are scored only hold them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1).to_pylist()[0]
                 words, local, ends, used = _read(row)
-                for order, g in enumerate(grams(words, local, ends, orders), 1):
+                found = grams(words, local, ends, max(orders))
+                for order in orders:
+                    g = found[order - 1]
                     counts = np.bincount(g.place[used & (g.place >= 0)], minlength=len(g.keys)).astype(np.int64)
-                    out = [(order, k, row["block"], pack_sorted(g.keys[s]), pack_planes(counts[s])) for k, s in _filled(g.keys, buckets)]
+                    held = np.zeros(len(g.keys), bool)
+                    held[g.place[~used & (g.place >= 0)]] = True
+                    out = [(order, k, row["block"], pack_sorted(g.keys[s]), pack_planes(counts[s]), pack(np.packbits(held[s]))) for k, s in _filled(g.keys, buckets)]
                     if out:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["order", "bucket", "block", "keys", "counts"])
+                        types = (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=["order", "bucket", "block", "keys", "counts", "held"])
 
-    return blocks.select("block", "trained", "ends", "words", "local").mapInArrow(run, "order int, bucket int, block bigint, keys binary, counts binary")
+    return blocks.select("block", "trained", "ends", "words", "local").mapInArrow(run, "order int, bucket int, block bigint, keys binary, counts binary, held binary")
 
 
 _ROWS = "kind string, order int, bucket int, block bigint, n bigint, m bigint, x binary, y binary"
@@ -236,7 +243,7 @@ _ROWS = "kind string, order int, bucket int, block bigint, n bigint, m bigint, x
 def _counted(asked: pa.Table) -> pa.Table:
     """A bucket's counts. Rows: count (x: keys, y: counts); size (n: n-grams of count m; m = 0: of any count, with the sum of
     counts as block); reply (block; y: for each asked n-gram its count, times four, plus two if other blocks asked for it as
-    well, plus one if the block owns it)."""
+    well and one of them may want its weight as a context, plus one if the block owns it)."""
     asked = asked.sort_by("block")
     order, bucket = asked.column("order")[0].as_py(), asked.column("bucket")[0].as_py()
     parts = [unpack_sorted(x) for x in asked.column("keys").to_pylist()]
@@ -247,7 +254,8 @@ def _counted(asked: pa.Table) -> pa.Table:
     given = np.flatnonzero(counts)
     owner = np.full(len(keys), -1, np.int64)
     owner[of[given[::-1]]] = given[::-1]  # the first that was seen in training
-    answer = 4 * totals[of] + 2 * (np.bincount(of, minlength=len(keys)) > 1)[of]
+    held = np.concatenate([np.unpackbits(unpack(x, np.uint8), count=len(p)) for x, p in zip(asked.column("held").to_pylist(), parts, strict=True)])
+    answer = 4 * totals[of] + 2 * ((np.bincount(of, minlength=len(keys)) > 1) & (np.bincount(of, held, len(keys)) > 0))[of]
     answer[owner[owner >= 0]] += 1
     seen = totals > 0
     sizes = np.bincount(np.minimum(totals, CUT + 2), minlength=CUT + 3)
@@ -385,12 +393,17 @@ def score_corpus(docs: DataFrame, held_out: int = 7, remainder: int = 2, orders:
     # as many buckets as full blocks, nearly: a bucket then takes about as much memory as a block, at any size of input
     length = base.agg(F.sum(F.octet_length("text"))).collect()[0][0] or 0
     buckets = max(1, -(-int(length / 6) // block_tokens))
-    model = stored(_ask(blocks, orders, buckets).groupBy("order", "bucket").applyInArrow(_counted, _ROWS), "model", partition_by=("kind",))
-    kind = lambda k: model.where(F.col("kind") == k).toDF(*model.columns)
+    steps = [list(range(1, min(orders, 2) + 1)), *([k] for k in range(3, orders + 1))]  # one after another: less is on disk at a time
+    model = [stored(_ask(blocks, step, buckets).groupBy("order", "bucket").applyInArrow(_counted, _ROWS), "model", partition_by=("kind",)) for step in steps]
+    kind = lambda k: reduce(DataFrame.unionByName, [m.where(F.col("kind") == k).toDF(*m.columns) for m in model])
     totals = _totals(kind("size"), orders)
     replies = kind("reply").select("order", "bucket", "block", "y")
     evaluated = stored(blocks.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(_evaluated(totals, orders, buckets), _STATE), "evaluated", partition_by=("kind",))
+    discard(blocks)
+    for m in model:
+        discard(m, "kind=reply")
     sums = evaluated.where("kind = 'sum'").select("order", "bucket", "block", "keys", "q", "p", "asked")
     weights = stored(sums.groupBy("order", "bucket").applyInArrow(_weighed, "order int, bucket int, block bigint, logs binary"), "weights")
+    discard(evaluated, "kind=sum")
     states = evaluated.where("kind = 'state'").select("block", "doc_ids", "held", "n_tokens", "n_known", "base", "score", "waiting")
     return states.groupBy("block").cogroup(weights.groupBy("block")).applyInArrow(_finished(totals, orders), _SCORES)
