@@ -201,7 +201,43 @@ def test_line_dedup(docs, odd, none):
         want[i] = (len(lines), len(lines) - len(kept), "\n".join(kept))
     got = {r["doc_id"]: (r["n_lines"], r["n_dropped"], r["kept_text"]) for r in line_dedup.dedup_lines(docs).collect()}
     assert got == want and sum(w[1] for w in want.values()) == 5
-    assert line_dedup.dedup_lines(odd).count() == 5 and line_dedup.dedup_lines(none).count() == 0
+    assert line_dedup.dedup_lines(none).count() == 0
+    # a null id is a document, smaller than all; rows of one id are one document, and each keeps a row
+    got = collections.Counter((r["doc_id"], r["n_lines"], r["n_dropped"], r["kept_text"]) for r in line_dedup.dedup_lines(odd, min_chars=3, min_docs=2).collect())
+    assert got == collections.Counter([(None, 1, 1, ""), (1, 1, 0, ""), (1, 1, 0, ""), (1, 1, 0, "a b c d"), (2, 1, 0, "a b c")])
+
+
+def test_runs_admit_what_is_new_and_join_without_a_shuffle(spark):
+    rng, seen = random.Random(9), {}
+    runs = line_dedup.LineRuns(spark, fanout=2)
+    for _ in range(6):
+        rows = [(rng.randrange(1000), k if (k := rng.randrange(60)) else None, 7) for _ in range(rng.randrange(60))]
+        want = {}
+        for d, k, _ in rows:
+            if k is not None and k not in seen:
+                want[k] = min(d, want.get(k, d))
+        got = line_dedup.first_lines(runs, spark.createDataFrame(rows, "doc_id bigint, k1 bigint, k2 bigint"))
+        assert {r["k1"]: r["doc"] for r in got.collect()} == want
+        seen |= want
+        assert len(runs.runs()) <= 3
+    assert {r["k1"]: r["doc"] for r in runs.all().collect()} == seen
+    batch = runs.write(spark.createDataFrame([(1, 7, 3)], "k1 bigint, k2 bigint, doc bigint"))
+    plan = batch.join(runs.runs()[0].select(*line_dedup.KEY).hint("merge"), line_dedup.KEY, "left_anti")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Exchange" not in plan
+    runs.close()
+
+
+def test_line_dedup_of_a_line_in_most_documents(spark):
+    """The frequent line is found without a shuffle, others by the join."""
+    rng = random.Random(6)
+    common = [f"line number {i} that many documents hold in common" for i in range(30)]
+    texts = ["\n".join([LINE, *rng.sample(common, 3), f"own line {i} of this document, which no other one has"][: rng.randrange(1, 6)]) for i in range(60)]
+    docs = [(i, t) for i, t in enumerate(texts)]
+    holders = collections.Counter(x for t in texts for x in set(t.split("\n")))
+    last = {x: i for i, t in docs for x in t.split("\n")}
+    want = {i: "\n".join(x for x in t.split("\n") if holders[x] < 5 or last[x] == i) for i, t in docs}
+    for batches in (1, 3, 7):
+        assert {r["doc_id"]: r["kept_text"] for r in line_dedup.dedup_lines(spark.createDataFrame(docs, "doc_id bigint, text string").repartition(3), batches=batches).collect()} == want
 
 
 def test_simhash(docs, odd, none):
@@ -316,7 +352,32 @@ def test_decontamination(spark, docs, odd, none):
                     ids |= named
         assert (got[i]["n_words"], got[i]["n_hit"], got[i]["n_items"]) == (len(w), len(hit), len(ids))
         assert got[i]["items_sha256"] == hashlib.sha256(",".join(sorted(ids)).encode()).hexdigest() and got[i]["contaminated"] == bool(hit)
-    assert decontamination.contamination(odd, bench.limit(0)).count() == 5 and decontamination.contamination(none, bench).count() == 0
+    assert decontamination.contamination(none, bench).count() == 0
+    rows = lambda b: collections.Counter((r["doc_id"], r["n_words"], r["n_hit"], r["n_items"]) for r in decontamination.contamination(odd, b).collect())
+    assert rows(bench.limit(0)) == collections.Counter([(None, 3, 0, 0), (1, 0, 0, 0), (1, 0, 0, 0), (1, 4, 0, 0), (2, 3, 0, 0)])
+    short = spark.createDataFrame([(9, "B"), (8, "b c"), (8, "c d"), (7, "a b c d e")], "item_id bigint, text string")
+    assert rows(short) == collections.Counter([(None, 3, 2, 2), (1, 0, 0, 0), (1, 0, 0, 0), (1, 4, 3, 2), (2, 3, 2, 2)])
+
+
+def test_decontamination_with_frequent_shingles(spark, monkeypatch):
+    """Items of one to twelve words over few words, frequent shingles dealt with a salt."""
+    monkeypatch.setattr(decontamination, "SALTED", 20)
+    rng = random.Random(8)
+    draw = lambda n: " ".join(rng.choices(["the", "of", "a", "bb", "c9"], weights=[9, 4, 2, 1, 1], k=n))
+    items = [(str(i), draw(n)) for i, n in enumerate([1, 1, 2, 3, 3, 4, 6, 10, 10, 12, 15])]
+    texts = [draw(rng.randrange(60)) for _ in range(60)] + [t for _, t in items] + [f"x {t} y" for _, t in items] + ["the " * 3000]
+    got = {r["doc_id"]: r for r in decontamination.contamination(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3), spark.createDataFrame(items, "item_id string, text string")).collect()}
+    for i, t in enumerate(texts):
+        w, hit, ids = t.split(), set(), set()
+        for item, u in items:
+            v = u.split()
+            k = min(10, len(v))
+            for x in range(len(v) - k + 1):
+                for s in range(len(w) - k + 1):
+                    if w[s : s + k] == v[x : x + k]:
+                        hit.update(range(s, s + k))
+                        ids.add(item)
+        assert (got[i]["n_words"], got[i]["n_hit"], got[i]["items_sha256"]) == (len(w), len(hit), hashlib.sha256(",".join(sorted(ids)).encode()).hexdigest())
 
 
 def test_chat(spark):

@@ -1,13 +1,18 @@
 """Line dedup over levelled sorted runs of line hashes.
 
-A run is an immutable table (k1, k2, docs, last_doc), sorted by the 128-bit hash of a line's key. A new batch is
-merge-joined with the runs to tell keys that are new from keys that were seen, and then adds a run of its own; when a level holds
-`fanout` runs they are merged into one run of the next level. Counts and last documents merge by sum and maximum, so
-neither the order of batches nor the time of compactions changes a result.
+A run is an immutable table (k1, k2, doc), bucketed and sorted by the 128-bit hash of a line's key. A new batch is
+merge-anti-joined with the runs, bucket by bucket and without a shuffle; keys that no run holds open an entry, so all runs
+are disjoint and an entry's document is that of the first batch with the key. The entries of a batch are its run; when a
+level holds `fanout` runs they are merged into one run of the next level.
+
+Dropping lines needs the last document of each key, so batches are ranges of documents that come in descending order: what
+the anti-join lets through is a key's last document, and what it holds back is a repetition of a later one. How many documents
+hold a key is the sum over the batches' own tables.
 """
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -24,53 +29,54 @@ def line_key(line: Column) -> Column:
 
 
 class LineRuns:
-    """The levelled runs; `levels[i]` lists the paths of level i."""
+    """The levelled runs; `levels[i]` lists the tables of level i."""
 
     def __init__(self, spark: SparkSession, fanout: int = 2):
         self.spark, self.fanout, self.base = spark, fanout, scratch(spark)
+        self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.levels: list[list[DataFrame]] = []
-        self.written = 0
-
-    def _write(self, run: DataFrame) -> DataFrame:
-        self.written += 1
-        path = f"{self.base}/run-{self.written}"
-        run.select(*KEY, "docs", "last_doc").sortWithinPartitions(*KEY).write.parquet(path)
-        return self.spark.read.schema("k1 bigint, k2 bigint, docs bigint, last_doc bigint").parquet(path)
-
-    def _merged(self, runs: list[DataFrame]) -> DataFrame:
-        return reduce(DataFrame.unionByName, runs).groupBy(*KEY).agg(F.sum("docs").alias("docs"), F.max("last_doc").alias("last_doc"))
-
-    def unseen(self, batch: DataFrame) -> DataFrame:
-        """The batch's keys that no run holds: a merge-anti-join with every run."""
-        return reduce(lambda b, run: b.join(run.select(*KEY).hint("merge"), KEY, "left_anti"), [r for level in self.levels for r in level], batch)
-
-    def add(self, batch: DataFrame) -> None:
-        """Add a batch (k1, k2, docs, last_doc), one row a key, as a run of level 0 and compact full levels."""
-        run = self._write(batch)
+        self.tables: list[str] = []
+
+    def write(self, rows: DataFrame) -> DataFrame:
+        """rows as a bucketed, sorted table: one file a bucket, so that joins by the key neither shuffle nor sort much."""
+        name = f"run_{uuid.uuid4().hex}"
+        dealt = rows.repartition(self.buckets, *KEY)
+        dealt.write.bucketBy(self.buckets, *KEY).sortBy(*KEY).option("path", f"{self.base}/{name}").saveAsTable(name)
+        self.tables.append(name)
+        return self.spark.table(name)
+
+    def runs(self) -> list[DataFrame]:
+        return [r for level in self.levels for r in level]
+
+    def admit(self, batch: DataFrame) -> DataFrame:
+        """Anti-join a batch (k1, k2, doc), one row a key and written by `write`, with all runs; add what is new as a run of level 0,
+        compact full levels and return it."""
+        new = self.write(reduce(lambda b, run: b.join(run.select(*KEY).hint("merge"), KEY, "left_anti"), self.runs(), batch.select(*KEY, "doc")))
+        run = new
         for depth in range(len(self.levels) + 1):
             if depth == len(self.levels):
                 self.levels.append([])
             self.levels[depth].append(run)
             if len(self.levels[depth]) < self.fanout:
-                return
-            run = self._write(self._merged(self.levels[depth]))
+                break
+            run = self.write(reduce(DataFrame.unionByName, self.levels[depth]))  # disjoint: nothing to add up
             self.levels[depth] = []
+        return new
 
     def all(self) -> DataFrame:
-        """One row for each key over all levels."""
-        runs = [r for level in self.levels for r in level]
-        if not runs:
-            return self.spark.createDataFrame([], "k1 bigint, k2 bigint, docs bigint, last_doc bigint")
-        return self._merged(runs)
+        """(k1, k2, doc): every key once."""
+        return reduce(DataFrame.unionByName, self.runs())
+
+    def close(self) -> None:
+        """Forget the tables' names; their files stay in the scratch folder."""
+        for name in self.tables:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
 
 
 def first_lines(runs: LineRuns, lines: DataFrame) -> DataFrame:
-    """Streaming form: of a batch of lines (doc_id, k1, k2), those whose key no run holds, one for each key (the smallest
+    """Streaming form: of a batch of lines (doc_id, k1, k2), those whose key no run holds, one for each key (doc: the smallest
     doc_id); the batch is then added. Null keys are dropped; an empty batch adds an empty run."""
-    batch = stored(lines.where("k1 is not null").groupBy(*KEY).agg(F.countDistinct("doc_id").alias("docs"), F.max("doc_id").alias("last_doc"), F.min("doc_id").alias("doc_id")), "batch")
-    new = stored(runs.unseen(batch).select("doc_id", *KEY), "new")
-    runs.add(batch)
-    return new
+    return runs.admit(runs.write(lines.where("k1 is not null").groupBy(*KEY).agg(F.min("doc_id").alias("doc"))))
 
 
 def _lines(text: Column) -> Column:
@@ -89,18 +95,25 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, batches
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.struct(*(keep or [F.lit(0).alias("none")])).alias("rest"))
     base = base.withColumn("same", F.coalesce(F.col("doc_id"), F.lit(-(2**63)))).withColumn("kind", F.xxhash64("text"))
     lines = base.select("same", "kind", F.posexplode(_lines(F.col("text"))).alias("line_no", "line")).withColumn("key", line_key(F.col("line"))).where(F.char_length("key") >= min_chars)
-    hashed = stored(
-        lines.select("same", "kind", "line_no", F.xxhash64("key").alias("k1"), F.xxhash64(F.lit(1), F.reverse(F.col("key")), "key").alias("k2"), F.pmod(F.xxhash64("same"), F.lit(batches)).cast("int").alias("batch")), "lines"
-    )
-    runs = LineRuns(spark, fanout)
-    for b in range(batches):
-        per_key = hashed.where(F.col("batch") == b).select(*KEY, "same").distinct().groupBy(*KEY).agg(F.count("*").alias("docs"), F.max("same").alias("last_doc"))
-        batch = stored(per_key, "batch")
-        new = runs.unseen(batch)
-        # new keys open an entry; keys that the runs hold already add to theirs when levels are merged
-        runs.add(new if b == 0 else new.unionByName(batch.join(new.select(*KEY), KEY, "left_anti")))
-    lost = stored(runs.all().where(F.col("docs") >= min_docs).select(*KEY, "last_doc"), "lost")
-    dropped = hashed.join(lost.hint("merge"), KEY).where(F.col("same") != F.col("last_doc")).groupBy("same", "kind").agg(F.collect_set("line_no").alias("dropped"))
+    hashed = stored(lines.select("same", "kind", "line_no", F.xxhash64("key").alias("k1"), F.xxhash64(F.lit(1), F.reverse(F.col("key")), "key").alias("k2")), "lines")
+    cuts = hashed.agg(F.percentile_approx("same", [i / batches for i in range(1, batches)], 1000).alias("q"), F.count("*").alias("n")).collect()[0]
+    bounds = [None, *sorted(set(cuts["q"] or []), reverse=True), None]
+    runs, counts = LineRuns(spark, fanout), []
+    for high, low in zip(bounds, bounds[1:], strict=False):  # the largest ids first
+        part = hashed if low is None else hashed.where(F.col("same") > low)
+        part = part if high is None else part.where(F.col("same") <= high)
+        batch = runs.write(part.select(*KEY, "same").distinct().groupBy(*KEY).agg(F.count("*").alias("docs"), F.max("same").alias("doc")))
+        counts.append(batch.select(*KEY, "docs"))
+        runs.admit(batch)
+    heavy = reduce(DataFrame.unionByName, counts).groupBy(*KEY).agg(F.sum("docs").alias("docs")).where(F.col("docs") >= min_docs)
+    lost = stored(heavy.join(runs.all().hint("merge"), KEY).select(*KEY, "docs", "doc"), "lost")
+    runs.close()
+    # lines that over a thousandth of all documents' lines equal: less than a thousand keys, whose lines are found without a shuffle
+    hot = stored(lost.where(F.col("docs") * 1000 > cuts["n"]).select(*KEY, F.col("doc").alias("hot_doc")), "hot")
+    marked = hashed.join(F.broadcast(hot), KEY, "left")
+    rest = marked.where("hot_doc is null").drop("hot_doc").join(lost.where(F.col("docs") * 1000 <= cuts["n"]).select(*KEY, "doc").hint("merge"), KEY)
+    gone = marked.where("same <> hot_doc").select("same", "kind", "line_no").unionByName(rest.where("same <> doc").select("same", "kind", "line_no"))
+    dropped = gone.groupBy("same", "kind").agg(F.collect_set("line_no").alias("dropped"))
     # both tables grow with the input, so neither is broadcast at any size; each text moves once
     joined = base.join(stored(dropped, "dropped").hint("merge"), ["same", "kind"], "left")
     all_lines = _lines(F.col("text"))
