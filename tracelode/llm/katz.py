@@ -183,12 +183,13 @@ def grams(words: np.ndarray, local: np.ndarray, ends: np.ndarray, orders: int) -
             mixed = (mixed ^ (mixed >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
             hashes = mixed ^ (mixed >> np.uint64(29))
         del before, mixed
-        at = np.flatnonzero(valid)
+        at = np.flatnonzero(valid).astype(np.int32)
         keys, places, sample = distinct(hashes[at])
         place = np.full(len(local), -1, np.int32)
         place[at] = places
         sample = at[sample]
         out.append(Grams(keys, place, below[sample], sample))
+        del at, places
     return out
 
 
@@ -379,7 +380,7 @@ def _finished(totals: Totals, orders: int):
     return run
 
 
-def score_corpus(docs: DataFrame, held_out: int = 7, remainder: int = 2, orders: int = 3, block_tokens: int = 2_500_000) -> DataFrame:
+def score_corpus(docs: DataFrame, held_out: int = 7, remainder: int = 2, orders: int = 3, block_tokens: int = 1_500_000) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score), one row for each row of docs.
 
     Rows with crc32(doc_id as text) modulo held_out = remainder are scored only; the others are learnt from as well. Tokens:
