@@ -177,13 +177,48 @@ def test_substring_dedup_of_hostile_texts(spark):
         assert {r["doc_id"]: (r["n_words"], r["n_removed"]) for r in substring_dedup.remove_repeats(docs, shard_segments=size).collect()} == want
 
 
-def test_quality():
+def test_quality_prior_and_fit():
     rng = np.random.default_rng(0)
-    good = rng.normal(0, 1, (600, quality.FEATURES))
-    bad = rng.normal(2, 1, (200, quality.FEATURES))
-    net = quality.fit(good[:300], np.concatenate([good[300:], bad]), steps=300)
-    assert net.score(good).mean() > 0.8 and net.score(bad).mean() < 0.2 and 0.3 < net.prior < 0.9
-    assert np.isfinite(quality.features(None)).all() and quality.fit(good[:0], good).score(good)[0] == 0.5
+    d = quality.FEATURES
+    good, bad = rng.normal(0, 1, (3000, d)), rng.normal(0, 1, (900, d)) + 1.5 * rng.choice([-1, 1], d)
+    p, u = good[:1000], np.concatenate([good[1000:], bad])  # 69 % of the unlabelled are positives
+    half = lambda x: np.arange(len(x)) % 2
+    mean, scale = u.mean(0), u.std(0)
+    networks = quality.judges(mean, scale, p, half(p), u, half(u))
+    cells = lambda k, x: np.bincount(quality._cell(networks[k].margin(x[half(x) == k])), minlength=quality.CELLS)
+    priors = [quality.best_bin_prior(cells(k, p), cells(k, u)) for k in (0, 1)]
+    assert all(0.5 < prior < 0.72 for prior in priors)
+    net = quality.fit(mean, scale, p, u, min(priors))
+    assert (net.score(good) >= 0.3).mean() > 0.99 and (net.score(bad) < 0.3).mean() > 0.95
+    assert np.isfinite(quality.features(None)).all() and quality.fit(mean, scale, p[:0], u, 0.5).score(good)[0] == 0.5
+
+
+def test_quality_of_held_out_rows(spark):
+    """Nearly all held-out positives pass, nearly all held-out negatives do not; equal runs agree; labels and ids are no inputs."""
+    folder = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
+    network = quality.train(docs, labels)
+    again = quality.train(docs.repartition(5), labels.repartition(3))
+    held = quality.score(docs, network).join(labels, "doc_id").where(quality.crc_mod(quality.F.col("doc_id"), 5) == 0)
+    passed = {r["quality"]: r["share"] for r in held.groupBy("quality").agg(quality.F.avg("predicted").alias("share")).collect()}
+    assert passed[1] >= 0.99 and passed[0] <= 0.05
+    assert np.allclose(network.w1, again.w1) and abs(network.prior - again.prior) < 1e-9
+    moved = quality.score(docs.selectExpr("doc_id + 7 doc_id", "text", "'z' lang", "'z' source"), network)
+    assert moved.selectExpr("doc_id - 7 doc_id", "score s").join(quality.score(docs, network), "doc_id").where("s <> score").count() == 0
+
+
+def test_quality_of_odd_rows(spark, odd, none):
+    labels = spark.createDataFrame([(1, 1), (2, 0), (None, 1), (1, 1)], "doc_id bigint, quality int")
+    for docs, marks in ((odd, labels), (odd, labels.limit(0)), (none, labels), (none, labels.limit(0))):
+        network = quality.train(docs, marks)
+        got = quality.score(docs, network).collect()
+        assert len(got) == docs.count() and all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.3) for r in got)
+    clash = odd.selectExpr("doc_id", "text", "1 score", "2 predicted", "3 trusted", "4 half", "5 x")
+    network = quality.train(clash, labels.selectExpr("*", "'a' text", "1 trusted"))
+    got = quality.score(clash, network).collect()
+    assert len(got) == 5 and len({r["score"] for r in got}) == 3  # null and empty are one text, equal texts have one score
+    long = spark.createDataFrame([(1, "word " * 400_000), (2, "")], "doc_id bigint, text string")
+    assert quality.score(long, network).count() == 2
 
 
 def test_line_dedup(docs, odd, none):
