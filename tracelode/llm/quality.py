@@ -145,7 +145,7 @@ def judges(mean: np.ndarray, scale: np.ndarray, p: np.ndarray, p_half: np.ndarra
     z = lambda x: np.clip((x - mean) / scale, -8, 8)
     if not all((p_half == k).any() and (u_half == k).any() for k in (0, 1)):
         return None
-    return [_network(mean, scale, _fit(z(p[p_half != k]), z(u[u_half != k]), None, 7 + k, steps=200), 0.5) for k in (0, 1)]
+    return [_network(mean, scale, _fit(z(p[p_half != k]), z(u[u_half != k]), None, 7 + k, 200), 0.5) for k in (0, 1)]
 
 
 def fit(mean: np.ndarray, scale: np.ndarray, p: np.ndarray, u: np.ndarray, prior: float) -> Network:
@@ -218,111 +218,6 @@ def train(docs: DataFrame, labels: DataFrame, held_out: int = 5, sample: int = 8
     return fit(mean, scale, p, u, min(best_bin_prior(of[k, True], of[k, False]) for k in (0, 1)))
 
 
-def score(self, x: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.margin(x), -30, 30)))
-
-
-def _soft(x: np.ndarray) -> np.ndarray:
-    return np.logaddexp(0, x)
-
-
-def _fit(p: np.ndarray, u: np.ndarray, prior: float | None, steps: int, seed: int, hidden: int = 24, batch: int = 1024, rate: float = 3e-3) -> list[np.ndarray]:
-    """Adam on the non-negative PU risk, or (prior None) on plain positive-against-unlabelled logistic loss."""
-    rng = np.random.default_rng(seed)
-    d = p.shape[1]
-    theta = [rng.normal(0, d**-0.5, (d, hidden)), np.zeros(hidden), rng.normal(0, hidden**-0.5, hidden), np.zeros(1)]
-    m, v = [np.zeros_like(t) for t in theta], [np.zeros_like(t) for t in theta]
-    for step in range(1, steps + 1):
-        xp, xu = p[rng.integers(len(p), size=batch)], u[rng.integers(len(u), size=batch)]
-        x = np.concatenate([xp, xu])
-        h = np.maximum(x @ theta[0] + theta[1], 0)
-        g = h @ theta[2] + theta[3]
-        s = 1 / (1 + np.exp(-np.clip(g, -30, 30)))
-        sp, su = s[: len(xp)], s[len(xp) :]
-        if prior is None:
-            dg = np.concatenate([(sp - 1) / len(xp), su / len(xu)]) / 2
-        else:
-            negative = _soft(g[len(xp) :]).mean() - prior * _soft(g[: len(xp)]).mean()
-            if negative >= 0:
-                dg = np.concatenate([(prior * (sp - 1) - prior * sp) / len(xp), su / len(xu)])
-            else:  # the estimated negative risk went below zero: step back on it
-                dg = np.concatenate([prior * sp / len(xp), -su / len(xu)])
-        dh = np.outer(dg, theta[2]) * (h > 0)
-        grads = [x.T @ dh + 1e-4 * theta[0], dh.sum(0), h.T @ dg + 1e-4 * theta[2], np.array([dg.sum()])]
-        for i, grad in enumerate(grads):
-            m[i] = 0.9 * m[i] + 0.1 * grad
-            v[i] = 0.999 * v[i] + 0.001 * grad * grad
-            theta[i] = theta[i] - rate * (1 - step / (steps + 1)) * (m[i] / (1 - 0.9**step)) / (np.sqrt(v[i] / (1 - 0.999**step)) + 1e-8)
-    return theta
-
-
-def best_bin_prior(positive: np.ndarray, unlabelled: np.ndarray, delta: float = 0.1) -> float:
-    """Share of positives among the unlabelled: the smallest upper bound on it over top bins of scores."""
-    cuts = np.unique(np.quantile(positive, np.linspace(0, 0.95, 96)))
-    qp = (positive[:, None] >= cuts).mean(0) if len(cuts) else np.ones(1)
-    qu = (unlabelled[:, None] >= cuts).mean(0)
-    slack = lambda n: np.sqrt(np.log(4 / delta) / (2 * n))
-    best = np.argmin((qu + (slack(len(unlabelled)) + slack(len(positive)))) / qp)
-    return float(np.clip(qu[best] / qp[best], 0.05, 0.98))
-
-
-def fit(positives: np.ndarray, unlabelled: np.ndarray, steps: int = 1500, seed: int = 7, threshold: float = 0.3, keep: float = 0.995) -> Network:
-    """Train on feature rows. Without positives or unlabelled rows the network scores every text 0.5.
-
-    A fifth of the positives is set aside for calibration: the output is raised, by 4 at most, until a share `keep` of them
-    scores the threshold, so that a fit on few positives does not turn good texts away.
-    """
-    if not len(positives) or not len(unlabelled):
-        return Network(np.zeros(FEATURES), np.ones(FEATURES), np.zeros((FEATURES, 1)), np.zeros(1), np.zeros(1), 0.0, 0.5)
-    mean = unlabelled.mean(0)
-    scale = np.maximum(unlabelled.std(0), 1e-3)
-    rng = np.random.default_rng(seed)
-    order, unlabelled = rng.permutation(len(positives)), unlabelled[rng.permutation(len(unlabelled))]
-    aside = order[: len(positives) // 5]
-    p, u = (np.clip((x - mean) / scale, -8, 8) for x in (positives[order[len(aside) :]], unlabelled))
-    first = _fit(p, u[: len(u) // 2], None, steps // 2, seed)
-    against = lambda x: np.maximum(x @ first[0] + first[1], 0) @ first[2] + first[3]
-    # rows that this fit has not seen: it remembers a small sample, and would take the other positives for negatives
-    fresh = np.clip((positives[aside] - mean) / scale, -8, 8) if len(aside) else p
-    prior = best_bin_prior(against(fresh), against(u[len(u) // 2 :]))
-    w1, b1, w2, b2 = _fit(p, u, prior, steps, seed + 1)
-    network = Network(mean, scale, w1, b1, w2, float(b2[0]), prior)
-    if not len(aside):
-        return network
-    lowest = np.quantile(network.margin(positives[aside]), 1 - keep, method="lower")
-    return replace(network, b2=network.b2 + float(np.clip(np.log(threshold / (1 - threshold)) - lowest + 0.05, 0, 4)))
-
-
-def _feature_rows(docs: DataFrame) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = [features(t).astype(np.float32).tobytes() for t in b.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary())], names=["x"])
-
-    return docs.select("text").mapInArrow(run, "x binary")
-
-
-def _sampled(docs: DataFrame, n: int, rows: int) -> np.ndarray:
-    """Features of at most n of docs' `rows` rows, those with the smallest hashes of their id (nearly) in number."""
-    if rows > n:
-        docs = docs.where(F.pmod(F.xxhash64(F.lit(11), "doc_id"), F.lit(1_000_000)) < int(n / rows * 1_000_000))
-    got = _feature_rows(docs).limit(n).toPandas()["x"]
-    return np.array([np.frombuffer(x, np.float32) for x in got], dtype=float).reshape(-1, FEATURES)
-
-
-def train(docs: DataFrame, labels: DataFrame, held_out: int = 5, sample: int = 8_000) -> Network:
-    """Fit on rows whose crc32(doc_id as text) modulo held_out is not 0."""
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(crc_mod(F.col("doc_id"), held_out) != 0)
-    trusted = labels.where(F.col("quality") == 1).select(F.col("doc_id").cast("long").alias("doc_id")).where(crc_mod(F.col("doc_id"), held_out) != 0).distinct()
-    # the number of positives is bounded before any text is read: the sample of ids is small enough to send to all tasks
-    n = trusted.count()
-    if n > sample:
-        trusted = trusted.where(F.pmod(F.xxhash64(F.lit(11), "doc_id"), F.lit(1_000_000)) < int(sample / n * 1_000_000))
-    positives = _sampled(base.join(F.broadcast(trusted.limit(sample)), "doc_id", "left_semi"), sample, 0)
-    unlabelled = _sampled(base, sample, base.select("doc_id").count())
-    return fit(positives, unlabelled)
-
-
 def score(docs: DataFrame, network: Network, threshold: float = 0.3, keep: list[str] | None = None) -> DataFrame:
     """docs' doc_id (or the columns `keep`) with score (0 to 1) and predicted (1 if score >= threshold), a row for each row.
     Null and empty texts get the score of an empty text; repeated and null ids are scored like any other."""
