@@ -1,14 +1,18 @@
-"""Near copies by exact shingle similarity: the rule of the pipeline's third stage.
+"""Near copies by exact shingle similarity: the rule of the pipeline's third stage, operator 5 with a check behind it.
 
-Two texts are near copies if the sets of their word shingles have a Jaccard similarity of 4/5 or more. Candidates come from
-prefix filtering and not from fingerprints: 11 of 64 bits would leave bands of five bits, and pairs beyond them would be
-lost. In any fixed order of shingles, two such sets of n and m share one among the first n - ceil(4n/5) + 1 and
-m - ceil(4m/5) + 1, so texts meet at the shingles of their prefixes, and none is missed. The order puts shingles that are
-frequent in a sample last; the sample decides only how many candidates there are. Every candidate is verified.
+Two texts are near copies if the sets of their word shingles have a Jaccard similarity of 4/5 or more. Operator 5's fingerprints
+and BK-trees come first: links within a few bits, each verified, join most members of large groups. What differs in more bits
+(four fifths of shingles in common leave some ten of 64) no radius that bands can serve would find, so a prefix filter finds
+the rest: in any fixed order of shingles, two such sets of n and m share one among the first n - ceil(4n/5) + 1 and
+m - ceil(4m/5) + 1, so texts meet at the shingles of their prefixes, and none is missed. The order goes by the number of texts
+that hold a shingle, counted over all texts, rarest first; a shingle that one text holds alone is met by no other and is
+not sent. Every candidate is verified.
 
-Large groups of copies must not give all pairs: first, each text meets the few before it in its group, and components are
-made of the verified links. Then large groups give every pair that is still in two components. So components are those of
-all pairs.
+Large groups of copies must not give all pairs: each text meets the few before it in its group that are in other components, and
+the verified links make components. Then large groups give every pair that is still in two components. So components are
+those of all pairs.
+
+Counting follows operator 1: blocks of texts send their distinct shingles, packed, to buckets of hashes, which answer them.
 """
 
 from __future__ import annotations
@@ -18,16 +22,18 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import stored
-from .simhash import components
+from ._common import bitmap, discard, in_bitmap, pack, stored, unpack
+from .katz import _filled, distinct, pack_planes, pack_sorted, unpack_planes, unpack_sorted
+from .simhash import components, links
 
 #: Texts before it in its group that a text meets at first.
-WINDOW = 4
-#: Texts of the sample that gives the order, and the most shingles that are kept of it.
-SAMPLE, FREQUENT = 30_000, 300_000
+WINDOW = 2
+#: Differing bits of fingerprints whose texts are compared first.
+RADIUS = 3
 
 
 def shingles(text: str | None, width: int = 5) -> np.ndarray:
@@ -41,41 +47,100 @@ def shingles(text: str | None, width: int = 5) -> np.ndarray:
     return np.unique(np.array([digest(joined[a:b]) for a, b in zip(starts[: len(words) - width + 1].tolist(), ends[width - 1 :].tolist(), strict=True)], dtype=np.uint64))
 
 
-def prefix(found: np.ndarray, frequent: np.ndarray, ranks: np.ndarray) -> np.ndarray:
-    """The first n - ceil(4n/5) + 1 shingles: those that are not in `frequent` (ascending) by hash, then by rank."""
-    n = len(found)
-    size = n - -(-4 * n // 5) + 1
-    if not len(frequent):
-        return found[:size]
-    at = np.minimum(np.searchsorted(frequent, found), len(frequent) - 1)
-    weight = np.where(frequent[at] == found, ranks[at], 0)
-    return found[np.argsort(weight, kind="stable")[:size]]
+def _fingerprint(found: np.ndarray) -> int:
+    """SimHash of a set of shingles."""
+    ones = np.unpackbits(found.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(found), bitorder="little").view("<i8")[0])
+
 
+_BLOCK = "kind string, bucket int, block bigint, x binary, y binary, z binary, w binary"
 
-def _prefixes(nodes: DataFrame, width: int, frequent: np.ndarray, ranks: np.ndarray) -> DataFrame:
-    """(h, node, n, at): each distinct text's prefix; at: the shingle's place in the order."""
+
+def _blocks(nodes: DataFrame, width: int, size: int, buckets: int) -> DataFrame:
+    """Rows: block (x: nodes, y: where each one's shingles end, z: each shingle's place among the block's distinct ones, w:
+    fingerprints) and ask (bucket, x: distinct shingles, y: how many of the block's texts hold each)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
+        number, seen = TaskContext.get().partitionId() << 32, set()
+        ids, parts, total = [], [], 0
+
+        def closed() -> pa.RecordBatch:
+            keys, places, _ = distinct(np.concatenate(parts))
+            held = np.bincount(places).astype(np.uint32)
+            ends = np.cumsum([len(p) for p in parts]).astype(np.int64)
+            rows = [("block", None, number, pack(np.array(ids, np.int64)), pack(ends), pack_planes(places), pack(np.array([_fingerprint(p) for p in parts], np.int64)))]
+            rows += [("ask", k, number, pack_sorted(keys[s]), pack_planes(held[s]), None, None) for k, s in _filled(keys, buckets)]
+            types = [pa.string(), pa.int32(), pa.int64(), *[pa.binary()] * 4]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=[c.split()[0] for c in _BLOCK.split(", ")])
+
         for whole in batches:
             for i in range(0, whole.num_rows, 500):
                 b = whole.slice(i, 500)
-                hs, of, ns, ats = [], [], [], []
                 for node, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                     if node in seen:  # exact copies nearby; others meet as one in their group
                         continue
                     if len(seen) < 500_000:
                         seen.add(node)
-                    found = shingles(text, width)
-                    p = prefix(found, frequent, ranks)
-                    hs.append(p)
-                    of.append(np.full(len(p), node, np.int64))
-                    ns.append(np.full(len(p), len(found), np.int32))
-                    ats.append(np.arange(len(p), dtype=np.int32))
-                if hs:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hs).view(np.int64)), *[pa.array(np.concatenate(x)) for x in (of, ns, ats)]], names=["h", "node", "n", "at"])
+                    ids.append(node)
+                    parts.append(shingles(text, width))
+                    total += len(parts[-1])
+                    if total >= size:
+                        yield closed()
+                        ids, parts, total, number = [], [], 0, number + 1
+        if parts:
+            yield closed()
+
+    return nodes.mapInArrow(run, _BLOCK)
+
+
+def _holders(asked: pa.Table) -> pa.Table:
+    """A bucket's answers: (bucket, block, held, keys): of each asked shingle how many texts hold it; those that several do."""
+    asked = asked.sort_by("block")
+    parts = [unpack_sorted(x) for x in asked.column("x").to_pylist()]
+    cuts = np.cumsum([0, *map(len, parts)])
+    keys, of, _ = distinct(np.concatenate(parts))
+    held = np.bincount(of, np.concatenate([unpack_planes(y, np.uint32) for y in asked.column("y").to_pylist()]), len(keys)).astype(np.int64)[of]
+    out = [(pack_planes(held[a:b]), pack_sorted(keys[of[a:b]][held[a:b] > 1])) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+    return pa.table({"bucket": asked.column("bucket"), "block": asked.column("block"), "held": pa.array([h for h, _ in out], pa.binary()), "keys": pa.array([k for _, k in out], pa.binary())})
+
+
+def _prefix_rows(key: tuple, block: pa.Table, answers: pa.Table) -> pa.Table:
+    """(h, node, n, at) of a block: each text's prefix, without the shingles that it alone holds; at: the place in the order."""
+    del key
+    row = block.slice(0, 1).to_pylist()[0]
+    answers = answers.sort_by("bucket")
+    nodes, ends, places = unpack(row["x"], np.int64), unpack(row["y"], np.int64), unpack_planes(row["z"], np.int32)
+    held = np.concatenate([unpack_planes(x, np.int64) for x in answers.column("held").to_pylist()])
+    keys = np.zeros(len(held), np.uint64)
+    keys[held > 1] = np.concatenate([unpack_sorted(x) for x in answers.column("keys").to_pylist()])
+    n = np.diff(ends, prepend=0)
+    of = np.repeat(np.arange(len(n)), n)
+    order = np.lexsort((places, held[places], of))  # places ascend with the hashes
+    at = np.arange(len(of)) - np.repeat(ends - n, n)
+    size = n - -(-4 * n // 5) + 1
+    places = places[order]
+    keep = (at < size[of]) & (held[places] > 1)
+    return pa.table({"h": pa.array(keys[places[keep]].view(np.int64)), "node": pa.array(nodes[of[keep]]), "n": pa.array(n[of[keep]].astype(np.int32)), "at": pa.array(at[keep].astype(np.int32))})
+
+
+def _prints(blocks: DataFrame) -> DataFrame:
+    """(node, fp) of all blocks."""
 
-    return nodes.mapInArrow(run, "h bigint, node bigint, n int, at int")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for x, w in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                yield pa.RecordBatch.from_arrays([pa.array(unpack(x, np.int64)), pa.array(unpack(w, np.int64))], names=["node", "fp"])
+
+    return blocks.select("x", "w").mapInArrow(run, "node bigint, fp bigint")
+
+
+def _alike(prints: DataFrame, radius: int) -> DataFrame:
+    """(a, b): texts to compare because their fingerprints are equal or linked by operator 5's trees."""
+    first = stored(prints.groupBy("fp").agg(F.min("node").alias("first")), "first")
+    equal = prints.join(first, "fp").where("node <> first").select(F.least("node", "first").alias("a"), F.greatest("node", "first").alias("b"))
+    near = links(first.select("fp"), radius)
+    named = near.join(first.select(F.col("fp").alias("a"), F.col("first").alias("x")).hint("merge"), "a").join(first.select(F.col("fp").alias("b"), F.col("first").alias("y")).hint("merge"), "b")
+    return equal.unionByName(named.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))).distinct()
 
 
 def _possible(n: np.ndarray, at: np.ndarray, m: np.ndarray, to: np.ndarray) -> np.ndarray:
@@ -101,17 +166,18 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...
         yield tuple(np.concatenate([p[k] for p in rest]) for k in range(len(rest[0])))
 
 
-def _met(prefixes: DataFrame) -> DataFrame:
-    """(a, b, h, n, at): candidates (a, b), h null, of texts with the few before them; and members a of larger groups."""
+def _met(rows: DataFrame) -> DataFrame:
+    """(a, b, h, n, at): candidates (a, b), h null, of texts with the few before them in other components; and members a of larger
+    groups of more than one component. rows: (h, node, n, at, root)."""
     fields = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("h", pa.int64()), ("n", pa.int32()), ("at", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for h, n, node, at in _groups(batches):
+        for h, n, node, at, root in _groups(batches):
             once = np.append(True, (h[1:] != h[:-1]) | (node[1:] != node[:-1]))
-            h, n, node, at = h[once], n[once], node[once], at[once]
+            h, n, node, at, root = h[once], n[once], node[once], at[once], root[once]
             found = []
             for k in range(1, WINDOW + 1):
-                ok = np.flatnonzero((h[k:] == h[:-k]) & _possible(n[k:], at[k:], n[:-k], at[:-k])) if len(h) > k else np.array([], np.int64)
+                ok = np.flatnonzero((h[k:] == h[:-k]) & (root[k:] != root[:-k]) & _possible(n[k:], at[k:], n[:-k], at[:-k])) if len(h) > k else np.array([], np.int64)
                 x, y = node[ok + k], node[ok]
                 found.append((np.minimum(x, y), np.maximum(x, y)))
             a, b = (np.concatenate(x) for x in zip(*found, strict=True))
@@ -121,12 +187,13 @@ def _met(prefixes: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(keep[:, 0].copy()), pa.array(keep[:, 1].copy()), null, pa.nulls(len(keep), pa.int32()), pa.nulls(len(keep), pa.int32())], schema=fields)
             edges = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1], [True])))
             sizes = np.diff(edges)
-            large = np.repeat(sizes > WINDOW + 1, sizes)
+            mixed = np.minimum.reduceat(root, edges[:-1]) != np.maximum.reduceat(root, edges[:-1])
+            large = np.repeat((sizes > WINDOW + 1) & mixed, sizes)
             if large.any():
                 yield pa.RecordBatch.from_arrays([pa.array(node[large]), pa.nulls(int(large.sum()), pa.int64()), pa.array(h[large]), pa.array(n[large]), pa.array(at[large])], schema=fields)
 
-    rows = prefixes.repartition("h").sortWithinPartitions("h", "n", "node").select("h", "n", "node", "at")
-    return rows.mapInArrow(run, "a bigint, b bigint, h bigint, n int, at int")
+    dealt = rows.repartition("h").sortWithinPartitions("h", "n", "node").select("h", "n", "node", "at", "root")
+    return dealt.mapInArrow(run, "a bigint, b bigint, h bigint, n int, at int")
 
 
 def _apart(members: DataFrame) -> DataFrame:
@@ -158,21 +225,22 @@ def _apart(members: DataFrame) -> DataFrame:
 
 
 def _sets(nodes: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """(node, found): shingles of the wanted nodes."""
+    """(node, found): shingles of the wanted nodes, and of a few more that the bitmap lets through."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = None
+        seen: set[int] = set()
         for whole in batches:
             for i in range(0, whole.num_rows, 500):
                 b, ids, out = whole.slice(i, 500), [], []
                 for node, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                    if node != last:  # the merge join gives copies of a text one after another
+                    if node not in seen:
                         ids.append(node)
                         out.append(shingles(text, width).tobytes())
-                    last = node
+                    if len(seen) < 500_000:
+                        seen.add(node)
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.binary())], names=["node", "found"])
 
-    kept = nodes.join(wanted.hint("merge"), "node", "left_semi")
+    kept = in_bitmap(nodes, "node", bitmap(wanted.select(F.col("node").alias("h"))))
     return stored(kept.mapInArrow(run, "node bigint, found binary").dropDuplicates(["node"]), "sets")
 
 
@@ -194,50 +262,40 @@ def _verified(pairs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
     return stored(joined.select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint"), "verified")
 
 
-def _order(nodes: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that three or more texts of a sample hold, ascending, and their ranks from the rarest, from 1."""
-    total = nodes.count()
-    share = max(1, total // SAMPLE)
+def _rooted(rows: DataFrame, found: DataFrame | None) -> DataFrame:
+    """rows with the component (root) of their node, itself where no link has it."""
+    if found is None or found.isEmpty():
+        return rows.withColumn("root", F.col("node"))
+    return rows.join(stored(components(found), "components").hint("merge"), "node", "left").withColumn("root", F.coalesce("root", "node"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for i in range(0, b.num_rows, 500):
-                found = [shingles(t, width) for t in b.column(0).slice(i, 500).to_pylist()]
-                values, counts = np.unique(np.concatenate(found), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(counts)], names=["h", "c"])
-
-    sample = nodes.where(F.pmod("node", F.lit(share)) == 0).dropDuplicates(["node"]).select("text")
-    counted = sample.mapInArrow(run, "h bigint, c bigint").groupBy("h").agg(F.sum("c").alias("c")).where("c > 2").orderBy(F.desc("c"), "h").limit(FREQUENT)
-    table = counted.toArrow()
-    values, counts = np.asarray(table.column("h")).astype(np.int64).view(np.uint64), np.asarray(table.column("c")).astype(np.int64)
-    ranks = np.empty(len(values), np.int64)
-    ranks[np.lexsort((values, counts))] = np.arange(1, len(values) + 1)
-    order = np.argsort(values)
-    return values[order], ranks[order]
-
-
-def near_copies(docs: DataFrame, width: int = 5) -> DataFrame:
+
+def near_copies(docs: DataFrame, width: int = 5, block_shingles: int = 1_500_000) -> DataFrame:
     """(doc_id, component_id), one row for each row of docs.
 
     component_id: the smallest doc_id reachable over near copies. Texts without words are copies of each other. Repeated
     doc_ids keep their rows. A null doc_id joins its component but is never the component_id unless all are null.
     """
-    spark = docs.sparkSession
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     nodes = docs.select(F.xxhash64(text).alias("node"), text.alias("text"))
-    met = stored(_met(_prefixes(nodes, width, *_order(nodes, width))), "met")
-    links = _verified(stored(met.where("h is null").select("a", "b").distinct(), "pairs"), nodes, width)
+    length = nodes.agg(F.sum(F.octet_length("text"))).collect()[0][0] or 0
+    made = stored(_blocks(nodes, width, block_shingles, max(1, -(-int(length / 6) // block_shingles))), "blocks", partition_by=("kind",))
+    kind = lambda k: made.where(F.col("kind") == k).toDF(*made.columns)
+    alike = stored(_alike(stored(_prints(kind("block")), "prints"), RADIUS), "alike")
+    verified = _verified(alike, nodes, width)
+    answers = stored(kind("ask").select("bucket", "block", "x", "y").groupBy("bucket").applyInArrow(_holders, "bucket int, block bigint, held binary, keys binary"), "answers")
+    discard(made, "kind=ask")
+    prefixes = kind("block").select("block", "x", "y", "z").groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_prefix_rows, "h bigint, node bigint, n int, at int")
+    prefixes = stored(prefixes, "prefixes")
+    discard(made, "kind=block")
+    discard(answers)
+    met = stored(_met(_rooted(prefixes, verified)), "met")
+    verified = verified.unionByName(_verified(stored(met.where("h is null").select("a", "b").distinct(), "pairs"), nodes, width))
     large = met.where("h is not null").select("h", "n", F.col("a").alias("node"), "at")
     if not large.isEmpty():
-        of = large.withColumn("root", F.col("node")) if links.isEmpty() else large.join(stored(components(links), "first").hint("merge"), "node", "left").withColumn("root", F.coalesce("root", "node"))
-        more = stored(_apart(of).distinct(), "pairs")
-        if not more.isEmpty():
-            links = links.unionByName(_verified(more, nodes, width))
+        more = stored(_apart(_rooted(large, verified)).distinct(), "pairs")
+        verified = verified.unionByName(_verified(more, nodes, width))
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("node"))
-    if links.isEmpty():
-        roots = ids.select("node").distinct().withColumn("root", F.col("node"))
-    else:
-        roots = ids.select("node").distinct().join(stored(components(links), "components").hint("merge"), "node", "left").select("node", F.coalesce("root", "node").alias("root"))
+    roots = _rooted(ids.select("node").distinct(), verified)
     placed = stored(ids.join(roots.hint("merge"), "node").select("doc_id", "root"), "placed")
     least = placed.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     return placed.join(least.hint("merge"), "root").select("doc_id", "component_id")

@@ -87,7 +87,7 @@ class BKTree:
 
 
 def forest(values: list[int], radius: int) -> Iterator[tuple[int, int]]:
-    """(value, root) links that span the components of values within radius of each other."""
+    """Pairs of values within radius of each other that span the components of all such pairs."""
     tree, parent = BKTree(), {}
 
     def find(x: int) -> int:
@@ -100,11 +100,10 @@ def forest(values: list[int], radius: int) -> Iterator[tuple[int, int]]:
         parent[v] = v
         for other in tree.within(v, radius):
             a, b = find(v), find(other)
-            parent[max(a, b)] = min(a, b)
+            if a != b:
+                parent[max(a, b)] = min(a, b)
+                yield v, other
         tree.add(v)
-    for v in parent:
-        if (root := find(v)) != v:
-            yield v, root
 
 
 def _bands(n: int, bits: list[int]) -> list[int]:
