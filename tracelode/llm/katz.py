@@ -36,6 +36,8 @@ from ._common import crc_mod, discard, pack, stored, unpack
 #: Both the context before a text's first word and the token after its last.
 EDGE = np.uint64(0x9AE16A3B2F90404F)
 CUT = 5
+#: Parts in which blocks are evaluated, one after another.
+TURNS = 3
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -290,12 +292,22 @@ def weight(q: np.ndarray, p: np.ndarray) -> np.ndarray:
     return np.log10(np.maximum(1 - q, 1e-12)) - np.log10(np.maximum(1 - p, 1e-12))
 
 
-_STATE = "kind string, order int, bucket int, block bigint, keys binary, q binary, p binary, asked binary, doc_ids array<bigint>, held binary, n_tokens binary, n_known binary, base binary, score binary, waiting array<binary>"
+#: Mantissa bits of sums of probabilities that are not sent: what is left is exact to a part in 10**8 of them.
+_SPARED = np.uint64((1 << 64) - (1 << 24))
+_STATE = "kind string, order int, bucket int, block bigint, keys binary, total binary, classes binary, p binary, asked binary, doc_ids array<bigint>, held binary, n_tokens binary, n_known binary, base binary, score binary, waiting array<binary>"
+
+
+def _classes(context: np.ndarray, count: np.ndarray, n: int) -> np.ndarray:
+    """For each of n contexts how many n-grams have a count of 1 to 5, and the sum of larger counts."""
+    rows = [np.bincount(context[count == r], minlength=n) for r in range(1, CUT + 1)]
+    large = count > CUT
+    return np.array([*rows, np.bincount(context[large], count[large], n).astype(np.int64)])
 
 
 def _evaluated(totals: Totals, orders: int, buckets: int):
-    """Score a block but for the weights of contexts that other blocks hold as well. Rows: sum (keys of such contexts, with
-    the sums q and p of what the block owns, and which of them it asks for), state (the scores so far; waiting: for each
+    """Score a block but for the weights of contexts that other blocks hold as well. Rows: sum (keys of such contexts, their
+    counts, how many n-grams of each count from 1 to 5 the block owns and the sum of larger counts, the lower order's probability p of
+    their words, and which weights the block asks for), state (the scores so far; waiting: for each
     order, the documents and places among the asked contexts whose weights are to be added)."""
 
     def run(key: tuple, block: pa.Table, replies: pa.Table) -> pa.Table:
@@ -321,6 +333,7 @@ def _evaluated(totals: Totals, orders: int, buckets: int):
             lower = p[-2][below.place[g.at]]
             mine, n = own[order - 1], len(below.keys)
             sum_q, sum_p = (np.bincount(g.context[mine], x[mine], n) for x in (p[-1], lower))
+            classes = _classes(g.context[mine], count[order - 1][mine], n)
             others = shared[order - 2]
             at = np.flatnonzero(g.place >= 0)
             of = g.place[at]
@@ -334,29 +347,38 @@ def _evaluated(totals: Totals, orders: int, buckets: int):
             asked = np.zeros(n, bool)
             asked[asks] = True
             send = np.flatnonzero(others & (asked | (sum_q > 0)))
-            keys = below.keys[send]
-            rows += [("sum", order, k, row["block"], pack_sorted(keys[s]), pack(sum_q[send[s]]), pack(sum_p[send[s]]), pack(asked[send[s]])) + (None,) * 7 for k, s in _filled(keys, buckets)]
+            keys, total, rest = below.keys[send], count[order - 2][send], (sum_p[send].view(np.uint64) & _SPARED).view(np.float64)
+            rows += [("sum", order, k, row["block"], pack_sorted(keys[s]), pack_planes(total[s]), pack_planes(classes[:, send[s]].ravel()), pack_planes(rest[s]), pack(np.packbits(asked[send[s]]))) + (None,) * 7 for k, s in _filled(keys, buckets)]
             waiting += [pack(doc[at[open_]]), pack(which.astype(np.int32))]
         known = count[0] > 0
         base = np.log10((count[0] + 1) / (totals.tokens + totals.words + 1))
         sums = [np.add.reduceat(x, starts) for x in (known[local].astype(np.int64), base[local], score)]
-        rows.append(("state", 0, 0, row["block"], None, None, None, None, row["doc_ids"], row["held"], pack(ends - starts), *map(pack, sums), waiting))
-        types = [pa.string(), pa.int32(), pa.int32(), pa.int64(), *[pa.binary()] * 4, pa.list_(pa.int64()), *[pa.binary()] * 5, pa.list_(pa.binary())]
+        rows.append(("state", 0, 0, row["block"], None, None, None, None, None, row["doc_ids"], row["held"], pack(ends - starts), *map(pack, sums), waiting))
+        types = [pa.string(), pa.int32(), pa.int32(), pa.int64(), *[pa.binary()] * 5, pa.list_(pa.int64()), *[pa.binary()] * 5, pa.list_(pa.binary())]
         return pa.table([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=[c.split()[0] for c in _STATE.split(", ")])
 
     return run
 
 
-def _weighed(sums: pa.Table) -> pa.Table:
-    """A bucket's contexts: (order, bucket, block, logs), the weights each block asked for."""
-    sums = sums.sort_by("block")
-    parts = [unpack_sorted(x) for x in sums.column("keys").to_pylist()]
-    cuts = np.cumsum([0, *map(len, parts)])
-    keys, of, _ = distinct(np.concatenate(parts))
-    q, p = (np.bincount(of, np.concatenate([unpack(x, np.float64) for x in sums.column(c).to_pylist()]), len(keys)) for c in ("q", "p"))
-    logs = weight(q, p)
-    out = [pack(logs[of[cuts[i] : cuts[i + 1]][unpack(asked, bool)]]) for i, asked in enumerate(sums.column("asked").to_pylist())]
-    return pa.table({"order": sums.column("order"), "bucket": sums.column("bucket"), "block": sums.column("block"), "logs": pa.array(out, pa.binary())})
+def _weighed(totals: Totals):
+    def run(sums: pa.Table) -> pa.Table:
+        """A bucket's contexts: (order, bucket, block, logs), the weights each block asked for."""
+        sums = sums.sort_by("block")
+        order = sums.column("order")[0].as_py()
+        parts = [unpack_sorted(x) for x in sums.column("keys").to_pylist()]
+        cuts = np.cumsum([0, *map(len, parts)])
+        keys, of, sample = distinct(np.concatenate(parts))
+        total = np.concatenate([unpack_planes(x, np.int64) for x in sums.column("total").to_pylist()])[sample]
+        classes = np.concatenate([unpack_planes(x, np.int64).reshape(CUT + 1, -1) for x in sums.column("classes").to_pylist()], axis=1)
+        freed = [*(d * r for r, d in enumerate(totals.discounts[order - 1], 1)), 1.0]
+        q = sum(w * np.bincount(of, classes[r], len(keys)) for r, w in enumerate(freed)) / np.maximum(total, 1)
+        p = np.bincount(of, np.concatenate([unpack_planes(x, np.float64) for x in sums.column("p").to_pylist()]), len(keys))
+        logs = weight(q, p)
+        asked = [np.unpackbits(unpack(x, np.uint8), count=len(k)).astype(bool) for x, k in zip(sums.column("asked").to_pylist(), parts, strict=True)]
+        out = [pack(logs[of[cuts[i] : cuts[i + 1]][a]]) for i, a in enumerate(asked)]
+        return pa.table({"order": sums.column("order"), "bucket": sums.column("bucket"), "block": sums.column("block"), "logs": pa.array(out, pa.binary())})
+
+    return run
 
 
 _SCORES = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
@@ -390,7 +412,8 @@ def score_corpus(docs: DataFrame, held_out: int = 7, remainder: int = 2, orders:
     """
     out = crc_mod(F.col("doc_id"), held_out) == remainder
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).select("doc_id", "text", (~out).alias("trained"), out.alias("held_out"))
-    blocks = stored(_blocks(base, block_tokens), "blocks")
+    blocks = _blocks(base, block_tokens).withColumn("turn", F.pmod(F.xxhash64("block"), F.lit(TURNS)).cast("int"))
+    blocks = stored(blocks, "blocks", partition_by=("turn",))
     # as many buckets as full blocks, nearly: a bucket then takes about as much memory as a block, at any size of input
     length = base.agg(F.sum(F.octet_length("text"))).collect()[0][0] or 0
     buckets = max(1, -(-int(length / 6) // block_tokens))
@@ -399,12 +422,19 @@ def score_corpus(docs: DataFrame, held_out: int = 7, remainder: int = 2, orders:
     kind = lambda k: reduce(DataFrame.unionByName, [m.where(F.col("kind") == k).toDF(*m.columns) for m in model])
     totals = _totals(kind("size"), orders)
     replies = kind("reply").select("order", "bucket", "block", "y")
-    evaluated = stored(blocks.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(_evaluated(totals, orders, buckets), _STATE), "evaluated", partition_by=("kind",))
-    discard(blocks)
+    # in turns, each of which drops its blocks: less is on disk at a time
+    evaluated = []
+    for t in range(TURNS):
+        of_turn = blocks.where(F.col("turn") == t).drop("turn")
+        mine = replies.where(F.pmod(F.xxhash64("block"), F.lit(TURNS)) == t)
+        evaluated.append(stored(of_turn.groupBy("block").cogroup(mine.groupBy("block")).applyInArrow(_evaluated(totals, orders, buckets), _STATE), "evaluated", partition_by=("kind",)))
+        discard(blocks, f"turn={t}")
     for m in model:
         discard(m, "kind=reply")
-    sums = evaluated.where("kind = 'sum'").select("order", "bucket", "block", "keys", "q", "p", "asked")
-    weights = stored(sums.groupBy("order", "bucket").applyInArrow(_weighed, "order int, bucket int, block bigint, logs binary"), "weights")
-    discard(evaluated, "kind=sum")
-    states = evaluated.where("kind = 'state'").select("block", "doc_ids", "held", "n_tokens", "n_known", "base", "score", "waiting")
+    told = reduce(DataFrame.unionByName, evaluated)
+    sums = told.where("kind = 'sum'").select("order", "bucket", "block", "keys", "total", "classes", "p", "asked")
+    weights = stored(sums.groupBy("order", "bucket").applyInArrow(_weighed(totals), "order int, bucket int, block bigint, logs binary"), "weights")
+    for e in evaluated:
+        discard(e, "kind=sum")
+    states = told.where("kind = 'state'").select("block", "doc_ids", "held", "n_tokens", "n_known", "base", "score", "waiting")
     return states.groupBy("block").cogroup(weights.groupBy("block")).applyInArrow(_finished(totals, orders), _SCORES)
