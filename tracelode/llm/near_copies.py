@@ -8,9 +8,9 @@ m - ceil(4m/5) + 1, so texts meet at the shingles of their prefixes, and none is
 that hold a shingle, counted over all texts, rarest first; a shingle that one text holds alone is met by no other and is
 not sent. Every candidate is verified.
 
-Large groups of copies must not give all pairs: each text meets the few before it in its group that are in other components, and
-the verified links make components. Then large groups give every pair that is still in two components. So components are
-those of all pairs.
+Large groups of copies must not give all pairs: each text meets the one before it in its groups, if that is in another component,
+first at its rarest shingles and then at all, and the verified links make components. Then large groups give every pair that is
+still in two components. So components are those of all pairs.
 
 Counting follows operator 1: blocks of texts send their distinct shingles, packed, to buckets of hashes, which answer them.
 """
@@ -30,8 +30,8 @@ from ._common import bitmap, discard, in_bitmap, pack, stored, unpack
 from .katz import _filled, distinct, pack_planes, pack_sorted, unpack_planes, unpack_sorted
 from .simhash import components, links
 
-#: Texts before it in its group that a text meets at first.
-WINDOW = 2
+#: Groups, of its rarest shingles, in which a text meets the one before it at first.
+FIRST = 2
 #: Differing bits of fingerprints whose texts are compared first.
 RADIUS = 3
 
@@ -105,7 +105,8 @@ def _holders(asked: pa.Table) -> pa.Table:
 
 
 def _prefix_rows(key: tuple, block: pa.Table, answers: pa.Table) -> pa.Table:
-    """(h, node, n, at) of a block: each text's prefix, without the shingles that it alone holds; at: the place in the order."""
+    """(nth, h, node, n, at) of a block: each text's prefix, without the shingles that it alone holds; at: the place in the order, nth:
+    that among those which are left."""
     del key
     row = block.slice(0, 1).to_pylist()[0]
     answers = answers.sort_by("bucket")
@@ -120,7 +121,9 @@ def _prefix_rows(key: tuple, block: pa.Table, answers: pa.Table) -> pa.Table:
     size = n - -(-4 * n // 5) + 1
     places = places[order]
     keep = (at < size[of]) & (held[places] > 1)
-    return pa.table({"h": pa.array(keys[places[keep]].view(np.int64)), "node": pa.array(nodes[of[keep]]), "n": pa.array(n[of[keep]].astype(np.int32)), "at": pa.array(at[keep].astype(np.int32))})
+    kept = of[keep]
+    nth = np.arange(len(kept)) - np.searchsorted(kept, kept)
+    return pa.table({"nth": pa.array(nth.astype(np.int32)), "h": pa.array(keys[places[keep]].view(np.int64)), "node": pa.array(nodes[of[keep]]), "n": pa.array(n[of[keep]].astype(np.int32)), "at": pa.array(at[keep].astype(np.int32))})
 
 
 def _prints(blocks: DataFrame) -> DataFrame:
@@ -167,20 +170,16 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...
 
 
 def _met(rows: DataFrame) -> DataFrame:
-    """(a, b, h, n, at): candidates (a, b), h null, of texts with the few before them in other components; and members a of larger
-    groups of more than one component. rows: (h, node, n, at, root)."""
+    """(a, b, h, n, at): candidates (a, b), h null, of texts with the one before them, if it is in another component; and members a
+    of larger groups of more than one component. rows: (h, node, n, at, root)."""
     fields = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("h", pa.int64()), ("n", pa.int32()), ("at", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for h, n, node, at, root in _groups(batches):
             once = np.append(True, (h[1:] != h[:-1]) | (node[1:] != node[:-1]))
             h, n, node, at, root = h[once], n[once], node[once], at[once], root[once]
-            found = []
-            for k in range(1, WINDOW + 1):
-                ok = np.flatnonzero((h[k:] == h[:-k]) & (root[k:] != root[:-k]) & _possible(n[k:], at[k:], n[:-k], at[:-k])) if len(h) > k else np.array([], np.int64)
-                x, y = node[ok + k], node[ok]
-                found.append((np.minimum(x, y), np.maximum(x, y)))
-            a, b = (np.concatenate(x) for x in zip(*found, strict=True))
+            ok = np.flatnonzero((h[1:] == h[:-1]) & (root[1:] != root[:-1]) & _possible(n[1:], at[1:], n[:-1], at[:-1]))
+            a, b = np.minimum(node[ok + 1], node[ok]), np.maximum(node[ok + 1], node[ok])
             keep = np.unique(np.stack([a, b], 1), axis=0) if len(a) else np.zeros((0, 2), np.int64)
             if len(keep):
                 null = pa.nulls(len(keep), pa.int64())
@@ -188,7 +187,7 @@ def _met(rows: DataFrame) -> DataFrame:
             edges = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1], [True])))
             sizes = np.diff(edges)
             mixed = np.minimum.reduceat(root, edges[:-1]) != np.maximum.reduceat(root, edges[:-1])
-            large = np.repeat((sizes > WINDOW + 1) & mixed, sizes)
+            large = np.repeat((sizes > 2) & mixed, sizes)
             if large.any():
                 yield pa.RecordBatch.from_arrays([pa.array(node[large]), pa.nulls(int(large.sum()), pa.int64()), pa.array(h[large]), pa.array(n[large]), pa.array(at[large])], schema=fields)
 
@@ -284,12 +283,15 @@ def near_copies(docs: DataFrame, width: int = 5, block_shingles: int = 1_500_000
     verified = _verified(alike, nodes, width)
     answers = stored(kind("ask").select("bucket", "block", "x", "y").groupBy("bucket").applyInArrow(_holders, "bucket int, block bigint, held binary, keys binary"), "answers")
     discard(made, "kind=ask")
-    prefixes = kind("block").select("block", "x", "y", "z").groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_prefix_rows, "h bigint, node bigint, n int, at int")
+    prefixes = kind("block").select("block", "x", "y", "z").groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_prefix_rows, "nth int, h bigint, node bigint, n int, at int")
     prefixes = stored(prefixes, "prefixes")
     discard(made, "kind=block")
     discard(answers)
-    met = stored(_met(_rooted(prefixes, verified)), "met")
-    verified = verified.unionByName(_verified(stored(met.where("h is null").select("a", "b").distinct(), "pairs"), nodes, width))
+    pairs = lambda met: _verified(stored(met.where("h is null").select("a", "b").distinct(), "pairs"), nodes, width)
+    # large groups of copies are joined at their rarest shingles, before all shingles are looked at
+    verified = verified.unionByName(pairs(_met(_rooted(prefixes.where(F.col("nth") < FIRST).drop("nth"), verified))))
+    met = stored(_met(_rooted(prefixes.drop("nth"), verified)), "met")
+    verified = verified.unionByName(pairs(met))
     large = met.where("h is not null").select("h", "n", F.col("a").alias("node"), "at")
     if not large.isEmpty():
         more = stored(_apart(_rooted(large, verified)).distinct(), "pairs")
