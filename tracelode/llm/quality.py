@@ -19,10 +19,10 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ._common import crc_mod, stored
 
@@ -223,11 +223,14 @@ def score(docs: DataFrame, network: Network, threshold: float = 0.3, keep: list[
     Null and empty texts get the score of an empty text; repeated and null ids are scored like any other."""
     keep = keep or ["doc_id"]
     net = docs.sparkSession.sparkContext.broadcast(network)  # of fixed size
+    kept = docs.select(*keep, F.col("text").cast("string").alias("scored_text"))
+    schema = StructType([*kept.schema.fields[:-1], StructField("score", DoubleType())])
 
-    def run(series: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for s in series:
-            yield pd.Series(np.concatenate([net.value.score(np.array([features(t) for t in s.iloc[i : i + 256]]).reshape(-1, FEATURES)) for i in range(0, len(s), 256)] or [np.zeros(0)]))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                b = batch.slice(at, 500)
+                scores = net.value.score(np.array([features(t) for t in b.column(b.num_columns - 1).to_pylist()]))
+                yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(scores)], names=[*b.schema.names[:-1], "score"])
 
-    udf = F.pandas_udf(run, "double")
-    out = docs.select(*keep, udf(F.col("text").cast("string")).alias("score"))
-    return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    return kept.mapInArrow(run, schema).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
