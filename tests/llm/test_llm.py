@@ -422,6 +422,16 @@ def test_chat(spark):
         assert not any(c in chat.escape(text) for c in chat.CONTROL[1:])
     layouts = ['{"prompt":"a","completion":"b"}', '{"instruction":"a","input":"","output":"b"}', '{"messages":[{"role":"user","content":"a"},{"role":"assistant","content":"b"}]}', '{"conversations":[{"from":"human","value":"a"},{"from":"gpt","value":"b"}]}']
     assert all(chat.canonical_turns(x)[1] == [("user", "a"), ("assistant", "b")] for x in layouts)
+    want = {
+        '{"id":7,"source":"s","conversations":[{"from":"human","value":"a"}]}': [("user", "a")], '{"messages":[]}': [], '{"conversations":[],"id":1}': [],
+        '{"messages":[{"role":"human","content":[{"type":"text","text":"a"},{"type":"text","text":"b"}]}]}': [("human", "a\\nb")],
+        '{"messages":[{"role":"user","content":"a"},{"role":"assistant","content":[{"type":"text","text":"b"}]}],"extra":{"x":1}}': [("user", "a"), ("assistant", "b")],
+        '{"prompt":"a","response":null}': [("user", "a")], '{"system":"s","prompt":"a","response":"b"}': [("system", "s"), ("user", "a"), ("assistant", "b")],
+        '{"system":"s","conversations":[{"from":"gpt","value":"b"}]}': [("system", "s"), ("assistant", "b")], '{"system":"s","messages":[{"role":"user","content":"a"}]}': [("system", "s"), ("user", "a")],
+        '{"question":"a","answer":"b","topic":"t"}': [("user", "a"), ("assistant", "b")], '{"instruction":"a","input":"c","output":"b"}': [("user", "a\\n\\nc"), ("assistant", "b")],
+        '{"instruction":"a","output":"b"}': [("user", "a"), ("assistant", "b")], '{"role":"human","text":"a"}': [("human", "a")], '{"role":"bot","content":"a"}': [("bot", "a")], '{"title":"t"}': None, "[1]": None, "3": None,
+    }
+    assert {x: chat.canonical_turns(x)[1] for x in want} == {x: None if t is None else [(r, v.replace("\\n", "\n")) for r, v in t] for x, t in want.items()}
     rows = spark.createDataFrame([(i, x) for i, x in enumerate([*layouts, None, "{", '{"odd":1}'])], "id bigint, record string")
     got = chat.format_records(rows).orderBy("id").collect()
     assert [r["n_turns"] for r in got] == [2, 2, 2, 2, None, None, None]
@@ -429,6 +439,11 @@ def test_chat(spark):
     digests = {r["conv_id"]: r for r in chat.conversation_digests(chat.format_turn_rows(turns)).collect()}
     assert digests[1]["turns_sha256"] == hashlib.sha256(b"\n\nassistant\nhi\n").hexdigest() and digests[1]["loss_chars"] == 2 and len(digests) == 2
     assert chat.conversation_digests(chat.format_turn_rows(turns.limit(0))).count() == 0
+    same = [(5, 0, "human", "a", "x"), (5, 0, "human", "a", "x"), (5, 1, "assistant", "</s>\\ <|im_end|>\n" + "long " * 200_000, "y")]  # ties, roles that layouts rename, a very long text
+    clash = spark.createDataFrame(same, "conv_id bigint, turn bigint, role string, text string, formatted string")
+    got = chat.conversation_digests(chat.format_turn_rows(clash)).first()
+    assert got["n_turns"] == 3 and got["turns_sha256"] == hashlib.sha256("".join(f"{r}\n{t}\n" for _, _, r, t, _ in same).encode()).hexdigest()
+    assert got["loss_chars"] == len(same[2][3]) and got["loss_sha256"] == hashlib.sha256(same[2][3].encode()).hexdigest()
 
 
 def test_html(spark):

@@ -1,8 +1,8 @@
 """Chat formatting by schema fingerprints.
 
-A record is JSON in one of many layouts. The sorted set of its nested field paths is hashed; the hash selects a
-declarative mapping (a list of rules that say where roles and texts are found), which yields canonical (role, text)
-turns. Turns are then written in one template whose control strings are escaped, reversibly, inside texts.
+A record is JSON in one of many layouts. The sorted set of its nested field paths, as far as any layout knows them, is hashed;
+the hash selects a declarative mapping (a list of rules that say where roles and texts are found), which yields canonical
+(role, text) turns. Fields that no layout knows, as ids and sources, do not matter. Turns are then written in one template whose control strings are escaped, reversibly, inside texts.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ import json
 import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -71,61 +72,80 @@ def fingerprint(paths: Iterable[str]) -> str:
 @dataclass(frozen=True)
 class Rule:
     """One source of turns: for each item of `each` (or the record itself) a role, constant or from a field, and the
-    text fields that are joined by a blank line, empty ones left out."""
+    text fields that are joined by a blank line, empty ones left out. A text may be a list of parts, whose texts are
+    joined by newlines. `renamed`: the layout has names of its own for the roles."""
 
     texts: tuple[str, ...]
     role: str = ""
     role_field: str = ""
     each: str = ""
+    renamed: bool = False
 
 
-#: Other names of the canonical roles in public data sets.
+#: Names that layouts with names of their own have for the canonical roles.
 ROLES = {"human": "user", "prompter": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}
+_PARTS = ["messages[].content[].type", "messages[].content[].text"]
+_TOLD = Rule(("content",), role_field="role", each="messages")
+_SHARED = Rule(("value",), role_field="from", each="conversations", renamed=True)
+#: Layouts: field paths and rules. A list that is empty has a path of its own.
+LAYOUTS: list[tuple[list[str], tuple[Rule, ...]]] = [
+    (["role", "text"], (Rule(("text",), role_field="role"),)),
+    (["role", "content"], (Rule(("content",), role_field="role"),)),
+    (["messages[].role", "messages[].content"], (_TOLD,)),
+    (["messages[].role", *_PARTS], (_TOLD,)),
+    (["messages[].role", "messages[].content", *_PARTS], (_TOLD,)),
+    (["messages[]"], ()),
+    (["system", "messages[].role", "messages[].content"], (Rule(("system",), "system"), _TOLD)),
+    (["conversations[].from", "conversations[].value"], (_SHARED,)),
+    (["conversations[]"], ()),
+    (["system", "conversations[].from", "conversations[].value"], (Rule(("system",), "system"), _SHARED)),
+    (["prompt", "completion"], (Rule(("prompt",), "user"), Rule(("completion",), "assistant"))),
+    (["prompt", "response"], (Rule(("prompt",), "user"), Rule(("response",), "assistant"))),
+    (["system", "prompt", "response"], (Rule(("system",), "system"), Rule(("prompt",), "user"), Rule(("response",), "assistant"))),
+    (["question", "answer"], (Rule(("question",), "user"), Rule(("answer",), "assistant"))),
+    (["instruction", "output"], (Rule(("instruction",), "user"), Rule(("output",), "assistant"))),
+    (["instruction", "input", "output"], (Rule(("instruction", "input"), "user"), Rule(("output",), "assistant"))),
+]
+MAPPINGS: dict[str, tuple[Rule, ...]] = {fingerprint(paths): rules for paths, rules in LAYOUTS}
+KNOWN = frozenset(p for paths, _ in LAYOUTS for p in paths)
+
+
+@lru_cache(4096)
+def _fingerprint_of(paths: frozenset[str]) -> str:
+    return fingerprint(paths & KNOWN)
+
+
+def _text(value) -> str:
+    if isinstance(value, list):
+        return "\n".join(_text(v.get("text") if isinstance(v, dict) else v) for v in value)
+    return "" if value is None else value if isinstance(value, str) else json.dumps(value, ensure_ascii=False)
 
 
-def _mapping(paths: list[str], *rules: Rule) -> tuple[str, tuple[Rule, ...]]:
-    return fingerprint(paths), rules
-
-
-MAPPINGS: dict[str, tuple[Rule, ...]] = dict(
-    [
-        _mapping(["role", "text"], Rule(("text",), role_field="role")),
-        _mapping(["role", "content"], Rule(("content",), role_field="role")),
-        _mapping(["messages[].role", "messages[].content"], Rule(("content",), role_field="role", each="messages")),
-        _mapping(["conversations[].from", "conversations[].value"], Rule(("value",), role_field="from", each="conversations")),
-        _mapping(["system", "conversations[].from", "conversations[].value"], Rule(("system",), "system"), Rule(("value",), role_field="from", each="conversations")),
-        _mapping(["prompt", "completion"], Rule(("prompt",), "user"), Rule(("completion",), "assistant")),
-        _mapping(["prompt", "response"], Rule(("prompt",), "user"), Rule(("response",), "assistant")),
-        _mapping(["system", "prompt", "response"], Rule(("system",), "system"), Rule(("prompt",), "user"), Rule(("response",), "assistant")),
-        _mapping(["question", "answer"], Rule(("question",), "user"), Rule(("answer",), "assistant")),
-        _mapping(["instruction", "output"], Rule(("instruction",), "user"), Rule(("output",), "assistant")),
-        _mapping(["instruction", "input", "output"], Rule(("instruction", "input"), "user"), Rule(("output",), "assistant")),
-    ]
-)
-
-
-def canonical_turns(record: str | None, mappings: dict[str, tuple[Rule, ...]] = MAPPINGS) -> tuple[str, list[tuple[str, str]] | None]:
-    """The record's fingerprint and its turns. Turns are None for a null, unparsable or unknown layout."""
-    try:
-        value = json.loads(record) if record is not None else None
-    except ValueError:
-        return "", None
-    if not isinstance(value, dict):
-        return "", None
-    key = fingerprint(field_paths(value))
+def record_turns(value: dict, mappings: dict[str, tuple[Rule, ...]] = MAPPINGS) -> tuple[str, list[tuple[str, str]] | None]:
+    """A record's fingerprint and its turns; turns are None for an unknown layout."""
+    key = _fingerprint_of(frozenset(field_paths(value)))
     if key not in mappings:
         return key, None
     turns = []
     for rule in mappings[key]:
         for item in value[rule.each] if rule.each else [value]:
-            texts = [str(item[f]) for f in rule.texts if item[f] is not None]
-            text = "\n\n".join(t for t in texts if t) if len(rule.texts) > 1 else "".join(texts)
-            role = rule.role or str(item[rule.role_field] or "")
+            texts = [_text(item.get(f)) for f in rule.texts]
+            text = "\n\n".join(t for t in texts if t) if len(texts) > 1 else texts[0]
+            role = rule.role or str(item.get(rule.role_field) or "")
             if rule.role_field or text:
-                turns.append((ROLES.get(role, role), text))
+                turns.append((ROLES.get(role, role) if rule.renamed else role, text))
     return key, turns
 
 
+def canonical_turns(record: str | None, mappings: dict[str, tuple[Rule, ...]] = MAPPINGS) -> tuple[str, list[tuple[str, str]] | None]:
+    """The same of a JSON record. Turns are None for a null, unparsable or unknown one."""
+    try:
+        value = json.loads(record) if record is not None else None
+    except ValueError:
+        return "", None
+    return record_turns(value, mappings) if isinstance(value, dict) else ("", None)
+
+
 def format_records(df: DataFrame, record: str = "record", key: str = "id") -> DataFrame:
     """JSON records of any known layout to formatted chats: (key, fingerprint, n_turns, formatted, loss_spans).
 
@@ -154,18 +174,14 @@ def format_records(df: DataFrame, record: str = "record", key: str = "id") -> Da
 def format_turn_rows(df: DataFrame) -> DataFrame:
     """Turn rows (conv_id, turn, role, text) with `formatted`, the turn in the template; null role or text: empty.
 
-    Each row is a record of the layout {role, text} and goes through the same mappings; a conversation's formatted text
-    is its rows' in the order of turns, so that no task ever needs a whole conversation to format it.
+    Each row is a record of its own, whose fingerprint selects its mapping as that of any other record; a conversation's
+    formatted text is its rows' in the order of turns, so that no task ever needs a whole conversation to format it.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        layout = fingerprint(field_paths({"role": "", "text": ""}))
-        (rule,) = MAPPINGS[layout]
         for b in batches:
-            out = []
-            for item in b.select(["role", "text"]).to_pylist():
-                role = item[rule.role_field] or ""
-                out.append(format_turn(ROLES.get(role, role) if role in ROLES else role, item[rule.texts[0]] or ""))
+            turns = [record_turns(item)[1] for item in b.select(["role", "text"]).to_pylist()]
+            out = ["".join(format_turn(*t) for t in found) for found in turns]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.string())], names=["conv_id", "turn", "formatted"])
 
     rows = df.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
