@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracelode.llm import decontamination, line_dedup, near_copies, packing, quality
-from tracelode.llm._common import scratch
+from tracelode.llm._common import bitmap, in_bitmap, scratch, stored
 from tracelode.llm.queries import tokenizer_path
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -30,12 +30,15 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays, the one with the smallest id.
 
-    Near copies hold the same five-word shingles to 4/5 or more, which operator 5's three words and two bits mostly miss.
-    Documents without an id stay; so do all rows of an id if one of them is its group's smallest.
+    Near copies hold the same five-word shingles to 4/5 or more: operator 5's trees find most, a prefix filter the rest.
+    Documents without an id stay; so do all rows of an id if one of them is its group's smallest. Documents that certainly
+    stay do not move: a bitmap of the ids that go tells them from the others.
     """
     groups = near_copies.near_copies(docs)
-    gone = groups.groupBy("doc_id").agg(F.max("component_id").alias("kept")).where("kept < doc_id").select("doc_id")
-    return docs.join(gone.hint("merge"), "doc_id", "left_anti").select(*COLUMNS)
+    gone = stored(groups.groupBy("doc_id").agg(F.max("component_id").alias("kept")).where("kept < doc_id").select("doc_id"), "gone")
+    marked, bits = docs.withColumn("id_hash", F.xxhash64("doc_id")), bitmap(gone.select(F.xxhash64("doc_id").alias("h")))
+    perhaps = in_bitmap(marked, "id_hash", bits).join(gone.hint("merge"), "doc_id", "left_anti")
+    return in_bitmap(marked, "id_hash", bits, "left_anti").select(*COLUMNS).unionByName(perhaps.select(*COLUMNS))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
