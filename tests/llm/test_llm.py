@@ -510,26 +510,3 @@ def test_near_copies_equal_brute_force(spark):
     assert {r["doc_id"]: r["component_id"] for r in near_copies.near_copies(docs).collect()} == dict(enumerate(root))
     rows = docs.selectExpr("doc_id", "text", "'x' lang", "'y' source", "1L n_chars")
     assert {r["doc_id"] for r in corpus_pipeline.drop_near_copies(spark, rows, "").collect()} == set(root)
-
-
-def test_pipeline(spark):
-    import corpus_pipeline
-
-    folder, docs = "/root/testdata/sf0.001", spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
-    kept = corpus_pipeline.quality_filter(spark, docs, folder)
-    assert kept.columns == docs.columns and 0 < kept.count() < docs.count()
-    lines = corpus_pipeline.drop_repeated_lines(spark, docs, folder)
-    assert lines.columns == docs.columns and lines.count() == docs.count()
-    near = corpus_pipeline.drop_near_copies(spark, docs, folder)
-    assert near.columns == docs.columns and near.count() == simhash.near_duplicates(docs).select("component_id").distinct().count()
-    clean = corpus_pipeline.drop_contaminated(spark, docs, folder)
-    found = decontamination.contamination(docs, spark.read.parquet(f"{folder}/benchmark.parquet"))
-    assert clean.columns == docs.columns and clean.count() == found.where("not contaminated").count()
-    passage = spark.read.parquet(f"{folder}/benchmark.parquet").where("text is not null").first()["text"]
-    rows = [(None, "alone without an id", None, None, None), (None, passage, "x", "y", 1), (1, "first copy of it", "x", "y", 1), (2, "first copy of it", "x", "y", 1), (3, None, "x", "y", None), (3, passage, "x", "y", 1), (3, "another text of that id", "x", "y", 1)]
-    odd = spark.createDataFrame(rows, docs.schema)
-    ids = lambda df: collections.Counter((r["doc_id"], r["text"]) for r in df.collect())
-    assert ids(corpus_pipeline.drop_near_copies(spark, odd, folder)) == collections.Counter(r[:2] for r in rows if r[0] != 2)
-    assert ids(corpus_pipeline.drop_contaminated(spark, odd, folder)) == collections.Counter(r[:2] for r in rows if r[1] != passage)
-    for _, stage in corpus_pipeline.STAGES[1:]:
-        assert stage(spark, odd, folder).count() and not stage(spark, odd.limit(0), folder).count()
