@@ -36,8 +36,8 @@ from ._common import crc_mod, discard, pack, stored, unpack
 #: Both the context before a text's first word and the token after its last.
 EDGE = np.uint64(0x9AE16A3B2F90404F)
 CUT = 5
-#: Parts in which blocks are evaluated, one after another.
-TURNS = 3
+#: Parts in which blocks are evaluated, and n-grams of an order beyond two counted, one after another: less is on disk at a time.
+TURNS, COUNT_TURNS = 3, 2
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -217,8 +217,8 @@ def _read(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
 # --- counting ------------------------------------------------------------------------------------------------------
 
 
-def _ask(blocks: DataFrame, orders: list[int], buckets: int) -> DataFrame:
-    """(order, bucket, block, keys, counts, held): each block's n-grams of these orders in each bucket, with their training counts
+def _ask(blocks: DataFrame, orders: list[int], buckets: int, turn: int = 0, turns: int = 1) -> DataFrame:
+    """(order, bucket, block, keys, counts, held): each block's n-grams of these orders in each bucket of this turn, with their training counts
     and whether texts that are scored only hold them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -232,7 +232,7 @@ def _ask(blocks: DataFrame, orders: list[int], buckets: int) -> DataFrame:
                     counts = np.bincount(g.place[used & (g.place >= 0)], minlength=len(g.keys)).astype(np.int64)
                     held = np.zeros(len(g.keys), bool)
                     held[g.place[~used & (g.place >= 0)]] = True
-                    out = [(order, k, row["block"], pack_sorted(g.keys[s]), pack_planes(counts[s]), pack(np.packbits(held[s]))) for k, s in _filled(g.keys, buckets)]
+                    out = [(order, k, row["block"], pack_sorted(g.keys[s]), pack_planes(counts[s]), pack(np.packbits(held[s]))) for k, s in _filled(g.keys, buckets) if k % turns == turn]
                     if out:
                         types = (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
                         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=["order", "bucket", "block", "keys", "counts", "held"])
@@ -402,7 +402,7 @@ def _finished(totals: Totals, orders: int):
     return run
 
 
-def score_corpus(docs: DataFrame, held_out: int = 7, remainder: int = 2, orders: int = 3, block_tokens: int = 1_500_000) -> DataFrame:
+def score_corpus(docs: DataFrame, held_out: int = 7, remainder: int = 2, orders: int = 3, block_tokens: int = 1_000_000) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score), one row for each row of docs.
 
     Rows with crc32(doc_id as text) modulo held_out = remainder are scored only; the others are learnt from as well. Tokens:
@@ -417,12 +417,12 @@ def score_corpus(docs: DataFrame, held_out: int = 7, remainder: int = 2, orders:
     # as many buckets as full blocks, nearly: a bucket then takes about as much memory as a block, at any size of input
     length = base.agg(F.sum(F.octet_length("text"))).collect()[0][0] or 0
     buckets = max(1, -(-int(length / 6) // block_tokens))
-    steps = [list(range(1, min(orders, 2) + 1)), *([k] for k in range(3, orders + 1))]  # one after another: less is on disk at a time
-    model = [stored(_ask(blocks, step, buckets).groupBy("order", "bucket").applyInArrow(_counted, _ROWS), "model", partition_by=("kind",)) for step in steps]
+    steps = [(list(range(1, min(orders, 2) + 1)), 0, 1), *(([k], t, COUNT_TURNS) for k in range(3, orders + 1) for t in range(COUNT_TURNS))]
+    model = [stored(_ask(blocks, of, buckets, t, n).groupBy("order", "bucket").applyInArrow(_counted, _ROWS), "model", partition_by=("kind",)) for of, t, n in steps]
     kind = lambda k: reduce(DataFrame.unionByName, [m.where(F.col("kind") == k).toDF(*m.columns) for m in model])
     totals = _totals(kind("size"), orders)
     replies = kind("reply").select("order", "bucket", "block", "y")
-    # in turns, each of which drops its blocks: less is on disk at a time
+    # each turn drops its blocks
     evaluated = []
     for t in range(TURNS):
         of_turn = blocks.where(F.col("turn") == t).drop("turn")
