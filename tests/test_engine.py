@@ -9,7 +9,10 @@ from itertools import combinations
 import duckdb
 import pytest
 
-from tracelode.functions.chunking import chunk, count
+from pyspark.sql import functions as F
+
+from tracelode.functions import chunking
+from tracelode.functions import text as T
 from tracelode.functions.porter import stem
 from tracelode.functions.projects import Project, identify
 from tracelode.operators import mining, search
@@ -56,7 +59,6 @@ def test_prefix_span_equals_brute_force(spark):
 
 def test_small_functions():
     assert [stem(w) for w in ("caresses", "ponies", "relational", "hopping", "falling", "happy")] == ["caress", "poni", "relat", "hop", "fall", "happi"]
-    assert all(count(c) <= 12 for c in chunk("One two three. " * 30, 10)) and chunk("  ", 5) == [] and chunk("a b", 5) == ["a b"]
     assert identify("/x/shop", [Project("op", suffixes=("op",))]) == "shop" and identify("/home/a/work/x", [Project("w", roots=("/home/a/work",))]) == "w"
     assert glob_regex("**/*.jsonl").match("a/b/c.jsonl") and not glob_regex("*.jsonl").match("a/b.jsonl")
     with pytest.raises(ValueError):
@@ -80,12 +82,15 @@ def test_ingest_search_purge_and_recover(spark, tmp_path):
     messages = readers.reader_for("")(spark, found)
     got = messages.orderBy("ordinal").collect()
     assert [(r["role"], r["content_type"], r["text"]) for r in got][:3] == [("user", "text", "please run the tests"), ("assistant", "text", "ok"), ("assistant", "tool", "Bash command=A=1 pytest -q")]
-    assert (got[3]["tool_name"], got[3]["command_head"], got[3]["is_error"], got[3]["exit_code"]) == ("Bash", "pytest", True, 2)
+    # the call has the outcome and is the only event; the result has its prefix
+    assert (got[2]["tool_name"], got[2]["command_head"], got[2]["is_error"], got[2]["exit_code"]) == ("Bash", "pytest", True, 2)
+    assert got[3]["tool_name"] is None and got[3]["is_error"] and got[3]["text"] == "error: line 1\nerror: exit code 2 at /tmp/x"
     files = spark.createDataFrame([(found[0], "h", 1, None)], "path string, hash string, file_size bigint, file_mtime timestamp")
     store = Store(spark, str(tmp_path / "store"))
     for _ in range(2):  # again: nothing is added
         store.ingest(messages, files)
-    assert store.table("items").count() == 4 and store.table("template_matches").count() >= 1
+    assert store.table("items").count() == 4 and {r["template_text"] for r in store.table("templates").collect()} == {"error: line <*>", "error: exit code <*> at <*>"}
+    assert [tuple(r) for r in store.table("tool_events").select("tool_name", "command_head", "is_error", "exit_code").collect()] == [("Bash", "pytest", True, 2)]
     assert {r["tag"] for r in store.table("tags").collect()} >= {"testing", "debugging"}
     hits = search.search(store.table("items"), search.SearchRequest("tests", content_type="text")).collect()
     assert [h["text"] for h in hits] == ["please run the tests"]
@@ -98,7 +103,11 @@ def test_ingest_search_purge_and_recover(spark, tmp_path):
     with pytest.raises(LookupError):
         store.annotate("note", "c", uuid="u1")
     assert store.recover([str(tmp_path / "other")])["conflicts"] == 0
-    assert store.table("items").count() == 4 and store.validate()["missing"] == []  # purge writes all tables
+    assert store.table("items").count() == 4
+    for name in ("tool_events", "tags", "templates", "template_matches", "correction_signals", "annotations"):  # all tables come back
+        theirs, mine = (sorted(map(str, x.table(name).drop("created_at").collect())) for x in (other, store))
+        assert set(theirs) <= set(mine), name
+    assert {r["hash"] for r in store.table("files").collect()} == {"h", "recovered"} and store.validate()["loose"]["tool_events"] == 0
 
 
 def test_sqlite_and_markdown(spark, tmp_path):
@@ -109,7 +118,74 @@ def test_sqlite_and_markdown(spark, tmp_path):
         db.execute("INSERT INTO part VALUES (?, 'm', ?)", (f"p{i}", json.dumps(p)))
     db.commit()
     got = readers.opencode(spark, [str(tmp_path / "s.db")]).orderBy("ordinal").collect()
-    assert [r["text"] for r in got] == ["hello there", "Read f=x", "done"] and readers.watermark(str(tmp_path / "s.db")) != "empty"
+    assert [r["text"] for r in got] == ["hello\nthere", "Read f=x", "done"] and [r["content_type"] for r in got] == ["text", "tool", "tool"] and readers.watermark(str(tmp_path / "s.db")) != "empty"
     (tmp_path / "n.md").write_text("---\nid: note\n---\nintro\n## One\na\n## Two\nb\n")
     got = readers.markdown(spark, [str(tmp_path / "n.md")], "rule", True).orderBy("ordinal").collect()
     assert [(r["id"], r["text"]) for r in got] == [("note-1", "## One\na"), ("note-2", "## Two\nb")]
+
+
+def chunked(spark, texts, limit, overlap=0):
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    return [r["c"] for r in rows.select("i", chunking.chunks(F.col("t"), limit, overlap).alias("c")).orderBy("i").collect()]
+
+
+def test_chunks(spark):
+    words = lambda a, b: " ".join(f"w{i}" for i in range(a, b))
+    para = f"{words(0, 30)}\n\n{words(30, 60)}\n\n{words(60, 90)}"
+    assert chunked(spark, [None, "", " \n ", " a b "], 5) == [[], [], [], ["a b"]] and chunked(spark, ["some text"], 0) == [["some text"]]
+    assert chunked(spark, [para], 80) == [[f"{words(0, 30)} {words(30, 60)}", words(60, 90)]]  # paragraphs of 40 tokens
+    assert chunked(spark, [para], 40) == [[words(0, 30), words(30, 60), words(60, 90)]]
+    sentences = "One two three. Four five six! Seven eight nine? Ten"
+    assert chunked(spark, [sentences], 8) == [["One two three. Four five six!", "Seven eight nine? Ten"]]
+    assert chunked(spark, [words(0, 10)], 8) == [[words(0, 4), words(4, 8), words(8, 10)]]  # a word counts two tokens alone
+    # three words of overlap begin the next chunk; a chunk of the outer level goes on with its own tail
+    assert chunked(spark, [words(0, 10)], 8, 2) == [[words(0, 4), words(3, 7), words(6, 10)]]
+    mixed = f"a b\n\n{words(0, 8)}\n\nc d"
+    assert chunked(spark, [mixed], 8) == [["a b", words(0, 4), words(4, 8), "c d"]]
+    texts = [" ".join(f"x{i}{'.' if i % 7 == 6 else ''}" for i in range(n)) + "\n\ntail" for n in (5, 50, 500, 3000)]
+    for text, got in zip(texts, chunked(spark, texts, 40), strict=True):
+        assert " ".join(got).split() == text.split() and all((len(c.split()) * 4 + 2) // 3 <= 40 for c in got)
+
+
+def test_lines_are_trimmed_of_blanks_only(spark):
+    rows = spark.createDataFrame([("error: job of 0\n1 exit code 1\n  FAIL  x 2 ",)], "t string")
+    got = rows.select(T.error_lines(F.col("t")).alias("a"), T.lines_that_tell(F.lit("Go"), F.col("t")).alias("b")).first()
+    assert got["a"] == ["error: job of 0", "FAIL  x 2"] and got["b"] == ["FAIL  x 2"]
+
+
+def test_chat_exports_are_no_corrections(spark):
+    say = "that is wrong "
+    texts = [say + "[10:11] Ann: a [10:12] Bo Li: b [3:06 p.m., 2/7] Cy: c", say + "Ann: [10:11 a Bo: [10:12 b Cy: [10:13 c", say + "at [10:11] Ann: once", say]
+    items = spark.createDataFrame([(f"p{i}", 0, "user", t, "text", False) for i, t in enumerate(texts)], "source_path string, ordinal int, role string, text string, content_type string, was_interrupted boolean")
+    assert sorted(r["source_path"] for r in mining.detect_corrections(items).collect()) == ["p2", "p3"]
+    tool = items.withColumn("content_type", F.lit("tool"))
+    assert mining.detect_corrections(tool).count() == 0 and mining.detect_corrections(tool, prose_only=False).count() == 2
+    mining.register_detector("short", lambda: (F.char_length("text") < 16, 0.1))
+    try:
+        assert {r["detector"] for r in mining.detect_corrections(items).where("source_path = 'p3'").collect()} == {"lexicon", "short"}
+    finally:
+        del mining.DETECTORS["short"]
+
+
+def test_other_readers(spark, tmp_path):
+    lines = lambda *records: "\r\n".join(map(json.dumps, records)) + "\n"
+    (tmp_path / "pi.jsonl").write_text(lines(
+        {"type": "session", "cwd": "/w/app"}, {"type": "message", "timestamp": "2024-01-01T00:00:00Z", "message": {"role": "assistant", "content": [{"type": "text", "text": "hi"}, {"type": "thinking", "text": "hm"}, {"type": "toolCall", "name": "Bash", "arguments": {"command": "ls"}}]}},
+        {"type": "custom", "customType": "note", "data": {"b": 1, "a": "x"}}, {"type": "message", "message": {"role": "system", "content": "no"}},
+    ))
+    read = readers.reader_for("pi")
+    got = read(spark, [str(tmp_path / "pi.jsonl")], True).orderBy("ordinal").collect()
+    assert [(r["role"], r["text"], r["content_type"]) for r in got] == [("assistant", "hi", "text"), ("reasoning", "hm", "reasoning"), ("assistant", "Bash command=ls", "tool"), ("tool", 'note {"b":1,"a":"x"}', "tool")]
+    assert {r["cwd"] for r in got} == {"/w/app"} and not any(r["tool_name"] or r["uuid"] for r in got)
+    (tmp_path / "old.jsonl").write_text(lines({"message": {"role": "user", "content": "a"}}, {"message": {"role": "assistant", "content": [{"type": "text", "text": "b"}, {"type": "tool_use", "name": "x"}]}}, {"isMeta": True, "message": {"role": "user", "content": "no"}}))
+    got = readers.reader_for("legacy")(spark, [str(tmp_path / "old.jsonl")]).orderBy("ordinal").collect()
+    assert [(r["text"], r["content_type"]) for r in got] == [("a", "text"), ("b", "tool")]
+    (tmp_path / "p.md").write_text("no heading")
+    (tmp_path / "q.md").write_text("## One\na\n## Two\nb")
+    assert [(r["title"], r["body"]) for r in readers.plans(spark, [str(tmp_path / "p.md"), str(tmp_path / "q.md")]).orderBy("source_path", "section").collect()] == [("Untitled", "no heading"), ("One", "## One\na"), ("Two", "## Two\nb")]
+    docs = readers.documents(spark, {"ke": [str(tmp_path / "p.md")], "rule": [str(tmp_path / "q.md")], "spec": []})
+    assert sorted((r["source"], r["ordinal"]) for r in docs.collect()) == [("ke", 0), ("rule", 0), ("rule", 1)]
+    with pytest.raises(ValueError):
+        readers.documents(spark, {"novel": ["x"]})
+    with pytest.raises(ValueError):
+        readers.register("claude", read)

@@ -6,7 +6,8 @@ import fnmatch
 import os
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -31,11 +32,8 @@ def same_tail(a: str, b: str, least: int = 2) -> int:
     return n if n >= least else 0
 
 
-def identify(cwd: str | None, registry: list[Project], hint: str | None = None) -> str:
-    if hint:
-        return hint
-    if not cwd:
-        return "unknown"
+def registered(cwd: str, registry: list[Project]) -> str | None:
+    """The project that the first of these rules finds: exact root, worktree, below a root, suffix, common tail."""
     path = cwd.rstrip("/")
     rules = (
         lambda p: any(path == r.rstrip("/") for r in p.roots),
@@ -44,11 +42,14 @@ def identify(cwd: str | None, registry: list[Project], hint: str | None = None)
         lambda p: any(path == s or path.endswith("/" + s.strip("/")) for s in p.suffixes),
         lambda p: any(same_tail(path, r) for r in p.roots),
     )
-    for rule in rules:
-        for p in registry:
-            if rule(p):
-                return p.id
-    return fallback_id(path)
+    return next((p.id for rule in rules for p in registry if rule(p)), None)
+
+
+def identify(cwd: str | None, registry: list[Project], hint: str | None = None) -> str:
+    """The hint, the registry's project, or the folder's own name."""
+    if hint or not cwd:
+        return hint or "unknown"
+    return registered(cwd, registry) or fallback_id(cwd.rstrip("/"))
 
 
 def read_hint(directory: str, name: str = ".project-id", levels: int = 4) -> str | None:
@@ -62,9 +63,23 @@ def read_hint(directory: str, name: str = ".project-id", levels: int = 4) -> str
     return None
 
 
-def decode_project_dir(encoded: str) -> str:
-    """The path that a dash-encoded folder name stands for."""
-    return encoded.replace("-", "/") if encoded.startswith("-") else encoded
+def decode_project_dir(path: Column) -> Column:
+    """The project that a session file's folder stands for: below .claude/projects the working directory's path is written with
+    dashes for slashes, so the last part between dashes is taken; null for other paths. Whether the decoded directory exists
+    is not asked, for executors do not see the machine that wrote the session."""
+    folder = F.regexp_extract(path, r"/\.claude/projects/([^/]+)/", 1)
+    parts = F.filter(F.split(folder, "-"), lambda x: x != "")
+    return F.element_at(F.when(F.size(parts) > 0, parts), -1)
+
+
+def registry_project(registry: list[Project], path: Column) -> Column:
+    """The registry's project of a path's folder, null if only the fallback would name one."""
+
+    @F.pandas_udf("string")
+    def run(paths: pd.Series) -> pd.Series:
+        return paths.map(lambda p: registered(os.path.dirname(p or ""), registry))
+
+    return run(path)
 
 
 def resolve(items: DataFrame, registry: list[Project], only_unknown: bool = True) -> DataFrame:

@@ -22,8 +22,11 @@ TAG_PATTERNS = {
 COMMON_WORDS = (
     "this that with from have will been were they them their what when where which more also some than into your there here would could should about then"
 ).split()
+#: Characters stripped from words, the pattern of exit codes, and those of lines that tell an error.
 PUNCTUATION = ".,!?;:\"'()[]{}*/\\-_"
 EXIT_CODE = r"(?i)(?:exit(?:\s+code)?|returned|exited)\s*[:=]?\s*(\d+)"
+ERROR_LINE = "(?i)(error|fail|panic|denied|fatal)"
+GO_ERROR_LINE = r"(---\s+FAIL:|:\s*error:|FAIL\s+|panic\()"
 
 
 def clean_content(text: Column) -> Column:
@@ -98,14 +101,19 @@ def should_mine(content_type: Column, is_error: Column, text: Column) -> Column:
 
 def error_lines(text: Column) -> Column:
     """Lines that look like errors, then the last non-empty line if it is not among them."""
-    lines = F.filter(F.transform(F.split(text, "\n"), F.trim), lambda x: x != "")
-    found = F.filter(lines, lambda x: x.rlike("(?i)(error|fail|panic|denied|fatal)"))
+    lines = F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(x)), lambda x: x != "")
+    found = F.filter(lines, lambda x: x.rlike(ERROR_LINE))
     last = F.slice(lines, -1, 1)
     return F.when(F.size(lines) == 0, F.array().cast("array<string>")).when(F.arrays_overlap(found, last), found).otherwise(F.concat(found, last))
 
 
 def go_error_lines(text: Column) -> Column:
-    return F.filter(F.transform(F.split(text, "\n"), F.trim), lambda x: x.rlike(r"(---\s+FAIL:|:\s*error:|FAIL\s+|panic\()"))
+    return F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(x)), lambda x: x.rlike(GO_ERROR_LINE))
+
+
+def lines_that_tell(tool: Column, text: Column) -> Column:
+    """The lines of a tool's output that are mined: by Go's marks for go, else by the general ones."""
+    return F.when(tool == "Go", go_error_lines(text)).otherwise(error_lines(text))
 
 
 #: A token that varies between occurrences of one message: a number, quoted, a path, with a colon, or a long identifier.

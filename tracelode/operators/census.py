@@ -6,7 +6,7 @@ tool_name, command_head, is_error, exit_code), tags (source_path, tag). All filt
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -85,18 +85,21 @@ def sessions(items: DataFrame, tags: DataFrame | None = None, source: str | None
     return out.orderBy(F.desc("last_at"), "source_path")
 
 
-def stats(items: DataFrame, files: DataFrame, chunks: DataFrame) -> DataFrame:
+def stats(items: DataFrame, files: DataFrame, chunks: DataFrame, metadata: DataFrame | None = None) -> DataFrame:
     """One row of totals; recovered files do not count."""
-    a = files.agg(F.count_if(F.col("hash") != "recovered").alias("files"))
+    listed = F.col("hash") != "recovered"
+    last = F.max(F.when(listed, F.col("last_indexed"))) if "last_indexed" in files.columns else F.lit(None).cast("timestamp")
+    a = files.agg(F.count_if(listed).alias("files"), last.alias("last_indexed"))
     b = items.agg(F.count_if(F.col("source") == "session").alias("messages"), F.max("timestamp").alias("last_at"))
     c = chunks.agg(F.count("*").alias("chunks"), F.count("embedding").alias("vectors"))
-    return a.crossJoin(b).crossJoin(c)  # three single rows
+    d = (metadata if metadata is not None else chunks.limit(0)).agg(F.count("*").alias("metadata"))
+    return a.crossJoin(b).crossJoin(c).crossJoin(d)  # four single rows
 
 
 def topics(items: DataFrame, limit: int = 50) -> DataFrame:
-    """Most frequent words of session texts: at least four characters, no common ones."""
+    """Most frequent words of session texts: at least four bytes, no common ones."""
     words = items.where(F.col("source") == "session").select(F.explode(T.fields(F.lower("text"))).alias("w")).select(T.strip_punctuation(F.col("w")).alias("term"))
-    return words.where((F.char_length("term") >= 4) & ~F.col("term").isin(T.COMMON_WORDS)).groupBy("term").agg(F.count("*").alias("cnt")).orderBy(F.desc("cnt"), "term").limit(limit)
+    return words.where((F.octet_length("term") >= 4) & ~F.col("term").isin(T.COMMON_WORDS)).groupBy("term").agg(F.count("*").alias("cnt")).orderBy(F.desc("cnt"), "term").limit(limit)
 
 
 def page(df: DataFrame, limit: int = 0, offset: int = 0) -> DataFrame:
@@ -105,15 +108,23 @@ def page(df: DataFrame, limit: int = 0, offset: int = 0) -> DataFrame:
     return df.limit(limit) if limit > 0 else df
 
 
-def records(items: DataFrame, project: str | None = None, source: str | None = None, start=None, end=None, max_chars: int = 0) -> DataFrame:
+def first_bytes(text: Column, n: int) -> Column:
+    """The first n bytes of a text, less a character that they would cut."""
+    cut = F.substring(F.encode(text, "UTF-8"), 1, n)
+    whole = F.when(F.octet_length(text) <= n, text)
+    # a character has at most three bytes after its first: drop up to three until the rest is valid
+    shorter = [F.try_validate_utf8(F.substring(F.encode(text, "UTF-8"), 1, max(0, n - k)).cast("string")) for k in range(4)]
+    return F.coalesce(whole, *shorter, cut.cast("string"))
+
+
+def records(items: DataFrame, project: str | None = None, source: str | None = None, start=None, end=None, max_bytes: int = 0) -> DataFrame:
     """Canonical records in order, start inclusive and end exclusive."""
     out = items
     for column, value in (("project", project), ("source", source)):
         out = out.where(F.col(column) == value) if value is not None else out
     out = out.where(F.col("timestamp") >= F.lit(start).cast("timestamp")) if start is not None else out
     out = out.where(F.col("timestamp") < F.lit(end).cast("timestamp")) if end is not None else out
-    text = F.left(F.col("text"), F.lit(max_chars)) if max_chars else F.col("text")
-    return out.select("source", "source_path", "ordinal", "role", text.alias("text"), "timestamp", "project", "content_type").orderBy("source_path", "ordinal")
+    return out.withColumn("text", first_bytes(F.col("text"), max_bytes) if max_bytes else F.col("text")).select("source", "source_path", "ordinal", "role", "text", "timestamp", "project", "content_type").orderBy("source_path", "ordinal")
 
 
 def resolve_path(items: DataFrame, wanted: str) -> DataFrame:
@@ -131,3 +142,28 @@ def stratified_sample(signals: DataFrame, quota: int, per_session: int) -> DataF
     order = [F.sha2(F.concat_ws("|", "source_path", F.col("ordinal").cast("string"), "detector"), 256), F.col("source_path"), F.col("ordinal")]
     first = signals.withColumn("in_session", F.row_number().over(Window.partitionBy("detector", "source_path").orderBy(*order))).where(F.col("in_session") <= per_session)
     return first.withColumn("in_detector", F.row_number().over(Window.partitionBy("detector").orderBy(*order))).where(F.col("in_detector") <= quota).drop("in_session")
+
+
+def calibration(signals: DataFrame, items: DataFrame, annotations: DataFrame, tags: DataFrame, quota: int, per_session: int, least: int = 20, shown: int = 50) -> DataFrame:
+    """A stratified sample of signals for labelling, with the last assistant's and the next user's message around each (no tool text,
+    at least `least` characters), all texts cut to `shown`."""
+    from pyspark.sql import Window
+
+    order = Window.partitionBy("source_path").orderBy("ordinal")
+    tells = (F.col("content_type") != "tool") & (F.char_length("text") >= least)
+    said = lambda role: F.when((F.col("role") == role) & tells, F.left("text", F.lit(shown)))
+    around = items.select(
+        *PLACE, "uuid", F.left("text", F.lit(shown)).alias("text_preview"), F.last(said("assistant"), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1)).alias("window_before"),
+        F.first(said("user"), ignorenulls=True).over(order.rowsBetween(1, Window.unboundedFollowing)).alias("window_after"),
+    )
+    label = annotations.groupBy(*PLACE).agg(F.min("kind").alias("kind"), F.min("label").alias("label"))
+    tag = tags.groupBy("source_path").agg(F.min("tag").alias("session_tag"))
+    picked = stratified_sample(signals, quota, per_session).drop("in_detector")
+    return picked.join(around, PLACE).join(label, PLACE, "left").join(tag, "source_path", "left").select(
+        "uuid", "kind", "label", "detector", F.format_string("%.1f", "confidence").alias("confidence"), *PLACE, "session_tag", "text_preview", "window_before", "window_after"
+    )
+
+
+def write_calibration(sample: DataFrame, path: str) -> None:
+    """A calibration sample as CSV with a header, in order."""
+    sample.fillna("").orderBy("detector", *PLACE).coalesce(1).write.mode("overwrite").csv(path, header=True)  # bounded by its quotas

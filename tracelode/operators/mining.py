@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,19 +16,33 @@ LEXICON = [
 ]
 #: Words left out of the rephrase comparison.
 REPHRASE_STOPWORDS = "a an and are as at be but by for if in into is it no not of on or that the to was with el la de que y es en un una o".split()
-CHAT_EXPORT = r"\[\d{1,2}:\d{2}[^\]]{0,40}\]\s*[^:\[\]]{1,40}:"
+#: Fixed value: the sender marks of pasted chats, either `[12:34 ...] name:` or `name: [12:34`; three make a text a chat export.
+CHAT_EXPORT = r"\[\d{1,2}:\d{2}[^\]]*\]\s+[^:\]\n]{1,40}:|[^:\]\n]{1,40}:\s+\[\d{1,2}:\d{2}"
 MIN_INTERRUPT, MIN_JACCARD = 20, 0.6
 
 
 def mine_templates(rows: DataFrame, version: int = 2) -> tuple[DataFrame, DataFrame]:
-    """(templates, matches) of error output rows (source_path, ordinal, item_uuid, text); one match for each template and place."""
-    lines = rows.select("source_path", "ordinal", "item_uuid", F.explode(T.error_lines(F.col("text"))).alias("line"))
-    found = lines.withColumn("template_text", T.normalize_template(F.col("line"))).withColumn("signature", T.template_signature(F.col("template_text")))
+    """(templates, matches) of error output rows (source_path, ordinal, item_uuid, text, and tool_name if it is known); one match for
+    each template and place."""
+    lines_of = T.lines_that_tell(F.col("tool_name"), F.col("text")) if "tool_name" in rows.columns else T.error_lines(F.col("text"))
+    lines = rows.select("source_path", "ordinal", "item_uuid", F.explode(lines_of).alias("line"))
+    found = lines.withColumn("template_text", T.normalize_template(F.col("line"))).withColumn("signature", T.template_signature(F.col("template_text"))).where("template_text <> ''")
     matches = found.groupBy("source_path", "ordinal", "signature").agg(F.min("item_uuid").alias("item_uuid"))
     mined = found.select("signature", "template_text").distinct().withColumn("normalization_version", F.lit(version))
     return mined, matches
 
 
+def failed_rows(items: DataFrame, failed: Column) -> DataFrame:
+    """The tool rows of items whose output is mined: failed ones that are no serialised input."""
+    return items.where(T.should_mine(F.col("content_type"), failed, F.col("text"))).select("source_path", "ordinal", F.col("uuid").alias("item_uuid"), "text")
+
+
+def stored_failures(items: DataFrame, events: DataFrame) -> DataFrame:
+    """The same from stored items, which tell a failure by the prefix of their text or by an event at their place."""
+    at = events.where("is_error").select("source_path", "ordinal").distinct().withColumn("event_failed", F.lit(True))
+    return failed_rows(items.join(at, ["source_path", "ordinal"], "left"), F.lower(F.trim("text")).startswith("error: ") | F.coalesce("event_failed", F.lit(False)))
+
+
 def rephrase_tokens(text: Column) -> Column:
     words = F.transform(T.fields(F.lower(text)), T.strip_punctuation)
     return F.array_distinct(F.filter(words, lambda w: (w != "") & ~w.isin(REPHRASE_STOPWORDS)))
@@ -37,36 +53,60 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when(both == 0, 1.0).otherwise(F.size(F.array_intersect(a, b)) / both)
 
 
-def detect_corrections(items: DataFrame) -> DataFrame:
-    """(source_path, ordinal, detector, confidence) of user prose: lexicon, interrupt, denial, rephrase.
+#: Detectors by name: a function of the columns that `correction_context` adds to a condition and a confidence.
+DETECTORS: dict[str, Callable[[], tuple[Column, float]]] = {}
+
+
+def register_detector(name: str, build: Callable[[], tuple[Column, float]]) -> None:
+    """Add a detector, or replace one: build() gives (condition, confidence) over text, role, was_interrupted, tokens,
+    before_role, before_text and before_user."""
+    DETECTORS[name] = build
+
+
+def _lexicon() -> tuple[Column, float]:
+    said = F.lit(False)
+    for phrase in LEXICON:
+        said = said | F.contains(F.lower("text"), F.lit(phrase))
+    return said & (F.regexp_count(F.col("text"), F.lit(CHAT_EXPORT)) < 3), 0.8
+
+
+def _interrupt() -> tuple[Column, float]:
+    return F.coalesce("was_interrupted", F.lit(False)) & (F.char_length("text") >= MIN_INTERRUPT), 0.5
+
 
-    Windows run over one path in order of ordinals; was_interrupted may be missing."""
+def _denial() -> tuple[Column, float]:
+    denied = F.contains(F.lower("before_text"), F.lit("denied")) | F.contains(F.lower("before_text"), F.lit("rechaza"))
+    return F.col("before_role").isin("assistant", "tool") & denied, 0.4
+
+
+def _rephrase() -> tuple[Column, float]:
+    return jaccard(F.col("tokens"), F.col("before_user")) >= MIN_JACCARD, 0.6
+
+
+for _name, _build in (("lexicon", _lexicon), ("interrupt", _interrupt), ("denial", _denial), ("rephrase", _rephrase)):
+    register_detector(_name, _build)
+
+
+def correction_context(items: DataFrame) -> DataFrame:
+    """items with what detectors look at; windows run over one path in order of ordinals."""
     if "was_interrupted" not in items.columns:
         items = items.withColumn("was_interrupted", F.lit(False))
     order = Window.partitionBy("source_path").orderBy("ordinal")
-    is_user = F.col("role") == "user"
-    tokens = items.withColumn("tokens", rephrase_tokens(F.col("text")))
-    seen = tokens.withColumns(
+    said = F.when(F.col("role") == "user", F.col("tokens"))
+    return items.withColumn("tokens", rephrase_tokens(F.col("text"))).withColumns(
         {
-            "before_role": F.lag("role").over(order),
-            "before_text": F.lag("text").over(order),
-            "before_user": F.last(F.when(is_user, F.col("tokens")), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1)),
+            "before_role": F.lag("role").over(order), "before_text": F.lag("text").over(order),
+            "before_user": F.last(said, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1)),
         }
-    )
-    low = F.lower("text")
-    exported = F.regexp_count(F.col("text"), F.lit(CHAT_EXPORT)) >= 3
-    said = F.lit(False)
-    for phrase in LEXICON:
-        said = said | F.contains(low, F.lit(phrase))
-    denied = F.contains(F.lower("before_text"), F.lit("denied")) | F.contains(F.lower("before_text"), F.lit("rechaza"))
-    signals = [
-        ("lexicon", 0.8, said & ~exported),
-        ("interrupt", 0.5, F.coalesce("was_interrupted", F.lit(False)) & (F.char_length("text") >= MIN_INTERRUPT)),
-        ("denial", 0.4, F.col("before_role").isin("assistant", "tool") & denied),
-        ("rephrase", 0.6, jaccard(F.col("tokens"), F.col("before_user")) >= MIN_JACCARD),
-    ]
-    found = F.array(*[F.when(F.coalesce(ok, F.lit(False)), F.struct(F.lit(n).alias("detector"), F.lit(c).alias("confidence"))) for n, c, ok in signals])
-    users = seen.where(is_user & F.col("content_type").isin("text", "code"))
+    )
+
+
+def detect_corrections(items: DataFrame, prose_only: bool = True) -> DataFrame:
+    """(source_path, ordinal, detector, confidence) of user messages by all registered detectors; prose_only leaves out tool output,
+    which users' records carry as well."""
+    found = F.array(*[F.when(F.coalesce(ok, F.lit(False)), F.struct(F.lit(n).alias("detector"), F.lit(c).alias("confidence"))) for n, (ok, c) in ((n, b()) for n, b in sorted(DETECTORS.items()))])
+    users = correction_context(items).where(F.col("role") == "user")
+    users = users.where(F.col("content_type").isin("text", "code")) if prose_only else users
     return users.select("source_path", "ordinal", F.explode(F.filter(found, lambda s: s.isNotNull())).alias("s")).select("source_path", "ordinal", "s.detector", "s.confidence")
 
 
@@ -93,6 +133,12 @@ def share(support: Column, total: Column) -> Column:
     return F.format_string("%.1f%%", support * 100.0 / total)
 
 
+def with_share(patterns: DataFrame, seqs: DataFrame) -> DataFrame:
+    """Patterns with the share of all sequences that hold them."""
+    total = seqs.agg(F.count("*").alias("total"))
+    return patterns.crossJoin(F.broadcast(total)).withColumn("share", share(F.col("support"), F.col("total"))).drop("total").orderBy(F.desc("support"), "items")  # one row
+
+
 #: Ordered category rules (tool, pattern, category); the first match wins and an unmatched tool is its own category.
 CATEGORY_RULES = [
     ("Bash", "^Bash (cd)", "NAV"),

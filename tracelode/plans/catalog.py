@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import chunking, projects
 from ..functions import text as T
-from ..operators import census, mining, search, store
+from ..operators import census, embeddings, mining, search, store
 from ..sources import readers
 from . import views as V
 
@@ -101,11 +101,13 @@ def list_with_tags(s, d):
     return census.sessions(V.items(s, d), V.tags(s, d))
 
 
-@query(f"WITH {I}, {V.V_CHUNKS} SELECT (SELECT count(*) FROM (SELECT DISTINCT source_path FROM v_items) WHERE right(source_path, 1) <> '7') AS files, count(*) FILTER (source = 'session') AS messages, max(timestamp) AS last_at, (SELECT count(*) FROM v_chunks) AS chunks, (SELECT count(embedding) FROM v_chunks) AS vectors FROM v_items")
+@query(f"WITH {I}, {V.V_CHUNKS} SELECT (SELECT count(*) FROM (SELECT DISTINCT source_path FROM v_items) WHERE right(source_path, 1) <> '7') AS files, count(*) FILTER (source = 'session') AS messages, max(timestamp) AS last_at, (SELECT count(*) FROM v_chunks) AS chunks, (SELECT count(embedding) FROM v_chunks) AS vectors, (SELECT count(DISTINCT source_id) FROM v_chunks) AS metadata, (SELECT max(ts)::TIMESTAMP FROM events) AS last_indexed FROM v_items")
 def index_stats(s, d):
     i = V.items(s, d)
     files = i.select("source_path").distinct().withColumn("hash", F.when(F.endswith("source_path", F.lit("7")), "recovered").otherwise("x"))
-    return census.stats(i, files, V.chunks(s, d))
+    last = s.read.parquet(f"{d}/events.parquet").agg(F.max("ts").cast("timestamp").alias("last_indexed"))  # one row
+    chunks = V.chunks(s, d)
+    return census.stats(i, files.crossJoin(last), chunks, chunks.select("source_id").distinct())
 
 
 _COMMON = ", ".join(f"'{w}'" for w in T.COMMON_WORDS)
@@ -113,7 +115,7 @@ _FIELDS = r"list_filter(regexp_split_to_array({}, '\s+'), lambda x: x <> '')"
 _PUNCT = ".,!?;:\"''()[]{}*/\\-_"
 
 
-@query(f"WITH {I} SELECT term, count(*) AS cnt FROM (SELECT trim(unnest({_FIELDS.format('lower(text)')}), '{_PUNCT}') AS term FROM v_items) WHERE length(term) >= 4 AND term NOT IN ({_COMMON}) GROUP BY 1 ORDER BY cnt DESC, term LIMIT 50")
+@query(f"WITH {I} SELECT term, count(*) AS cnt FROM (SELECT trim(unnest({_FIELDS.format('lower(text)')}), '{_PUNCT}') AS term FROM v_items) WHERE strlen(term) >= 4 AND term NOT IN ({_COMMON}) GROUP BY 1 ORDER BY cnt DESC, term LIMIT 50")
 def topics_top50(s, d):
     return census.topics(V.items(s, d))
 
@@ -132,9 +134,13 @@ def vocabulary(s, d):
     return search.vocabulary(V.items(s, d))
 
 
-@query(f"WITH {I} SELECT source, source_path, ordinal, role, left(text, 80) AS text, timestamp, project, content_type FROM v_items WHERE project = 'p1' AND timestamp >= TIMESTAMP '2024-01-10' AND timestamp < TIMESTAMP '2024-03-01'")
+#: The longest prefix of at most 80 bytes.
+_BYTES = "left(text, coalesce(list_max(list_filter(range(0, least(length(text), 80) + 1), lambda k: strlen(left(text, k)) <= 80)), 0)::INTEGER)"
+
+
+@query(f"WITH {I} SELECT source, source_path, ordinal, role, {_BYTES} AS text, timestamp, project, content_type FROM v_items WHERE project = 'p1' AND timestamp >= TIMESTAMP '2024-01-10' AND timestamp < TIMESTAMP '2024-03-01'")
 def records_window(s, d):
-    return census.records(V.items(s, d), project="p1", start="2024-01-10", end="2024-03-01", max_chars=80)
+    return census.records(V.items(s, d), project="p1", start="2024-01-10", end="2024-03-01", max_bytes=80)
 
 
 @query(f"WITH {I}, m AS (SELECT source_path, min(CASE WHEN source_path = 'conv/1' THEN 1 WHEN contains(source_path, 'conv/1') THEN 2 WHEN uuid = 'conv/1' THEN 3 END)::INTEGER AS match FROM v_items GROUP BY 1) SELECT source_path, match FROM m WHERE match = (SELECT min(match) FROM m)")
@@ -235,13 +241,13 @@ def vector_threshold(s, d):
 
 
 @query(f"""WITH {I}, {V.V_CHUNKS}, {_SIM}, lex AS {_list_sql(_prose_rows([(['the'], True)]), 1).replace('LIMIT 200', 'LIMIT 40')},
-v AS (SELECT i.id, row_number() OVER (ORDER BY -sim, i.id) AS rk FROM (SELECT * FROM sims WHERE sim > 0 ORDER BY sim DESC, source_id LIMIT 80) x JOIN v_items i ON i.source_path = x.source_id AND i.ordinal = 0)
+v AS (SELECT i.id, row_number() OVER (ORDER BY -sim, i.id) AS rk FROM (SELECT * FROM sims WHERE sim > 0 ORDER BY sim DESC, source_id LIMIT 80) x JOIN v_items i ON i.source_path = x.source_id)
 SELECT id, round(sum(1.0 / (60 + rk)), 6) AS rrf FROM (SELECT * FROM lex UNION ALL SELECT * FROM v) WHERE id IN (SELECT id FROM lex) GROUP BY id""")
 def hybrid_rrf(s, d):
     i = V.items(s, d)
     lexical = search.ranked(_scored(search.search_prose(i, "the", stemmed=False)), 40)
     hits = search.vector_search(V.chunks(s, d), _query_vector(s, d), 80)
-    vectors = i.where("ordinal = 0").join(hits, F.col("source_path") == F.col("source_id")).select("id", "sim")
+    vectors = embeddings.chunk_items(hits, i).select("id", "sim")
     return search.hybrid(lexical, vectors).select("id", F.round("rrf", 6).alias("rrf"))
 
 
@@ -275,16 +281,16 @@ def _clean_sql(x: str) -> str:
     return f"trim(regexp_replace(replace(regexp_replace({x}, '^Caveat: ', ''), 'Request interrupted', ''), '\\s+', ' ', 'g'))"
 
 
-@query(f"SELECT conv_id, turn, {_clean_sql("'Caveat: <command>ls ' || turn || chr(10) || '</command> ' || left(text, 60) || ' <caveat>tail  Request interrupted '")} AS cleaned FROM conversations")
+@query(f"SELECT conv_id, turn, {_clean_sql("'Caveat: <command>ls ' || turn || chr(10) || '</command> ' || coalesce(text, '') || ' <caveat>tail  Request interrupted '")} AS cleaned FROM conversations")
 def clean_content(s, d):
     c = s.read.parquet(f"{d}/conversations.parquet")
-    return c.select("conv_id", "turn", T.clean_content(F.concat(F.lit("Caveat: <command>ls "), F.col("turn").cast("string"), F.lit("\n</command> "), F.left("text", F.lit(60)), F.lit(" <caveat>tail  Request interrupted "))).alias("cleaned"))
+    return c.select("conv_id", "turn", T.clean_content(F.concat(F.lit("Caveat: <command>ls "), F.col("turn").cast("string"), F.lit("\n</command> "), F.coalesce("text", F.lit("")), F.lit(" <caveat>tail  Request interrupted "))).alias("cleaned"))
 
 
-@query("SELECT page_id, left(trim(regexp_replace(regexp_replace(html, '<[^>]*>', ' ', 'g'), '\\s+', ' ', 'g')), 200) AS text FROM pages")
+@query("SELECT page_id, trim(regexp_replace(regexp_replace(html, '<[^>]*>', ' ', 'g'), '\\s+', ' ', 'g')) AS text FROM pages")
 def strip_markup(s, d):
     p = s.read.parquet(f"{d}/pages.parquet")
-    return p.select("page_id", F.left(F.trim(F.regexp_replace(F.regexp_replace("html", "<[^>]*>", " "), r"\s+", " ")), F.lit(200)).alias("text"))
+    return p.select("page_id", F.trim(F.regexp_replace(F.regexp_replace("html", "<[^>]*>", " "), r"\s+", " ")).alias("text"))
 
 
 @query("SELECT conv_id, turn, CASE WHEN contains(x, '```') THEN 'code' ELSE 'text' END AS kind FROM (SELECT *, CASE WHEN turn % 3 = 0 THEN text || '```' ELSE text END AS x FROM conversations)")
@@ -334,10 +340,10 @@ def template_census(s, d):
     return census.templates(mined, matches, e.select("source_path", "ordinal", "project")).withColumn("uuids", F.array_join("uuids", ","))
 
 
-@query(r"""SELECT doc_id, array_to_string(list_transform(toks, lambda t, i: CASE WHEN i >= 3 AND regexp_matches(t, '^(-?\+?[0-9.]*[0-9][0-9.]*|".*"|"|''.*''|''|.*[/\\:].*|[.~].*)$') OR (i >= 3 AND strlen(t) >= 20 AND length(t) >= 20 AND regexp_matches(t, '^([0-9a-fA-F]+|.*-.*)$')) THEN '<*>' ELSE t END), ' ') AS template FROM (SELECT doc_id, """ + _FIELDS.format("string_split(text, chr(10))[1]") + " AS toks FROM documents)")
+@query(r"""SELECT doc_id, line_no, array_to_string(list_transform(toks, lambda t, i: CASE WHEN i >= 3 AND regexp_matches(t, '^(-?\+?[0-9.]*[0-9][0-9.]*|".*"|"|''.*''|''|.*[/\\:].*|[.~].*)$') OR (i >= 3 AND strlen(t) >= 20 AND length(t) >= 20 AND regexp_matches(t, '^([0-9a-fA-F]+|.*-.*)$')) THEN '<*>' ELSE t END), ' ') AS template FROM (SELECT doc_id, """ + _FIELDS.format("lines[i]") + " AS toks, (i - 1)::INTEGER AS line_no FROM (SELECT doc_id, lines, unnest(range(1, len(lines) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents)))")
 def template_normalize(s, d):
     docs = s.read.parquet(f"{d}/documents.parquet")
-    return docs.select("doc_id", T.normalize_template(F.element_at(F.split("text", "\n"), 1)).alias("template"))
+    return docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).select("doc_id", "line_no", T.normalize_template(F.col("line")).alias("template"))
 
 
 def _talk(s: SparkSession, d: str) -> DataFrame:
@@ -374,14 +380,19 @@ def corrections_pending(s, d):
     return census.corrections(mining.detect_corrections(t), t, V.annotations(s, d), 0.5)
 
 
-@query(f"""WITH {E}, p AS (SELECT source_path, ordinal, tool_name AS c FROM v_events WHERE ordinal < 8),
-l1 AS (SELECT source_path, c AS items, min(ordinal) AS at FROM p GROUP BY 1, 2),
-l2 AS (SELECT source_path, items || ' ' || c AS items, min(p.ordinal) AS at FROM l1 JOIN p USING (source_path) WHERE p.ordinal > l1.at GROUP BY 1, 2),
-l3 AS (SELECT source_path, items || ' ' || c AS items, min(p.ordinal) AS at FROM l2 JOIN p USING (source_path) WHERE p.ordinal > l2.at GROUP BY 1, 2)
-SELECT items, count(*) AS support FROM (SELECT * FROM l2 UNION ALL SELECT * FROM l3) GROUP BY 1 HAVING count(*) >= 20""")
+def _spans_sql(longest: int) -> str:
+    """Earliest ends of every pattern in every path, a step a length."""
+    steps = [f"l{k} AS (SELECT l.source_path, items || ' ' || c AS items, n.at FROM l{k - 1} l JOIN n ON n.source_path = l.source_path AND n.since = l.at)" for k in range(2, longest + 1)]
+    return ", ".join(steps), " UNION ALL ".join(f"SELECT items FROM l{k}" for k in range(2, longest + 1))
+
+
+@query(f"""WITH {E}, p AS (SELECT source_path, ordinal, tool_name AS c FROM v_events), cs AS (SELECT DISTINCT source_path, c FROM p),
+n AS (SELECT a.source_path, a.ordinal AS since, b.c, min(b.ordinal) AS at FROM p a JOIN p b ON a.source_path = b.source_path AND b.ordinal > a.ordinal GROUP BY ALL),
+l1 AS (SELECT source_path, c AS items, min(ordinal) AS at FROM p GROUP BY 1, 2), {_spans_sql(6)[0]}
+SELECT items, count(*) AS support FROM ({_spans_sql(6)[1]}) GROUP BY 1 HAVING count(*) >= 20""")
 def sequences_prefixspan(s, d):
-    seqs = mining.sequences(V.tool_events(s, d).where("ordinal < 8"), F.col("tool_name"))
-    return mining.prefix_span(seqs, 20, 2, 3)
+    seqs = mining.sequences(V.tool_events(s, d), F.col("tool_name"))
+    return mining.prefix_span(seqs, 20, 2, 6)
 
 
 _CASE = " ".join("WHEN " + " AND ".join(([f"tool = '{t}'"] if t else []) + ([f"regexp_matches(concat_ws(' ', tool, head), '{p}')"] if p else [])) + f" THEN '{c}'" for t, p, c in mining.CATEGORY_RULES)
@@ -421,7 +432,7 @@ def expired_backfill_paths(s, d):
 
 @query(f"WITH {I} SELECT DISTINCT source_path FROM v_items WHERE right(source_path, 1) = '3'")
 def orphan_check(s, d):
-    return V.items(s, d).select("source_path").distinct().join(_files(s, d).select(F.col("path").alias("source_path")), "source_path", "left_anti")
+    return store.orphans(V.items(s, d), _files(s, d))
 
 
 @query(f"WITH {I}, p AS (SELECT DISTINCT source_path AS path FROM v_items WHERE (id // 1000) % 2 = 0) SELECT path, CASE WHEN right(path, 1) <> '3' THEN TIMESTAMP '2024-02-01' END AS last_indexed FROM p ORDER BY last_indexed NULLS FIRST, path LIMIT 200")
@@ -487,7 +498,10 @@ def token_budget(s, d):
     return search.budgeted(page, 2000, [F.col("timestamp"), F.col("id")]).select("id")
 
 
-@query(r"SELECT conv_id, turn, replace(replace(replace(left(text, 120), '\', '\\'), chr(13), '\r'), chr(10), '\n') AS line FROM conversations")
+@query(r"SELECT conv_id, turn, replace(replace(replace(text, '\', '\\'), chr(13), '\r'), chr(10), '\n') AS line FROM conversations")
 def robot_escape(s, d):
     c = s.read.parquet(f"{d}/conversations.parquet")
-    return c.select("conv_id", "turn", T.escape_robot(F.left("text", F.lit(120))).alias("line"))
+    return c.select("conv_id", "turn", T.escape_robot(F.col("text")).alias("line"))
+
+
+from . import catalog_store  # noqa: E402, F401  registers its queries here

@@ -7,18 +7,22 @@ exit_code, was_interrupted. Malformed lines are skipped.
 from __future__ import annotations
 
 import json
-import re
 import sqlite3
 from collections.abc import Callable, Iterator
+from functools import reduce
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from ..functions import text as T
 
-COLUMNS = "role string, raw string, ts string, uuid string, kind string, cwd string, tool_id string, tool_name string, arguments string, is_error boolean, was_interrupted boolean"
+#: said: the texts of prose, each cleaned by itself; raw: a tool's output; kind: prose, plain (not cleaned), reasoning, use (a
+#: call that is an event), call (one that is not), result, custom, or none for records that only tell the working directory.
+COLUMNS = "role string, said array<string>, raw string, ts string, uuid string, kind string, cwd string, tool_id string, tool_name string, arguments string, is_error boolean, was_interrupted boolean"
 _NAMES = [c.split()[0] for c in COLUMNS.split(", ")]
 
 
@@ -44,81 +48,121 @@ def _arguments(value) -> str:
     return "{}"
 
 
+def _row(r: dict, kind: str, role: str = "", uuid: str | None = None, **given) -> tuple:
+    """A parsed row of a record."""
+    row = dict.fromkeys(_NAMES) | {"role": role, "ts": r.get("timestamp"), "uuid": uuid, "kind": kind, "cwd": r.get("cwd") or None} | given
+    return tuple(row[n] for n in _NAMES)
+
+
+def _said(r: dict, role: str, uuid: str | None, texts: list[str]) -> Iterator[tuple]:
+    if any(texts):
+        yield _row(r, "prose", role, uuid, said=texts, was_interrupted=any("Request interrupted" in t for t in texts))
+
+
 def claude_record(r: dict, index_reasoning: bool = False) -> Iterator[tuple]:
-    """Messages of one record of the block format: its text, then one a tool block."""
-    message = r.get("message") or {}
-    role = message.get("role") if isinstance(message, dict) else None
+    """Rows of one record of the block format: its text, then one a tool block."""
+    message = r.get("message") if isinstance(r.get("message"), dict) else {}
+    role, uuid, blocks = message.get("role"), r.get("uuid") or None, _blocks(message.get("content"))
     if r.get("isMeta") or r.get("type") in T.NOISE_TYPES or not role:
+        yield _row(r, "none")
         return
-    uuid, ts, cwd, blocks = r.get("uuid"), r.get("timestamp"), r.get("cwd"), _blocks(message.get("content"))
-    said = "\n".join(str(b.get("text", "")) for b in blocks if b.get("type") == "text")
-    if said:
-        yield role, said, ts, uuid, "prose", cwd, None, None, None, None, "Request interrupted" in said
+    yield from _said(r, role, uuid, [str(b.get("text") or "") for b in blocks if b.get("type") == "text"])
     for i, b in enumerate(blocks):
         if b.get("type") == "tool_use":
-            yield role, None, ts, f"{uuid}#t{i}" if uuid else None, "use", cwd, b.get("id"), b.get("name") or "", _arguments(b.get("input")), None, None
+            yield _row(r, "use", role, f"{uuid}#t{i}" if uuid else None, tool_id=b.get("id"), tool_name=b.get("name") or "", arguments=_arguments(b.get("input")))
         elif b.get("type") == "tool_result":
-            yield role, _flat(b.get("content")), ts, f"{uuid}#r{i}" if uuid else None, "result", cwd, b.get("tool_use_id"), None, None, b.get("is_error"), None
+            yield _row(r, "result", role, f"{uuid}#r{i}" if uuid else None, tool_id=b.get("tool_use_id"), raw=_flat(b.get("content")), is_error=b.get("is_error"))
 
 
 def pi_record(r: dict, index_reasoning: bool = False) -> Iterator[tuple]:
-    ts, uuid, cwd = r.get("timestamp"), r.get("id"), r.get("cwd")
+    """Rows of one record of the message tree format, whose messages have no identity and whose calls are no events."""
+    message = r.get("message") if isinstance(r.get("message"), dict) else {}
+    role, blocks = message.get("role"), _blocks(message.get("content"))
     if r.get("type") == "custom":
-        yield "tool", _flat(r.get("data")), ts, uuid, "result", cwd, None, r.get("customType"), None, None, None
-        return
-    message = r.get("message") or {}
-    if r.get("type") != "message" or message.get("role") not in ("user", "assistant"):
+        yield _row(r, "custom", "tool", tool_name=r.get("customType") or None, raw=_flat(r.get("data")))
+    elif r.get("type") != "message" or role not in ("user", "assistant"):
+        yield _row(r, "none")
+    else:
+        yield from _said(r, role, None, [str(b.get("text") or "") for b in blocks if b.get("type") == "text"])
+        for b in blocks:
+            if b.get("type") == "toolCall":
+                yield _row(r, "call", role, tool_name=b.get("name") or "", arguments=_arguments(b.get("arguments")))
+            elif b.get("type") == "thinking" and index_reasoning:
+                yield _row(r, "reasoning", "reasoning", said=[str(b.get("text") or "")])
+
+
+def legacy_record(r: dict, index_reasoning: bool = False) -> Iterator[tuple]:
+    """The old session format: texts only; tool blocks give no rows, but text beside a call is of type tool."""
+    message = r.get("message") if isinstance(r.get("message"), dict) else None
+    if message is None or r.get("isMeta") or r.get("type") in T.NOISE_TYPES:
         return
-    role, blocks = message["role"], _blocks(message.get("content"))
-    said = "\n".join(str(b.get("text", "")) for b in blocks if b.get("type") == "text")
-    if said:
-        yield role, said, ts, uuid, "prose", cwd, None, None, None, None, "Request interrupted" in said
-    for i, b in enumerate(blocks):
-        if b.get("type") == "toolCall":
-            yield role, None, ts, f"{uuid}#t{i}" if uuid else None, "use", cwd, None, b.get("name") or "", _arguments(b.get("arguments")), None, None
-        elif b.get("type") == "thinking" and index_reasoning:
-            yield "reasoning", str(b.get("text") or b.get("thinking") or ""), ts, f"{uuid}#k{i}" if uuid else None, "reasoning", cwd, None, None, None, None, None
+    blocks = _blocks(message.get("content"))
+    texts = [str(b.get("text") or "") for b in blocks if b.get("type") == "text"]
+    called = any(b.get("type") in ("tool_use", "toolCall", "tool_use_id") for b in blocks)
+    if any(texts):
+        yield _row(r, "called" if called else "prose", message.get("role") or "", None, said=texts)
+
+
+def json_lines(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """(source_path, block, line, json) of every line that is not blank. Files are split at lines like any text, however long
+    they are; block and line, ascending, give the order in a file and are no line numbers."""
+    read = spark.read.text(paths).select(F.col("_metadata.file_path").alias("source_path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"), F.col("value").alias("json"))
+    return read.where(F.trim("json") != "")
 
 
 def _jsonl(parse: Callable) -> Callable:
     def read(spark: SparkSession, paths: list[str], index_reasoning: bool = False) -> DataFrame:
-        files = spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("source_path"), F.posexplode(F.split("value", "\r?\n")).alias("line", "json")).where("trim(json) <> ''")
-
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 out = []
-                for path, line, text in zip(b["source_path"], b["line"], b["json"], strict=True):
+                for path, block, line, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
                     try:
                         record = json.loads(text)
                     except ValueError:
                         continue
                     if isinstance(record, dict):
-                        out += [(path, line, i, *m) for i, m in enumerate(parse(record, index_reasoning))]
-                yield pd.DataFrame(out, columns=["source_path", "line", "block", *_NAMES])
+                        out += [(path, block, line, i, *m) for i, m in enumerate(parse(record, index_reasoning))]
+                columns = list(zip(*out, strict=True)) or [()] * len(schema)
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
-        rows = files.mapInPandas(run, f"source_path string, line int, block int, {COLUMNS}")
-        return messages(rows)
+        layout = f"source_path string, block bigint, line bigint, part int, {COLUMNS}"
+        schema = to_arrow_schema(StructType.fromDDL(layout))
+        return messages(json_lines(spark, paths).mapInArrow(run, layout))
 
     return read
 
 
 def messages(rows: DataFrame) -> DataFrame:
-    """Canonical rows from parsed ones: texts cleaned, empty ones dropped, results paired with the last use of their id."""
-    uses = rows.where("kind = 'use' and tool_id is not null").groupBy("source_path", "tool_id").agg(
-        F.max_by("tool_name", F.struct("line", "block")).alias("used_tool"), F.max_by("arguments", F.struct("line", "block")).alias("used_arguments")
+    """Canonical rows from parsed ones: texts cleaned, empty ones dropped. A tool's outcome is told on the message that called it
+    (the last one with the id): whether it failed, and for Bash its exit code. Results keep no tool name."""
+    order = Window.partitionBy("source_path").orderBy("block", "line", "part")
+    given = F.from_json("arguments", "map<string,string>")
+    said = F.array_join(F.filter(F.transform("said", T.clean_content), lambda t: t != ""), " ")
+    output = F.left(F.trim("raw"), F.lit(4000))
+    text = (
+        F.when(F.col("kind").isin("use", "call"), T.serialize_tool(F.col("tool_name"), given))
+        .when(F.col("kind") == "result", F.concat(F.when(F.col("is_error"), "error: ").otherwise(""), output))
+        .when((F.col("kind") == "custom") & (output != ""), F.concat_ws(" ", "tool_name", output))
+        .when(F.col("kind") == "plain", F.array_join(F.filter(F.transform("said", lambda x: F.trim(x)), lambda t: t != ""), "\n"))
+        .otherwise(said)
+    )
+    first_cwd = F.first("cwd", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    kept = rows.withColumn("cwd", first_cwd).withColumn("text", text).where("kind <> 'none' and trim(text) <> ''")
+    at = F.struct("block", "line", "part")
+    called = kept.where("kind = 'use' and tool_id <> '' and tool_name <> ''").groupBy("source_path", "tool_id").agg(F.max(at).alias("use_at"))
+    code = T.exit_code(F.col("raw"))
+    ends = kept.where("kind = 'result' and tool_id <> ''").groupBy("source_path", "tool_id").agg(
+        F.max_by("is_error", F.when(F.col("is_error").isNotNull(), at)).alias("failed"), F.max_by(code, F.when(code.isNotNull(), at)).alias("code")
     )
-    paired = rows.join(uses, ["source_path", "tool_id"], "left")
-    args = F.from_json("arguments", "map<string,string>")
-    text = F.when(F.col("kind") == "use", T.serialize_tool(F.col("tool_name"), args)).when(F.col("kind") == "prose", T.clean_content(F.col("raw"))).otherwise(F.left(F.trim("raw"), F.lit(4000)))
-    tool = F.coalesce("tool_name", "used_tool")
-    command = F.coalesce(F.from_json(F.coalesce("arguments", "used_arguments"), "map<string,string>")["command"], F.lit(""))
-    out = paired.withColumn("text", text).where("text <> ''")
-    ordinal = F.row_number().over(Window.partitionBy("source_path").orderBy("line", "block")) - 1
-    return out.select(
-        "source_path", ordinal.alias("ordinal"), "role", "text", T.parse_time(F.col("ts")).alias("timestamp"), "uuid",
-        F.when(F.col("kind") == "prose", T.classify_content(F.col("text"))).when(F.col("kind") == "reasoning", "reasoning").otherwise("tool").alias("content_type"), "cwd",
-        F.when(F.col("kind").isin("use", "result"), tool).alias("tool_name"), F.when(F.col("kind").isin("use", "result"), T.command_head(command)).alias("command_head"),
-        F.when(F.col("kind") == "result", F.col("is_error")).alias("is_error"), F.when((F.col("kind") == "result") & (tool == "Bash"), T.exit_code(F.col("raw"))).alias("exit_code"), "was_interrupted",
+    outcome = called.join(ends, ["source_path", "tool_id"]).select("source_path", F.col("use_at.block").alias("block"), F.col("use_at.line").alias("line"), F.col("use_at.part").alias("part"), "failed", "code")
+    told = kept.join(outcome, ["source_path", "block", "line", "part"], "left")
+    is_use = (F.col("kind") == "use") & (F.col("tool_name") != "")
+    prose = F.when((F.col("kind") == "called") & ~F.contains(F.col("text"), F.lit("```")), "tool").otherwise(T.classify_content(F.col("text")))
+    return told.select(
+        "source_path", (F.row_number().over(order) - 1).alias("ordinal"), "role", "text", T.parse_time(F.col("ts")).alias("timestamp"), "uuid",
+        F.when(F.col("kind").isin("use", "call", "result", "custom"), "tool").when(F.col("kind") == "reasoning", "reasoning").when(F.col("kind") == "plain", "text").otherwise(prose).alias("content_type"), "cwd",
+        F.when(is_use, F.col("tool_name")).alias("tool_name"), F.when(is_use, T.command_head(F.coalesce(given["command"], F.lit("")))).alias("command_head"),
+        F.coalesce("is_error", "failed").alias("is_error"), F.when(F.col("kind") == "result", code).when(F.col("tool_name") == "Bash", F.col("code")).alias("exit_code"), F.coalesce("was_interrupted", F.lit(False)).alias("was_interrupted"),
     )
 
 
@@ -153,29 +197,57 @@ def markdown(spark: SparkSession, paths: list[str], kind: str = "ke", by_section
     return body.select("source_path", "ordinal", "id", F.lit(kind).alias("source"), F.lit("document").alias("role"), "text", "timestamp")
 
 
+#: Kinds of documents and whether each is one item a section; others are whole.
+SECTIONED = {"ke": False, "memory": False, "decision": True, "rule": True, "spec": True, "backlog": True}
+
+
+def documents(spark: SparkSession, sources: dict[str, list[str]]) -> DataFrame:
+    """Items of documents of several kinds ({kind: paths})."""
+    unknown = set(sources) - set(SECTIONED)
+    if unknown:
+        raise ValueError(f"unknown kinds of documents: {sorted(unknown)}")
+    parts = [markdown(spark, paths, kind, SECTIONED[kind]) for kind, paths in sources.items() if paths]
+    if not parts:
+        return spark.createDataFrame([], "source_path string, ordinal int, id string, source string, role string, text string, timestamp timestamp")
+    return reduce(DataFrame.unionByName, parts)
+
+
+def plans(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """(source_path, section, title, body) of plan files; a file without headings is one section named Untitled."""
+    files = spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("source_path"), F.col("value").alias("text"))
+    return sections(files).withColumn("title", F.coalesce("title", F.when(F.col("body").startswith("## "), "").otherwise("Untitled")))
+
+
+class _Database(InputPartition):
+    def __init__(self, path: str):
+        super().__init__(path)
+        self.path = path
+
+
 class _SqliteReader(DataSourceReader):
     def __init__(self, options: dict):
-        self.path = options["path"]
+        self.paths = json.loads(options["paths"])
 
     def partitions(self) -> list[InputPartition]:
-        return [InputPartition(0)]
+        return [_Database(p) for p in self.paths]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
-        db = sqlite3.connect(f"file:{self.path}?mode=ro", uri=True)
+        db = sqlite3.connect(f"file:{partition.path}?mode=ro", uri=True)
         query = "SELECT m.id, m.session_id, m.data, m.time_created, m.time_updated, p.id, p.data FROM message m JOIN part p ON p.message_id = m.id ORDER BY m.time_created, p.id"
-        yield from db.execute(query)
+        for row in db.execute(query):
+            yield (partition.path, *row)
         db.close()
 
 
 class SqliteSessions(DataSource):
-    """Spark source over a session database of message and part tables."""
+    """Spark source over session databases of message and part tables, a partition each; option paths: their list as JSON."""
 
     @classmethod
     def name(cls) -> str:
         return "sqlite_sessions"
 
     def schema(self) -> str:
-        return "message_id string, session_id string, message string, time_created bigint, time_updated bigint, part_id string, part string"
+        return "database string, message_id string, session_id string, message string, time_created bigint, time_updated bigint, part_id string, part string"
 
     def reader(self, schema) -> DataSourceReader:
         return _SqliteReader(self.options)
@@ -184,20 +256,24 @@ class SqliteSessions(DataSource):
 def opencode(spark: SparkSession, paths: list[str], index_reasoning: bool = False) -> DataFrame:
     """Text parts of a message joined by newlines; a tool part gives its input and its output."""
     spark.dataSource.register(SqliteSessions)
-    out = None
-    for path in paths:
-        raw = spark.read.format("sqlite_sessions").option("path", path).load().withColumn("source_path", F.concat(F.lit(path + "#"), "session_id"))
-        j = lambda c, p: F.get_json_object(c, p)
-        rows = raw.select("*", j("message", "$.role").alias("role"), j("part", "$.type").alias("type"), j("part", "$.text").alias("said"), j("part", "$.ignored").alias("ignored"), j("part", "$.tool").alias("tool"), j("part", "$.state.input").alias("given"), j("part", "$.state.output").alias("got"))
-        prose = rows.where("type = 'text' and coalesce(ignored, 'false') <> 'true'").groupBy("source_path", "message_id", "role", "time_created").agg(
-            F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part_id", "said"))), lambda s: s["said"]), "\n").alias("raw")
-        ).select("source_path", "time_created", F.lit("").alias("part_id"), F.lit(0).alias("block"), "role", "raw", F.col("message_id").alias("uuid"), F.lit("prose").alias("kind"), F.lit(None).cast("string").alias("tool_name"), F.lit(None).cast("string").alias("arguments"))
-        used = rows.where("type = 'tool'").select("source_path", "time_created", "part_id", F.explode(F.array(F.struct(F.lit(1).alias("block"), F.lit("use").alias("kind"), F.lit(None).cast("string").alias("raw")), F.struct(F.lit(2).alias("block"), F.lit("result").alias("kind"), F.col("got").alias("raw")))).alias("x"), "role", "tool", "given")
-        tools = used.select("source_path", "time_created", "part_id", "x.block", "role", "x.raw", F.concat("part_id", F.when(F.col("x.kind") == "use", "#t").otherwise("#r")).alias("uuid"), "x.kind", F.col("tool").alias("tool_name"), F.col("given").alias("arguments"))
-        both = prose.unionByName(tools).withColumn("line", F.row_number().over(Window.partitionBy("source_path").orderBy("time_created", "part_id", "block")))
-        full = both.select("source_path", "line", "block", "role", "raw", F.date_format(F.timestamp_millis("time_created"), "yyyy-MM-dd'T'HH:mm:ss.SSSXXX").alias("ts"), "uuid", "kind", F.lit(None).cast("string").alias("cwd"), F.lit(None).cast("string").alias("tool_id"), "tool_name", "arguments", F.lit(None).cast("boolean").alias("is_error"), F.lit(False).alias("was_interrupted"))
-        out = full if out is None else out.unionByName(full)
-    return messages(out)
+    raw = spark.read.format("sqlite_sessions").option("paths", json.dumps(list(paths))).load()
+    j = F.get_json_object
+    rows = raw.select(
+        F.col("database").alias("source_path"), "message_id", "time_created", "part_id", F.coalesce(j("message", "$.role"), F.lit("")).alias("role"), j("part", "$.type").alias("type"),
+        j("part", "$.text").alias("text"), F.coalesce(j("part", "$.ignored"), F.lit("false")).alias("ignored"), j("part", "$.tool").alias("tool"), j("part", "$.state.input").alias("given"), j("part", "$.state.output").alias("got"),
+    )
+    spoken = rows.where("type = 'text' and ignored <> 'true'").groupBy("source_path", "message_id", "role", "time_created").agg(F.array_sort(F.collect_list(F.struct("part_id", "text"))).alias("parts"))
+    plain = spoken.select("source_path", "time_created", "message_id", F.lit("").alias("part_id"), F.lit(0).alias("part"), "role", F.transform("parts", lambda s: s["text"]).alias("said"), F.lit("plain").alias("kind"))
+    both = F.explode(F.array(F.struct(F.lit(1).alias("part"), F.lit("call").alias("kind")), F.struct(F.lit(2).alias("part"), F.lit("result").alias("kind"))))
+    tools = rows.where("type = 'tool'").select("*", both.alias("x")).select(
+        "source_path", "time_created", "message_id", "part_id", "x.part", "role", "x.kind", F.when(F.col("x.kind") == "result", F.col("got")).alias("raw"),
+        F.when(F.col("x.kind") == "call", F.col("tool")).alias("tool_name"), F.when(F.col("x.kind") == "call", F.coalesce("given", F.lit("{}"))).alias("arguments"),
+    )
+    every = plain.unionByName(tools, allowMissingColumns=True)
+    order = Window.partitionBy("source_path").orderBy("time_created", "message_id", "part_id", "part")
+    full = every.select("source_path", F.lit(0).cast("bigint").alias("block"), F.row_number().over(order).cast("bigint").alias("line"), "part", F.date_format(F.timestamp_millis("time_created"), "yyyy-MM-dd'T'HH:mm:ss.SSSXXX").alias("ts"), *[c for c in _NAMES if c in every.columns])
+    missing = [F.lit(None).cast(t).alias(n) for n, t in (c.split() for c in COLUMNS.split(", ")) if n not in full.columns]
+    return messages(full.select("*", *missing))
 
 
 def watermark(path: str) -> str:
@@ -220,7 +296,7 @@ def _markdown_messages(by_section: bool) -> Callable:
 
 
 READERS: dict[str, Callable] = {
-    "claude": _jsonl(claude_record), "pi": _jsonl(pi_record), "opencode": opencode, "markdown_document": _markdown_messages(False), "markdown_sections": _markdown_messages(True),
+    "claude": _jsonl(claude_record), "pi": _jsonl(pi_record), "legacy": _jsonl(legacy_record), "opencode": opencode, "markdown_document": _markdown_messages(False), "markdown_sections": _markdown_messages(True),
 }
 
 
