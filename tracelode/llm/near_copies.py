@@ -10,7 +10,7 @@ not sent. Every candidate is verified.
 
 Large groups of copies must not give all pairs: each text meets the one before it in its groups, if that is in another component,
 first at its rarest shingles and then at all, and the verified links make components. Then large groups give every pair that is
-still in two components. So components are those of all pairs.
+still in two components and that the texts' parities do not rule out. So components are those of all pairs.
 
 Counting follows operator 1: blocks of texts send their distinct shingles, packed, to buckets of hashes, which answer them.
 """
@@ -32,6 +32,8 @@ from .simhash import components, links
 
 #: Groups, of its rarest shingles, in which a text meets the one before it at first.
 FIRST = 2
+#: Bits of a text's parities.
+PARITIES = 512
 #: Differing bits of fingerprints whose texts are compared first.
 RADIUS = 3
 
@@ -53,12 +55,18 @@ def _fingerprint(found: np.ndarray) -> int:
     return int(np.packbits(2 * ones > len(found), bitorder="little").view("<i8")[0])
 
 
-_BLOCK = "kind string, bucket int, block bigint, x binary, y binary, z binary, w binary"
+def _parities(found: np.ndarray) -> bytes:
+    """For each of PARITIES classes of shingles whether the set has an odd number of them. Two sets' parities differ in at most as
+    many bits as the sets in shingles, so they prove most candidates to be no near copies."""
+    return np.packbits(np.bincount((found >> np.uint64(7)) % np.uint64(PARITIES), minlength=PARITIES).astype(np.uint8) & 1).tobytes()
+
+
+_BLOCK = "kind string, bucket int, block bigint, x binary, y binary, z binary, w binary, v binary"
 
 
 def _blocks(nodes: DataFrame, width: int, size: int, buckets: int) -> DataFrame:
     """Rows: block (x: nodes, y: where each one's shingles end, z: each shingle's place among the block's distinct ones, w:
-    fingerprints) and ask (bucket, x: distinct shingles, y: how many of the block's texts hold each)."""
+    fingerprints, v: parities) and ask (bucket, x: distinct shingles, y: how many of the block's texts hold each)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, seen = TaskContext.get().partitionId() << 32, set()
@@ -68,9 +76,9 @@ def _blocks(nodes: DataFrame, width: int, size: int, buckets: int) -> DataFrame:
             keys, places, _ = distinct(np.concatenate(parts))
             held = np.bincount(places).astype(np.uint32)
             ends = np.cumsum([len(p) for p in parts]).astype(np.int64)
-            rows = [("block", None, number, pack(np.array(ids, np.int64)), pack(ends), pack_planes(places), pack(np.array([_fingerprint(p) for p in parts], np.int64)))]
-            rows += [("ask", k, number, pack_sorted(keys[s]), pack_planes(held[s]), None, None) for k, s in _filled(keys, buckets)]
-            types = [pa.string(), pa.int32(), pa.int64(), *[pa.binary()] * 4]
+            rows = [("block", None, number, pack(np.array(ids, np.int64)), pack(ends), pack_planes(places), pack(np.array([_fingerprint(p) for p in parts], np.int64)), b"".join(map(_parities, parts)))]
+            rows += [("ask", k, number, pack_sorted(keys[s]), pack_planes(held[s]), None, None, None) for k, s in _filled(keys, buckets)]
+            types = [pa.string(), pa.int32(), pa.int64(), *[pa.binary()] * 5]
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=[c.split()[0] for c in _BLOCK.split(", ")])
 
         for whole in batches:
@@ -127,14 +135,15 @@ def _prefix_rows(key: tuple, block: pa.Table, answers: pa.Table) -> pa.Table:
 
 
 def _prints(blocks: DataFrame) -> DataFrame:
-    """(node, fp) of all blocks."""
+    """(node, fp, parities) of all blocks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for x, w in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                yield pa.RecordBatch.from_arrays([pa.array(unpack(x, np.int64)), pa.array(unpack(w, np.int64))], names=["node", "fp"])
+            for x, w, v in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                size = PARITIES // 8
+                yield pa.RecordBatch.from_arrays([pa.array(unpack(x, np.int64)), pa.array(unpack(w, np.int64)), pa.array([v[i : i + size] for i in range(0, len(v), size)], pa.binary())], names=["node", "fp", "parities"])
 
-    return blocks.select("x", "w").mapInArrow(run, "node bigint, fp bigint")
+    return blocks.select("x", "w", "v").mapInArrow(run, "node bigint, fp bigint, parities binary")
 
 
 def _alike(prints: DataFrame, radius: int) -> DataFrame:
@@ -152,12 +161,14 @@ def _possible(n: np.ndarray, at: np.ndarray, m: np.ndarray, to: np.ndarray) -> n
 
 
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
-    """Columns of batches sorted by their first, cut so that no run of equal values is divided."""
+    """Columns of batches sorted by their first, cut so that no run of equal values is divided; a binary column gives rows of
+    64-bit words."""
     rest: list[list[np.ndarray]] = []
+    plain = lambda c: np.frombuffer(b"".join(c.to_pylist()), np.uint64).reshape(len(c), -1) if pa.types.is_binary(c.type) else np.asarray(c)
     for b in batches:
         if not b.num_rows:
             continue
-        cols = [np.asarray(c) for c in b.columns]
+        cols = [plain(c) for c in b.columns]
         last = int(np.searchsorted(cols[0], cols[0][-1]))
         if last or (rest and rest[0][0][0] != cols[0][0]):
             # all before the last value's run is complete
@@ -196,10 +207,10 @@ def _met(rows: DataFrame) -> DataFrame:
 
 
 def _apart(members: DataFrame) -> DataFrame:
-    """(a, b): candidates among members (h, n, node, at, root) of one group that have two roots."""
+    """(a, b): candidates among members (h, n, node, at, root, parities) of one group that have two roots."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for h, n, node, at, root in _groups(batches):
+        for h, n, node, at, root, parities in _groups(batches):
             edges = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1], [True])))
             for s, e in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
                 if (root[s:e] == root[s]).all():
@@ -209,6 +220,8 @@ def _apart(members: DataFrame) -> DataFrame:
                 for i in range(s + 1, e):
                     j = slice(int(first[i - s]), i)
                     ok = np.flatnonzero((root[j] != root[i]) & _possible(n[j], at[j], n[i], at[i])) + j.start
+                    # sets that reach 4/5 differ in a ninth of their sizes' sum at most
+                    ok = ok[9 * np.bitwise_count(parities[ok] ^ parities[i]).sum(axis=1, dtype=np.int64) <= n[ok].astype(np.int64) + n[i]]
                     if len(ok):
                         out.append(np.stack([np.minimum(node[ok], node[i]), np.maximum(node[ok], node[i])], 1))
                         count += len(ok)
@@ -220,7 +233,7 @@ def _apart(members: DataFrame) -> DataFrame:
                     both = np.concatenate(out)
                     yield pa.RecordBatch.from_arrays([pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())], names=["a", "b"])
 
-    return members.repartition("h").sortWithinPartitions("h", "n", "node").select("h", "n", "node", "at", "root").mapInArrow(run, "a bigint, b bigint")
+    return members.repartition("h").sortWithinPartitions("h", "n", "node").select("h", "n", "node", "at", "root", "parities").mapInArrow(run, "a bigint, b bigint")
 
 
 def _sets(nodes: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
@@ -279,7 +292,8 @@ def near_copies(docs: DataFrame, width: int = 5, block_shingles: int = 1_500_000
     length = nodes.agg(F.sum(F.octet_length("text"))).collect()[0][0] or 0
     made = stored(_blocks(nodes, width, block_shingles, max(1, -(-int(length / 6) // block_shingles))), "blocks", partition_by=("kind",))
     kind = lambda k: made.where(F.col("kind") == k).toDF(*made.columns)
-    alike = stored(_alike(stored(_prints(kind("block")), "prints"), RADIUS), "alike")
+    prints = stored(_prints(kind("block")).dropDuplicates(["node"]), "prints")
+    alike = stored(_alike(prints, RADIUS), "alike")
     verified = _verified(alike, nodes, width)
     answers = stored(kind("ask").select("bucket", "block", "x", "y").groupBy("bucket").applyInArrow(_holders, "bucket int, block bigint, held binary, keys binary"), "answers")
     discard(made, "kind=ask")
@@ -294,7 +308,7 @@ def near_copies(docs: DataFrame, width: int = 5, block_shingles: int = 1_500_000
     verified = verified.unionByName(pairs(met))
     large = met.where("h is not null").select("h", "n", F.col("a").alias("node"), "at")
     if not large.isEmpty():
-        more = stored(_apart(_rooted(large, verified)).distinct(), "pairs")
+        more = stored(_apart(_rooted(large, verified).join(prints.select("node", "parities").hint("merge"), "node")).distinct(), "pairs")
         verified = verified.unionByName(_verified(more, nodes, width))
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("node"))
     roots = _rooted(ids.select("node").distinct(), verified)
