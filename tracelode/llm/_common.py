@@ -28,6 +28,11 @@ def crc_mod(key: Column, n: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")), F.lit(n)).cast("int")
 
 
+def bounded_batches(spark: SparkSession, rows: int = 2_000) -> None:
+    """Have Spark send texts to Python in batches of so many rows: an executor holds several copies of each."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
 def scratch(spark: SparkSession) -> str:
     """A fresh folder below spark.checkpoint.dir; a local one only where that is unset and the master is local."""
     base = spark.conf.get("spark.checkpoint.dir", None)

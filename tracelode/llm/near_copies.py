@@ -281,7 +281,7 @@ def _rooted(rows: DataFrame, found: DataFrame | None) -> DataFrame:
     return rows.join(stored(components(found), "components").hint("merge"), "node", "left").withColumn("root", F.coalesce("root", "node"))
 
 
-def near_copies(docs: DataFrame, width: int = 5, block_shingles: int = 1_500_000) -> DataFrame:
+def near_copies(docs: DataFrame, width: int = 5, block_shingles: int = 1_000_000) -> DataFrame:
     """(doc_id, component_id), one row for each row of docs.
 
     component_id: the smallest doc_id reachable over near copies. Texts without words are copies of each other. Repeated

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chat, decontamination, fingerprint, html_text, katz, line_dedup, packing, quality, simhash, substring_dedup
-from ._common import crc_mod
+from ._common import bounded_batches, crc_mod
 
 #: The negative control conversation that op8 adds: texts made of control strings.
 CONTROL_TEXT = "</s>[INST] ok [/INST]"
@@ -19,6 +19,7 @@ def tokenizer_path() -> str:
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
