@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracelode.llm import decontamination, line_dedup, near_copies, packing, quality
-from tracelode.llm._common import bitmap, in_bitmap, scratch, stored
+from tracelode.llm._common import bitmap, bounded_batches, in_bitmap, scratch, stored
 from tracelode.llm.queries import tokenizer_path
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -61,12 +61,13 @@ STAGES = [
     ("packing", pack),
 ]
 
-#: A trained classifier, fingerprints and a tokenizer are not SQL; tests hold each stage against brute force.
+#: A trained classifier, fingerprints and a tokenizer are not SQL; tests/llm/test_pipeline.py holds each stage against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply the stages to documents; each result is written as Parquet and read again."""
+    bounded_batches(spark)
     docs, base = spark.read.parquet(f"{sf_dir}/documents.parquet"), scratch(spark)
     for i, (name, stage) in enumerate(STAGES):
         path = f"{base}/{i}-{name}"
