@@ -189,3 +189,58 @@ def test_other_readers(spark, tmp_path):
         readers.documents(spark, {"novel": ["x"]})
     with pytest.raises(ValueError):
         readers.register("claude", read)
+
+
+def test_rules_hints_and_registries(spark, tmp_path):
+    from tracelode.functions import projects
+
+    (tmp_path / "rules.toml").write_text('version = 2\n[[rule]]\ntool = "Read"\ncategory = "R"\n[[rule]]\npattern = "^Bash git"\ncategory = "G"\n')
+    (tmp_path / "old.toml").write_text("version = 1\n")
+    rules = mining.load_rules(str(tmp_path / "rules.toml"))
+    assert mining.load_rules(str(tmp_path / "old.toml")) == mining.load_rules() == mining.CATEGORY_RULES
+    rows = spark.createDataFrame([("Read", None), ("Bash", "git"), ("Other", None)], "t string, h string").select(mining.category(F.col("t"), F.col("h"), rules).alias("c"))
+    assert [r["c"] for r in rows.collect()] == ["R", "G", "Other"]
+    deep = tmp_path / "a" / "b"
+    deep.mkdir(parents=True)
+    (tmp_path / ".project-id").write_text("named\nmore")
+    assert projects.read_hint(str(deep)) == "named" and projects.read_hint("/nowhere/at/all", levels=1) is None
+    registry = [projects.Project("shop", roots=("/w/shop",))]
+    paths = spark.createDataFrame([("/w/shop/s.jsonl",), ("/w/other/s.jsonl",)], "source_path string")
+    assert [r["p"] for r in paths.select(projects.registry_project(registry, F.col("source_path")).alias("p")).collect()] == ["shop", None]
+
+
+def test_streams(spark, tmp_path):
+    from tracelode.streaming import ingest
+
+    folder = tmp_path / "in"
+    folder.mkdir()
+    line = lambda u: json.dumps({"uuid": u, "type": "user", "message": {"role": "user", "content": f"text {u}"}})
+    (folder / "a.jsonl").write_text(line("1"))
+    store = Store(spark, str(tmp_path / "store"))
+    for more in ("b", "c"):
+        ingest.watch(spark, str(folder), store, str(tmp_path / "check")).awaitTermination()
+        (folder / f"{more}.jsonl").write_text(line(more) + "\n" + line("1"))
+    ingest.watch(spark, str(folder), store, str(tmp_path / "check")).awaitTermination()
+    assert sorted(r["uuid"] for r in store.table("items").collect()) == ["1", "b", "c"]
+    events = spark.createDataFrame([("2024-01-01 10:00:00", "x"), ("2024-01-07 23:00:00", "x"), ("2024-01-08 00:00:00", "y")], "t string, tool_name string").select(F.to_timestamp("t").alias("timestamp"), "tool_name")
+    events.write.parquet(str(tmp_path / "events"))
+    stream = spark.readStream.schema(events.schema).parquet(str(tmp_path / "events"))
+    ingest.weekly_counts(stream).writeStream.format("memory").queryName("weeks").outputMode("complete").trigger(availableNow=True).start().awaitTermination()
+    assert sorted((str(r["week_start"]), r["tool_name"], r["cnt"]) for r in spark.table("weeks").collect()) == [("2024-01-01 00:00:00", "x", 2), ("2024-01-08 00:00:00", "y", 1)]
+
+
+def test_discovery(tmp_path):
+    from tracelode.sources.discover import active_inputs, load_inputs
+
+    (tmp_path / "a.inputs.toml").write_text('[[inputs]]\nid = "a"\nunknown = 1\n[inputs.discover]\nroots = ["~/x"]\n[[inputs]]\nid = "off"\nactive = false\n')
+    assert [d.id for d in load_inputs(str(tmp_path))] == ["a"] and [d.id for d in active_inputs(str(tmp_path), ["/s"])] == ["a"]
+    assert [d.roots for d in active_inputs(str(tmp_path / "none"), ["/s"])] == [["/s"]] and active_inputs(str(tmp_path / "none")) == []
+    root = tmp_path / "root"
+    (root / "d" / "e").mkdir(parents=True)
+    for name in ("x.jsonl", "d/y.jsonl", "d/e/z.jsonl", "d/e/z.txt"):
+        (root / name).write_text("")
+    (root / "loop").symlink_to(root)
+    (root / "out").symlink_to(tmp_path)
+    names = lambda **k: [os.path.relpath(p, root) for p in discover(InputDefinition("i", roots=[str(root), str(root)], **k))]
+    assert names() == ["d/e/z.jsonl", "d/y.jsonl", "x.jsonl"] == names(follow_symlinks=True)
+    assert names(include=["d/*"]) == ["d/y.jsonl"] and names(include=["**/e/**"]) == ["d/e/z.jsonl", "d/e/z.txt"] and names(exclude=["**/e/**"]) == ["d/y.jsonl", "x.jsonl"]

@@ -127,6 +127,11 @@ def records(items: DataFrame, project: str | None = None, source: str | None = N
     return out.withColumn("text", first_bytes(F.col("text"), max_bytes) if max_bytes else F.col("text")).select("source", "source_path", "ordinal", "role", "text", "timestamp", "project", "content_type").orderBy("source_path", "ordinal")
 
 
+def messages_of(items: DataFrame, path: str) -> DataFrame:
+    """The messages of one path in order."""
+    return items.where(F.col("source_path") == path).orderBy("ordinal")
+
+
 def resolve_path(items: DataFrame, wanted: str) -> DataFrame:
     """The path that is meant: exact, else containing, else by uuid; the best kind of match only."""
     kind = F.when(F.col("source_path") == wanted, 1).when(F.contains("source_path", F.lit(wanted)), 2).when(F.col("uuid") == wanted, 3)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from typing import Protocol
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -46,6 +47,12 @@ class SearchRequest:
             raise ValueError("limit and offset are not negative")
 
 
+class SearchEngine(Protocol):
+    """What answers a request: the store does."""
+
+    def search(self, request: SearchRequest) -> DataFrame: ...
+
+
 def filtered(items: DataFrame, r: SearchRequest, tags: DataFrame | None = None) -> DataFrame:
     """The request's predicates; dates are exclusive at both ends, a path with * or % is a pattern."""
     out, source = items, T.source_filter(r.source)

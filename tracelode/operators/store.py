@@ -469,6 +469,11 @@ def stale_template_paths(matches: DataFrame, templates: DataFrame, version: int
     return matches.join(templates.where(F.col("normalization_version") < version).select("signature"), "signature").select(F.col("source_path").alias("path")).distinct()
 
 
+def unmatched_templates(templates: DataFrame, matches: DataFrame) -> DataFrame:
+    """Templates that no message matches."""
+    return templates.join(matches.select("signature"), "signature", "left_anti")
+
+
 def superseded_paths(signals: DataFrame, version: int = EXTRACTION_VERSION) -> DataFrame:
     """Paths with signals of an older or unknown extraction, in order."""
     return signals.where(F.coalesce("extraction_version", F.lit(-1)) < version).select(F.col("source_path").alias("path")).distinct().orderBy("path")

@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import projects
+from ..functions import text as T
 from ..operators import census, embeddings, index, lineage, mining, requests, search, store
 from ..operators.sync import _named
 from ..sources import readers
@@ -28,14 +30,16 @@ def folder(s: SparkSession) -> str:
 
 
 def sessions_of_events(s: SparkSession, d: str, where: str) -> list[str]:
-    """Every event as a session's two records, a call and, but for views, its result; 16 files, users dealt to them."""
+    """Every event as a session's records: a call, but for views its result, after purchases a text; 16 files, users dealt to them."""
     e = s.read.parquet(f"{d}/events.parquet").withColumn("k", F.get_json_object("props", "$.k").cast("int"))
     text = lambda x: F.col(x).cast("string")
     at = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'")
     call = F.struct(F.lit("tool_use").alias("type"), text("event_id").alias("id"), F.when(F.col("event_type") == "error", "Bash").otherwise(F.col("event_type")).alias("name"), F.struct(F.concat(F.lit("A=1 k"), text("k"), F.lit(" --x")).alias("command")).alias("input"))
     result = F.struct(F.lit("tool_result").alias("type"), text("event_id").alias("tool_use_id"), (F.col("event_type") == "error").alias("is_error"), F.concat(F.lit("job of "), text("user_id"), F.lit("\nexit code "), text("k")).alias("content"))
     record = lambda kind, role, block: F.to_json(F.struct(F.concat(F.lit(kind), text("event_id")).alias("uuid"), at.alias("timestamp"), F.concat(F.lit("/w/p"), (F.col("user_id") % 5).cast("string")).alias("cwd"), F.struct(F.lit(role).alias("role"), F.array(block).alias("content")).alias("message")))
-    both = F.array(record("c", "assistant", call), F.when(F.col("event_type") != "view", record("r", "user", result)))
+    said = F.struct(F.lit("text").alias("type"), F.concat(F.lit("k"), text("k"), F.lit(" item"), text("user_id")).alias("text"))
+    spoken = F.to_json(F.struct(F.concat(F.lit("s"), text("event_id")).alias("uuid"), at.alias("timestamp"), F.concat(F.lit("/w/p"), (F.col("user_id") % 5).cast("string")).alias("cwd"), F.struct(F.lit("user").alias("role"), F.array(said).alias("content")).alias("message")))
+    both = F.array(record("c", "assistant", call), F.when(F.col("event_type") != "view", record("r", "user", result)), F.when(F.col("event_type") == "purchase", spoken))
     lines = e.select((F.col("user_id") % 16).alias("f"), "ts", "event_id", F.posexplode(both).alias("i", "line")).where("line is not null")
     lines.repartition("f").sortWithinPartitions("f", "ts", "event_id", "i").select("f", "line").write.partitionBy("f").text(where)
     listed = s.read.text(where).select(F.col("_metadata.file_path").alias("p")).distinct().collect()  # 16 names
@@ -81,6 +85,206 @@ def ingest_templates(s, d):
     return st.table("template_matches").join(st.table("templates"), "signature").groupBy("template_text").agg(F.count("*").alias("cnt"))
 
 
+_SAID = f"""{_CALLS}, texts AS (SELECT 's' || event_id AS uuid, 'k' || k || ' item' || user_id AS text, 'text' AS kind, 'user' AS role, user_id, event_id, ts, 2 AS i FROM (SELECT *, (props::JSON ->> '$.k')::INTEGER AS k FROM events) WHERE event_type = 'purchase'
+  UNION ALL SELECT 'c' || event_id || '#t0', tool_name || ' command=A=1 ' || command_head || ' --x', 'tool', 'assistant', user_id, event_id, ts, 0 FROM calls
+  UNION ALL SELECT 'r' || event_id || '#r0', CASE WHEN is_error THEN 'error: ' ELSE '' END || 'job of ' || user_id || chr(10) || 'exit code ' || substr(k, 2), 'tool', 'user', user_id, event_id, ts, 1 FROM (SELECT *, command_head AS k FROM calls) WHERE is_error IS NOT NULL)"""
+
+
+@query(f"WITH {_SAID} SELECT uuid, text, role, kind AS content_type, (row_number() OVER (PARTITION BY user_id % 16 ORDER BY ts, event_id, i) - 1)::INTEGER AS ordinal, date_trunc('second', ts)::TIMESTAMP AS timestamp FROM texts")
+def ingest_messages(s, d):
+    """Texts, roles, types, times and the order of the messages in their files."""
+    return ingested(s, d).table("items").select("uuid", "text", "role", "content_type", "ordinal", "timestamp")
+
+
+def _store_hits(st: store.Store, r: search.SearchRequest) -> DataFrame:
+    return st.search(r).select("uuid", F.round("score", 6).alias("score"))
+
+
+@query(f"WITH {_SAID}, v_items AS (SELECT *, uuid AS id FROM texts WHERE kind = 'tool'), {_bm25_sql(_substring_rows(['exit', 'job']), ['a', 'b'])}".replace("SELECT id, round(0.0", "SELECT id AS uuid, round(0.0"))
+def store_search_tool(s, d):
+    """Tool text through the stored index."""
+    return _store_hits(ingested(s, d), search.SearchRequest("Exit job", content_type="tool", limit=10_000_000))
+
+
+@query(f"WITH {_SAID}, r AS (SELECT uuid, user_id, 2 AS dl, (split_part(text, ' ', 1) LIKE 'k7%')::INTEGER AS tf FROM texts WHERE kind = 'text'), st AS (SELECT count(*) AS n, sum(tf) AS df FROM r), firsts AS (SELECT user_id % 16 AS f, arg_min(user_id % 5, (ts, event_id)) AS p FROM events GROUP BY 1) SELECT uuid, round(0.0 - (CASE WHEN ln((n - df + 0.5) / (df + 0.5)) <= 0 THEN 1e-6 ELSE ln((n - df + 0.5) / (df + 0.5)) END) * tf * 2.2 / (tf + 1.2), 6) AS score FROM r, st WHERE tf > 0 AND user_id % 16 IN (SELECT f FROM firsts WHERE p = 1)")
+def store_search_prose(s, d):
+    """Prose through the stored index, of one project, role and tag; statistics are those of all prose."""
+    r = search.SearchRequest("k7", project="p1", role="user", source="sessions", content_type="text", tag="debugging", limit=10_000_000)
+    return _store_hits(ingested(s, d), r)
+
+
+@query(f"WITH {_SAID}, kept AS (SELECT * FROM texts WHERE ts::TIMESTAMP >= TIMESTAMP '2024-01-15') SELECT 'items' AS name, count(*) AS n FROM kept UNION ALL SELECT 'tool_events', count(*) FROM kept WHERE uuid LIKE 'c%' UNION ALL SELECT 'files', count(DISTINCT user_id % 16) FROM kept")
+def store_purge(s, d):
+    st = ingested(s, d)
+    st.purge("2024-01-15")
+    return s.createDataFrame([(n, st.table(n).count()) for n in ("items", "tool_events", "files")], "name string, n bigint")
+
+
+@query(f"WITH {_SAID} SELECT uuid, CASE WHEN user_id % 16 % 2 = 0 THEN 'h' ELSE 'recovered' END AS hash FROM texts")
+def store_recover(s, d):
+    """Every other file's store lost: what another store has is taken from there and marked."""
+    other = ingested(s, d)
+    st = store.Store(s, folder(s))
+    even = (F.regexp_extract("path", "f=([0-9]+)/", 1).cast("int") % 2) == 0
+    files = other.table("files").where(even)
+    mine = files.select(F.col("path").alias("source_path"))
+    st.commit({"items": other.table("items").join(mine, "source_path", "left_semi"), "files": files})
+    st.recover([other.root])
+    return st.table("items").join(st.table("files"), F.col("source_path") == F.col("path")).select("uuid", "hash")
+
+
+# --- other readers -------------------------------------------------------------------------------------------------
+
+
+def _jsonl(s: SparkSession, d: str, record) -> list[str]:
+    """conversations as JSON lines, one record a turn, dealt to eight files."""
+    c = s.read.parquet(f"{d}/conversations.parquet").withColumn("f", F.col("conv_id") % 8)
+    where = folder(s)
+    c.repartition("f").sortWithinPartitions("f", "conv_id", "turn").select("f", F.to_json(record).alias("line")).write.partitionBy("f").text(where)
+    return [r["p"] for r in s.read.text(where).select(F.col("_metadata.file_path").alias("p")).distinct().collect()]
+
+
+_CLEAN_TEXT = r"trim(regexp_replace(text, '\s+', ' ', 'g'))"
+
+
+@query(rf"WITH c AS (SELECT *, trim(regexp_replace(text, '\s+', ' ', 'g')) AS clean FROM conversations WHERE role IN ('user', 'assistant')) SELECT role, clean AS text, 'text' AS content_type, count(*) AS n FROM c WHERE clean <> '' GROUP BY ALL UNION ALL SELECT 'tool', 'note turn ' || turn, 'tool', count(*) FROM conversations GROUP BY turn UNION ALL SELECT role, 'Read path=' || conv_id, 'tool', count(*) FROM c GROUP BY ALL")
+def read_pi(s, d):
+    parts = F.array(
+        F.struct(F.lit("text").alias("type"), F.col("text").alias("text"), F.lit(None).cast("string").alias("name"), F.lit(None).cast("struct<path:string>").alias("arguments")),
+        F.struct(F.lit("toolCall").alias("type"), F.lit(None).cast("string").alias("text"), F.lit("Read").alias("name"), F.struct(F.col("conv_id").cast("string").alias("path")).alias("arguments")),
+    )
+    message = F.struct(F.lit("message").alias("type"), F.lit(None).cast("string").alias("customType"), F.lit(None).cast("string").alias("data"), F.struct("role", parts.alias("content")).alias("message"))
+    note = F.struct(F.lit("custom").alias("type"), F.lit("note").alias("customType"), F.concat(F.lit("turn "), F.col("turn").cast("string")).alias("data"), F.lit(None).cast(f"struct<role:string,content:{_PI}>").alias("message"))
+    where = folder(s)
+    c = s.read.parquet(f"{d}/conversations.parquet")
+    c.select(F.explode(F.array(F.to_json(message), F.to_json(note))).alias("line")).write.text(where)
+    paths = [r["p"] for r in s.read.text(where).select(F.col("_metadata.file_path").alias("p")).distinct().collect()]
+    return readers.reader_for("pi")(s, paths).groupBy("role", "text", "content_type").agg(F.count("*").alias("n"))
+
+
+_PI = "array<struct<type:string,text:string,name:string,arguments:struct<path:string>>>"
+
+
+@query(r"SELECT role, trim(regexp_replace(text, '\s+', ' ', 'g')) AS text, CASE WHEN turn % 2 = 1 THEN 'tool' ELSE 'text' END AS content_type, count(*) AS n FROM conversations WHERE trim(regexp_replace(text, '\s+', ' ', 'g')) <> '' GROUP BY ALL")
+def read_legacy(s, d):
+    block = lambda kind, text: F.struct(F.lit(kind).alias("type"), text.alias("text"))
+    content = F.when(F.col("turn") % 2 == 1, F.array(block("text", F.col("text")), block("tool_use", F.lit(None).cast("string")))).otherwise(F.array(block("text", F.col("text"))))
+    paths = _jsonl(s, d, F.struct(F.struct("role", content.alias("content")).alias("message")))
+    return readers.reader_for("legacy")(s, paths).groupBy("role", "text", "content_type").agg(F.count("*").alias("n"))
+
+
+@query("SELECT 'conv-' || conv_id || '-' || turn AS id, 'rule' AS source, 'document' AS role, '## Turn ' || turn || chr(10) || role AS text FROM conversations UNION ALL SELECT 'conv-' || conv_id, 'memory', 'document', '---' || chr(10) || 'id: conv-' || conv_id || chr(10) || '---' || chr(10) || string_agg('## Turn ' || turn || chr(10) || role, chr(10) ORDER BY turn) FROM conversations GROUP BY conv_id")
+def read_documents(s, d):
+    """Markdown files, whole and by section."""
+    c = s.read.parquet(f"{d}/conversations.parquet")
+    lines = F.array_sort(F.collect_list(F.struct("turn", F.concat(F.lit("## Turn "), F.col("turn").cast("string"), F.lit("\n"), F.col("role")).alias("text"))))
+    body = c.groupBy("conv_id").agg(F.array_join(F.transform(lines, lambda x: x["text"]), "\n").alias("body"))
+    where = folder(s)
+    body.select("conv_id", F.concat(F.lit("---\nid: conv-"), F.col("conv_id").cast("string"), F.lit("\n---\n"), "body").alias("value")).repartition(8).write.partitionBy("conv_id").option("lineSep", "\n").text(where)
+    got = readers.documents(s, {"rule": [f"{where}/conv_id=*"], "memory": [f"{where}/conv_id=*"]})
+    turn = F.regexp_extract("text", r"^## Turn (\d+)", 1)
+    name = F.when(F.col("source") == "rule", F.concat(F.regexp_replace("id", "-[0-9]+$", ""), F.lit("-"), turn)).otherwise(F.col("id"))
+    return got.select(name.alias("id"), "source", "role", F.regexp_replace("text", r"\n+$", "").alias("text"))
+
+
+@query(r"SELECT role, text AS text, count(*) AS n FROM (SELECT role, trim(text) AS text FROM conversations) WHERE text <> '' GROUP BY ALL")
+def read_databases(s, d):
+    """Session databases, one for each eighth of the conversations, read in parallel."""
+    import json
+    import os
+    import sqlite3
+
+    where = folder(s).removeprefix("file:")
+    os.makedirs(where)
+    paths = [f"{where}/{k}.db" for k in range(8)]
+    c = s.read.parquet(f"{d}/conversations.parquet").select("conv_id", "turn", "role", "text")
+
+    def write(rows) -> None:
+        """One task writes each database; on a cluster the folder is shared."""
+        db = None
+        for r in rows:
+            if db is None:
+                db = sqlite3.connect(paths[r["conv_id"] % 8])
+                db.executescript("CREATE TABLE message(id, session_id, data, time_created, time_updated); CREATE TABLE part(id, message_id, data)")
+            name = f"{r['conv_id']}-{r['turn']}"
+            db.execute("INSERT INTO message VALUES (?, ?, ?, ?, ?)", (name, str(r["conv_id"]), json.dumps({"role": r["role"]}), 1_704_067_200_000 + r["turn"], 5))
+            db.execute("INSERT INTO part VALUES (?, ?, ?)", (f"p{name}", name, json.dumps({"type": "text", "text": r["text"]})))
+        if db is not None:
+            db.commit()
+            db.close()
+
+    for k in range(8):
+        c.where(F.col("conv_id") % 8 == k).coalesce(1).foreachPartition(write)
+    return readers.opencode(s, [p for p in paths if os.path.exists(p)]).groupBy("role", "text").agg(F.count("*").alias("n"))
+
+
+@query("SELECT * FROM (VALUES ('benchmark'), ('conversations'), ('customer'), ('documents'), ('embeddings'), ('events'), ('labels'), ('lineitem'), ('nation'), ('orders'), ('pages'), ('part'), ('region'), ('supplier')) AS t(name)")
+def discover_tables(s, d):
+    """The folder's tables by discovery: a manifest, a recursive glob, an exclusion."""
+    import os
+    import tempfile
+    from pathlib import Path
+
+    from ..sources.discover import active_inputs, discover
+
+    with tempfile.TemporaryDirectory() as config:
+        Path(config, "x.inputs.toml").write_text(f'[[inputs]]\nid = "t"\n[inputs.discover]\nroots = ["{d}"]\ninclude = ["**/*.parquet", "**/part-*"]\nexclude = ["**/*.json"]\n[[inputs]]\nid = "off"\nactive = false\n', encoding="utf-8")
+        (found,) = active_inputs(config)
+    names = {os.path.relpath(p, os.path.realpath(d)).split(os.sep)[0].removesuffix(".parquet") for p in discover(found)}
+    return s.createDataFrame([(n,) for n in names], "name string")
+
+
+# --- more functions ------------------------------------------------------------------------------------------------
+
+
+@query("SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'plain ' || user_id WHEN 1 THEN 'a=' || user_id || ' b=x' WHEN 2 THEN 'one' || chr(10) || event_type WHEN 3 THEN user_id::VARCHAR ELSE '[1,2]' END AS text FROM events")
+def serialize_values(s, d):
+    e = s.read.parquet(f"{d}/events.parquet")
+    u, k = F.col("user_id").cast("string"), F.col("event_id") % 5
+    value = F.when(k == 0, F.concat(F.lit('"  plain '), u, F.lit(' "'))).when(k == 1, F.concat(F.lit('{"b":"x","a":'), u, F.lit("}"))).when(k == 2, F.concat(F.lit('[{"text":"one"},{"id":1},{"text":"'), F.col("event_type"), F.lit('"}]'))).when(k == 3, u).otherwise("[1,2]")
+    return e.select("event_id", T.serialize_value(value).alias("text"))
+
+
+@query("SELECT event_id, event_id % 3 = 0 AS is_input, event_id % 3 = 1 AND event_type = 'error' AS mined FROM events")
+def input_or_output(s, d):
+    e = s.read.parquet(f"{d}/events.parquet")
+    line = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("Bash command="), F.col("event_type"))).when(F.col("event_id") % 3 == 1, F.concat(F.lit("it said "), F.col("event_type"))).otherwise("")
+    kind = F.when(F.col("event_id") % 3 == 2, "text").otherwise("tool")
+    return e.select("event_id", T.is_input_serialization(line).alias("is_input"), T.should_mine(kind, F.col("event_type") == "error", line).alias("mined"))
+
+
+@query("SELECT event_id, CASE event_id % 4 WHEN 0 THEN ts::TIMESTAMP WHEN 1 THEN date_trunc('day', ts)::TIMESTAMP END AS at FROM events")
+def parse_times(s, d):
+    e = s.read.parquet(f"{d}/events.parquet")
+    k = F.col("event_id") % 4
+    text = F.when(k == 0, F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")).when(k == 1, F.date_format("ts", "yyyy-MM-dd")).when(k == 2, "yesterday")
+    return e.select("event_id", T.parse_time(text).alias("at"))
+
+
+@query("SELECT event_id, CASE event_id % 6 WHEN 0 THEN 'shop' WHEN 1 THEN 'shop' WHEN 2 THEN 'tree' WHEN 3 THEN 'ops' WHEN 4 THEN regexp_replace(lower('My.' || event_type), '[^a-z0-9_-]', '', 'g') ELSE 'unknown' END AS project, CASE event_id % 6 WHEN 5 THEN 'app' END AS decoded FROM events")
+def project_paths(s, d):
+    """Exact root, below a root, worktree, suffix, fallback, and a session folder that stands for a path."""
+    e = s.read.parquet(f"{d}/events.parquet")
+    registry = [projects.Project("shop", roots=("/w/shop",)), projects.Project("tree", worktrees=("/trees/*",)), projects.Project("ops", suffixes=("ops/live",))]
+    cwd = F.element_at(F.array(F.lit("/w/shop/"), F.concat(F.lit("/w/shop/"), F.col("event_type")), F.concat(F.lit("/trees/"), F.col("event_type")), F.lit("/srv/ops/live"), F.concat(F.lit("/x/My."), F.col("event_type")), F.lit("")), (F.col("event_id") % 6 + 1).cast("int"))
+    found = F.pandas_udf(lambda c: c.map(lambda p: projects.identify(p, registry)), "string")
+    session = F.when(F.col("event_id") % 6 == 5, "/home/u/.claude/projects/-w-team-app-/s.jsonl").otherwise(F.col("event_type"))
+    return e.select("event_id", found(cwd).alias("project"), projects.decode_project_dir(session).alias("decoded"))
+
+
+@query(f"WITH {I} SELECT ordinal, role, text, uuid FROM v_items WHERE source_path = 'conv/1'")
+def messages_of_path(s, d):
+    return census.messages_of(V.items(s, d), "conv/1").select("ordinal", "role", "text", "uuid")
+
+
+@query(f"WITH {E} SELECT signature FROM (VALUES ('a'), ('b')) t(signature)")
+def templates_unmatched(s, d):
+    """Templates that nothing matches."""
+    mined, matches = mining.mine_templates(V.tool_events(s, d).where("is_error"))
+    more = s.createDataFrame([("a", "x", 2), ("b", "y", 2)], "signature string, template_text string, normalization_version int")
+    return store.unmatched_templates(mined.unionByName(more), matches).select("signature")
+
+
 # --- stored indexes ------------------------------------------------------------------------------------------------
 
 
@@ -272,7 +476,6 @@ def chunks_with_items(s, d):
 def chunk_words(s, d):
     """Chunks without overlap hold all words; a text that fits is one chunk."""
     from ..functions import chunking
-    from ..functions import text as T
 
     c = s.read.parquet(f"{d}/conversations.parquet").withColumn("chunks", chunking.chunks(F.col("text"), 64))
     fits = F.forall("chunks", lambda x: T.token_count(x) <= 64) & ((F.size("chunks") == 1) == (T.token_count(F.col("text")) <= 64))
