@@ -88,6 +88,21 @@ def test_recovery_is_all_or_nothing(spark, store, tmp_path):
     with pytest.raises(ValueError):
         store.recover([other.root], strict=True)  # these identities are no uuids
     assert store.fingerprint() == before and not store.files.exists("LOCK")
+    moved = Store(spark, str(tmp_path / "moved"))
+    moved.ingest(messages(spark, talk("late", 1)), listed(spark, ["late"]))
+    real = store._read
+
+    def moving(*args):  # another writer commits to an input while the union is written
+        moved.restore(1)
+        return real(*args)
+
+    store._read, before = moving, store.fingerprint()
+    try:
+        with pytest.raises(RuntimeError):
+            store.recover([moved.root])
+    finally:
+        del store._read
+    assert store.fingerprint() == before
     a, b = store.table("items"), store.table("items").where("ordinal > 0")
     assert store_module.differences(a, b) and not store_module.differences(a, a)
 
@@ -243,6 +258,8 @@ def test_requests_are_checked_and_pages_formatted(spark, store, tmp_path, monkey
     assert 0 < len([x for x in text if x.startswith("---")]) < 5
     with pytest.raises(ValueError):
         requests.search_page(store, search.SearchRequest("kernels"), "some")
+    told = requests.report(store, [InputDefinition("x", roots=["/a"])])
+    assert told["inputs"] == [("x", "claude", ["/a"])] and told["status"]["items"] == 18 and told["status"]["lineage"] == 14
     assert requests.hints(0, "ab", "tool") and requests.hints(3) == []
     assert [r["source_path"] for r in requests.sessions(store.table("items"), store.table("tags"), requests.ListRequest(limit=2, offset=1)).collect()] == ["p1", "p2"]
     signals = store.table("items").select("source_path", "ordinal", F.lit("lexicon").alias("detector"), F.lit(0.8).alias("confidence")).where("ordinal = 1")

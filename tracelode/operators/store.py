@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -97,9 +98,10 @@ class Store:
         kept = [b[name] for b in self.manifest()["lengths"].values() if name in b]
         return sum(n for n, _ in kept), sum(t for _, t in kept)
 
-    def commit(self, changed: dict[str, DataFrame], buckets: list[int] | None = None, expect: int | None = None, segments: dict[str, DataFrame] | None = None, replace_segments: bool = False) -> int:
+    def commit(self, changed: dict[str, DataFrame], buckets: list[int] | None = None, expect: int | None = None, segments: dict[str, DataFrame] | None = None, replace_segments: bool = False, verify: Callable[[dict], None] | None = None) -> int:
         """The next version: `buckets` (or all) of the changed tables hold these rows, other buckets and tables what they held.
-        Fails if the version is not `expect` any more. segments are added to the indexes, or replace theirs."""
+        Fails if the version is not `expect` any more. segments are added to the indexes, or replace theirs. verify is called
+        with the manifest when all is written and before anyone sees it."""
         manifest, now = self.manifest(), self.version
         if expect is not None and now != expect:
             raise RuntimeError("the store changed meanwhile")
@@ -123,6 +125,8 @@ class Store:
         manifest["signature"] = lineage.signature(SCHEMAS)
         if "items" in changed:
             manifest["lengths"] = self._lengths(manifest, buckets)
+        if verify is not None:
+            verify(manifest)
         self.files.publish(f"manifest-{now + 1}.json", json.dumps(manifest))
         return now + 1
 
@@ -371,7 +375,7 @@ class Store:
 
     def recover(self, others: list[str], dry_run: bool = False, strict: bool = False) -> dict[str, int]:
         """Union other stores, of any known layout, into this one. Under the lock: all are read, the union is planned, written,
-        compared with the plan and published, and only if none of the stores moved meanwhile. A message with different contents,
+        compared with the plan, and published only if none of the stores moved meanwhile. A message with different contents,
         or (strict) an identity that is no uuid, rejects all. Files that only others had are marked recovered."""
         stores = [self, *[Store(self.spark, o) for o in others]]
         with self.lock():
@@ -391,14 +395,22 @@ class Store:
             unlisted = union.select(F.col("source_path").alias("path")).distinct().join(listed.select("path"), "path", "left_anti")
             nothing = [F.lit(RECOVERED).alias("hash"), F.current_timestamp().alias("last_indexed"), F.lit(None).cast("bigint").alias("file_size"), F.lit(None).cast("timestamp").alias("file_mtime")]
             changed["files"] = listed.unionByName(unlisted.select("path", *nothing))
-            if [s.fingerprint() for s in stores] != marks:
-                raise RuntimeError("a store changed meanwhile")
-            before = self.version
+
+            def verify(manifest: dict) -> None:
+                """What was written is the plan's rows, under their indexes, and no store moved."""
+                written = self._read(manifest, "items", SCHEMAS["items"])
+                if differences(union, written):
+                    raise RuntimeError("the recovered messages differ from their plan")
+                covered = written.where(F.col("content_type").isin(search.PROSE) & (F.size(search.prose_tokens(F.col("text"))) > 0)).select("id")
+                folders = [f"{self.root}/{f}" for f in manifest["segments"][index.PROSE]]
+                indexed = self.spark.read.schema(index.SCHEMAS[index.PROSE]).parquet(*folders).select("id").distinct()
+                if differences(covered.distinct(), indexed):
+                    raise RuntimeError("the recovered index differs from its messages")
+                if [s.fingerprint() for s in stores] != marks:
+                    raise RuntimeError("a store changed meanwhile")
+
             self.snapshot()
-            version = self.commit(changed, expect=before, segments=self._indexed(union), replace_segments=True)
-            if differences(union, self.table("items")) or [s.fingerprint() for s in stores[1:]] != marks[1:]:
-                self.files.delete(f"manifest-{version}.json")  # readers go back to the version before
-                raise RuntimeError("the recovered store differs from its plan")
+            self.commit(changed, expect=marks[0][0], segments=self._indexed(union), replace_segments=True, verify=verify)
             return {"rows": self.table("items").count(), "conflicts": 0}
 
 
