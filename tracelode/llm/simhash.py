@@ -207,13 +207,20 @@ def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 2, seed: int
     Repeated doc_ids keep their rows. A null doc_id joins its component but is never the component_id unless all are null.
     """
     prints = stored(fingerprints(docs, width, seed), "prints")
-    distinct = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")), "distinct")
-    edges = stored(links(distinct, radius, max_shard), "links")
+    distinct = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")), "distinct")
+    edges = stored(links(distinct.select("fp"), radius, max_shard), "links")
     if edges.isEmpty():
-        roots = distinct.select("fp", F.col("rep").alias("component_id"))
+        roots = distinct.select("fp", F.col("rep").alias("component_id"), "n")
     else:
         found = stored(components(edges), "components")
-        merged = found.join(distinct, F.col("node") == F.col("fp")).groupBy("root").agg(F.min("rep").alias("component_id"))
+        merged = found.join(distinct.select("fp", "rep"), F.col("node") == F.col("fp")).groupBy("root").agg(F.min("rep").alias("component_id"))
         of = found.join(merged, "root").select(F.col("node").alias("fp"), "component_id")
-        roots = distinct.join(of, "fp", "left").select("fp", F.coalesce("component_id", "rep").alias("component_id"))
-    return prints.join(stored(roots, "roots"), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+        roots = distinct.join(of, "fp", "left").select("fp", F.coalesce("component_id", "rep").alias("component_id"), "n")
+    roots = stored(roots, "roots")
+    # fingerprints of over a thousandth of all rows, as that of empty texts: less than a thousand, found without a shuffle
+    total = distinct.agg(F.sum("n")).collect()[0][0] or 0
+    hot = roots.where(F.col("n") * 1000 > total).select("fp", F.struct("component_id").alias("hot"))
+    marked = prints.join(F.broadcast(hot), "fp", "left")
+    rest = marked.where("hot is null").drop("hot").join(roots.where(F.col("n") * 1000 <= total).select("fp", "component_id"), "fp")
+    every = marked.where("hot is not null").select("fp", "doc_id", "hot.component_id").unionByName(rest)
+    return every.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
