@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
+import gc
 import shutil
 import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -88,6 +92,28 @@ def in_bitmap(df: DataFrame, h: str, bits: DataFrame, how: str = "left_semi") ->
     return df.join(F.broadcast(bits), (F.floor(F.pmod(df[h], F.lit(BITMAP)) / 64).cast("int") == bits["slot"]) & held, how)
 
 
+def give_back(result=None):
+    """Return memory that is free inside this Python worker to the system, and the result: idle workers stay beside their
+    executor, and those of the next stage must fit in as well."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not glibc
+        ctypes.CDLL(None).malloc_trim(0)
+    return result
+
+
+def frugal(run):
+    """A function of batches that gives memory back when it ends."""
+
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return wrapped
+
+
 def pack(values: np.ndarray) -> bytes:
     return zstandard.compress(np.ascontiguousarray(values).tobytes(), 1)
 

@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import crc_mod, discard, pack, stored, unpack
+from ._common import crc_mod, discard, frugal, pack, stored, unpack
 
 #: Both the context before a text's first word and the token after its last.
 EDGE = np.uint64(0x9AE16A3B2F90404F)
@@ -129,7 +129,7 @@ def _blocks(docs: DataFrame, size: int) -> DataFrame:
         if parts:
             yield closed()
 
-    return docs.mapInArrow(run, _BLOCK)
+    return docs.mapInArrow(frugal(run), _BLOCK)
 
 
 def pack_planes(values: np.ndarray) -> bytes:
@@ -237,7 +237,7 @@ def _ask(blocks: DataFrame, orders: list[int], buckets: int, turn: int = 0, turn
                         types = (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
                         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=["order", "bucket", "block", "keys", "counts", "held"])
 
-    return blocks.select("block", "trained", "ends", "words", "local").mapInArrow(run, "order int, bucket int, block bigint, keys binary, counts binary, held binary")
+    return blocks.select("block", "trained", "ends", "words", "local").mapInArrow(frugal(run), "order int, bucket int, block bigint, keys binary, counts binary, held binary")
 
 
 _ROWS = "kind string, order int, bucket int, block bigint, n bigint, m bigint, x binary, y binary"

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import bitmap, discard, in_bitmap, pack, stored, unpack
+from ._common import bitmap, discard, frugal, give_back, in_bitmap, pack, stored, unpack
 from .katz import _filled, distinct, pack_planes, pack_sorted, unpack_planes, unpack_sorted
 from .simhash import components, links
 
@@ -98,7 +98,7 @@ def _blocks(nodes: DataFrame, width: int, size: int, buckets: int) -> DataFrame:
         if parts:
             yield closed()
 
-    return nodes.mapInArrow(run, _BLOCK)
+    return nodes.mapInArrow(frugal(run), _BLOCK)
 
 
 def _holders(asked: pa.Table) -> pa.Table:
@@ -109,7 +109,7 @@ def _holders(asked: pa.Table) -> pa.Table:
     keys, of, _ = distinct(np.concatenate(parts))
     held = np.bincount(of, np.concatenate([unpack_planes(y, np.uint32) for y in asked.column("y").to_pylist()]), len(keys)).astype(np.int64)[of]
     out = [(pack_planes(held[a:b]), pack_sorted(keys[of[a:b]][held[a:b] > 1])) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-    return pa.table({"bucket": asked.column("bucket"), "block": asked.column("block"), "held": pa.array([h for h, _ in out], pa.binary()), "keys": pa.array([k for _, k in out], pa.binary())})
+    return give_back(pa.table({"bucket": asked.column("bucket"), "block": asked.column("block"), "held": pa.array([h for h, _ in out], pa.binary()), "keys": pa.array([k for _, k in out], pa.binary())}))
 
 
 def _prefix_rows(key: tuple, block: pa.Table, answers: pa.Table) -> pa.Table:
@@ -131,7 +131,7 @@ def _prefix_rows(key: tuple, block: pa.Table, answers: pa.Table) -> pa.Table:
     keep = (at < size[of]) & (held[places] > 1)
     kept = of[keep]
     nth = np.arange(len(kept)) - np.searchsorted(kept, kept)
-    return pa.table({"nth": pa.array(nth.astype(np.int32)), "h": pa.array(keys[places[keep]].view(np.int64)), "node": pa.array(nodes[of[keep]]), "n": pa.array(n[of[keep]].astype(np.int32)), "at": pa.array(at[keep].astype(np.int32))})
+    return give_back(pa.table({"nth": pa.array(nth.astype(np.int32)), "h": pa.array(keys[places[keep]].view(np.int64)), "node": pa.array(nodes[of[keep]]), "n": pa.array(n[of[keep]].astype(np.int32)), "at": pa.array(at[keep].astype(np.int32))}))
 
 
 def _prints(blocks: DataFrame) -> DataFrame:
@@ -203,7 +203,7 @@ def _met(rows: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(node[large]), pa.nulls(int(large.sum()), pa.int64()), pa.array(h[large]), pa.array(n[large]), pa.array(at[large])], schema=fields)
 
     dealt = rows.repartition("h").sortWithinPartitions("h", "n", "node").select("h", "n", "node", "at", "root")
-    return dealt.mapInArrow(run, "a bigint, b bigint, h bigint, n int, at int")
+    return dealt.mapInArrow(frugal(run), "a bigint, b bigint, h bigint, n int, at int")
 
 
 def _apart(members: DataFrame) -> DataFrame:
@@ -233,7 +233,7 @@ def _apart(members: DataFrame) -> DataFrame:
                     both = np.concatenate(out)
                     yield pa.RecordBatch.from_arrays([pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())], names=["a", "b"])
 
-    return members.repartition("h").sortWithinPartitions("h", "n", "node").select("h", "n", "node", "at", "root", "parities").mapInArrow(run, "a bigint, b bigint")
+    return members.repartition("h").sortWithinPartitions("h", "n", "node").select("h", "n", "node", "at", "root", "parities").mapInArrow(frugal(run), "a bigint, b bigint")
 
 
 def _sets(nodes: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
@@ -253,7 +253,7 @@ def _sets(nodes: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.binary())], names=["node", "found"])
 
     kept = in_bitmap(nodes, "node", bitmap(wanted.select(F.col("node").alias("h"))))
-    return stored(kept.mapInArrow(run, "node bigint, found binary").dropDuplicates(["node"]), "sets")
+    return stored(kept.mapInArrow(frugal(run), "node bigint, found binary").dropDuplicates(["node"]), "sets")
 
 
 def _verified(pairs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
@@ -271,7 +271,7 @@ def _verified(pairs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
             yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     joined = pairs.join(sets.select(F.col("node").alias("a"), F.col("found").alias("x")).hint("merge"), "a").join(sets.select(F.col("node").alias("b"), F.col("found").alias("y")).hint("merge"), "b")
-    return stored(joined.select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint"), "verified")
+    return stored(joined.select("a", "b", "x", "y").mapInArrow(frugal(run), "a bigint, b bigint"), "verified")
 
 
 def _rooted(rows: DataFrame, found: DataFrame | None) -> DataFrame:

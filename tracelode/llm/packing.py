@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import stored
+from ._common import frugal, stored
 
 _LOADED: dict[str, object] = {}
 
@@ -61,7 +61,7 @@ def tokenized(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
                 seq, before = seq + k, before + int(n.sum())
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "part int, seq bigint, before bigint, doc_id bigint, n bigint, ids binary")
+    return rows.mapInArrow(frugal(run), "part int, seq bigint, before bigint, doc_id bigint, n bigint, ids binary")
 
 
 def windows(total: int, length: int) -> list[tuple[int, int]]:

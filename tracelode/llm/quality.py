@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from ._common import crc_mod, stored
+from ._common import crc_mod, frugal, stored
 
 #: Single bytes whose shares are inputs, beside the shares of byte classes.
 MARKS = b"|#$%&*@<>{}[]()/\\_=+-~^.,;:!?'\"\t\n"
@@ -169,7 +169,7 @@ def _feature_rows(docs: DataFrame) -> DataFrame:
 
     text = F.col("text").cast("string")
     keyed = docs.select("doc_id", F.xxhash64(F.lit(11), "doc_id", text).alias("order"), F.pmod(F.xxhash64(F.lit(12), "doc_id"), F.lit(2)).cast("int").alias("half"), text.alias("text"))
-    return keyed.mapInArrow(run, "doc_id bigint, order bigint, half int, x array<float>")
+    return keyed.mapInArrow(frugal(run), "doc_id bigint, order bigint, half int, x array<float>")
 
 
 def _histograms(rows: DataFrame, networks: list[Network]) -> dict[tuple[int, bool], np.ndarray]:
@@ -233,4 +233,4 @@ def score(docs: DataFrame, network: Network, threshold: float = 0.3, keep: list[
                 scores = net.value.score(np.array([features(t) for t in b.column(b.num_columns - 1).to_pylist()]))
                 yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(scores)], names=[*b.schema.names[:-1], "score"])
 
-    return kept.mapInArrow(run, schema).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    return kept.mapInArrow(frugal(run), schema).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
