@@ -55,13 +55,24 @@ def ingested(s: SparkSession, d: str) -> store.Store:
     return out
 
 
+_BUILT: dict[tuple[str, str], store.Store] = {}
+
+
+def built(s: SparkSession, d: str) -> store.Store:
+    """One ingested store for each application and folder, for queries that only read it."""
+    key = (s.sparkContext.applicationId, d)
+    if key not in _BUILT:
+        _BUILT[key] = ingested(s, d)
+    return _BUILT[key]
+
+
 _CALLS = "calls AS (SELECT event_id, user_id, CASE WHEN event_type = 'error' THEN 'Bash' ELSE event_type END AS tool_name, 'k' || k AS command_head, CASE WHEN event_type <> 'view' THEN event_type = 'error' END AS is_error, CASE WHEN event_type = 'error' THEN k END AS exit_code, ts FROM (SELECT *, (props::JSON ->> '$.k')::INTEGER AS k FROM events))"
 
 
 @query(f"WITH {_CALLS} SELECT tool_name, command_head, count(*) AS cnt FROM calls GROUP BY ALL")
 def ingest_commands(s, d):
     """One event a call, over a store."""
-    return requests.pattern_page(ingested(s, d), requests.PatternRequest("commands", limit=0))
+    return requests.pattern_page(built(s, d), requests.PatternRequest("commands", limit=0))
 
 
 _OF_P2 = "user_id % 16 IN (SELECT f FROM firsts WHERE p = 2)"
@@ -70,18 +81,18 @@ _OF_P2 = "user_id % 16 IN (SELECT f FROM firsts WHERE p = 2)"
 @query(f"WITH firsts AS (SELECT user_id % 16 AS f, arg_min(user_id % 5, (ts, event_id)) AS p FROM events GROUP BY 1), {_CALLS} SELECT tool_name, exit_code, count(*) AS cnt, (SELECT count(is_error) FROM calls WHERE {_OF_P2}) AS coverage FROM calls WHERE is_error AND {_OF_P2} GROUP BY ALL")
 def ingest_failures(s, d):
     """A file's project is that of its first working directory."""
-    return requests.pattern_page(ingested(s, d), requests.PatternRequest("failures", project="p2", limit=0))
+    return requests.pattern_page(built(s, d), requests.PatternRequest("failures", project="p2", limit=0))
 
 
 @query(f"WITH {_CALLS} SELECT message_uuid, is_error, exit_code FROM (SELECT 'c' || event_id || '#t0' AS message_uuid, is_error, exit_code FROM calls)")
 def ingest_outcomes(s, d):
     """Outcomes of results, told on the calls."""
-    return ingested(s, d).table("tool_events").select("message_uuid", "is_error", "exit_code")
+    return built(s, d).table("tool_events").select("message_uuid", "is_error", "exit_code")
 
 
 @query(f"WITH {_CALLS} SELECT template_text, count(DISTINCT event_id) AS cnt FROM (SELECT event_id, unnest(['error: job of <*>', 'exit code <*>']) AS template_text FROM calls WHERE is_error) GROUP BY 1")
 def ingest_templates(s, d):
-    st = ingested(s, d)
+    st = built(s, d)
     return st.table("template_matches").join(st.table("templates"), "signature").groupBy("template_text").agg(F.count("*").alias("cnt"))
 
 
@@ -93,7 +104,7 @@ _SAID = f"""{_CALLS}, texts AS (SELECT 's' || event_id AS uuid, 'k' || k || ' it
 @query(f"WITH {_SAID} SELECT uuid, text, role, kind AS content_type, (row_number() OVER (PARTITION BY user_id % 16 ORDER BY ts, event_id, i) - 1)::INTEGER AS ordinal, date_trunc('second', ts)::TIMESTAMP AS timestamp FROM texts")
 def ingest_messages(s, d):
     """Texts, roles, types, times and the order of the messages in their files."""
-    return ingested(s, d).table("items").select("uuid", "text", "role", "content_type", "ordinal", "timestamp")
+    return built(s, d).table("items").select("uuid", "text", "role", "content_type", "ordinal", "timestamp")
 
 
 def _store_hits(st: store.Store, r: search.SearchRequest) -> DataFrame:
@@ -103,14 +114,14 @@ def _store_hits(st: store.Store, r: search.SearchRequest) -> DataFrame:
 @query(f"WITH {_SAID}, v_items AS (SELECT *, uuid AS id FROM texts WHERE kind = 'tool'), {_bm25_sql(_substring_rows(['exit', 'job']), ['a', 'b'])}".replace("SELECT id, round(0.0", "SELECT id AS uuid, round(0.0"))
 def store_search_tool(s, d):
     """Tool text through the stored index."""
-    return _store_hits(ingested(s, d), search.SearchRequest("Exit job", content_type="tool", limit=10_000_000))
+    return _store_hits(built(s, d), search.SearchRequest("Exit job", content_type="tool", limit=10_000_000))
 
 
 @query(f"WITH {_SAID}, r AS (SELECT uuid, user_id, 2 AS dl, (split_part(text, ' ', 1) LIKE 'k7%')::INTEGER AS tf FROM texts WHERE kind = 'text'), st AS (SELECT count(*) AS n, sum(tf) AS df FROM r), firsts AS (SELECT user_id % 16 AS f, arg_min(user_id % 5, (ts, event_id)) AS p FROM events GROUP BY 1) SELECT uuid, round(0.0 - (CASE WHEN ln((n - df + 0.5) / (df + 0.5)) <= 0 THEN 1e-6 ELSE ln((n - df + 0.5) / (df + 0.5)) END) * tf * 2.2 / (tf + 1.2), 6) AS score FROM r, st WHERE tf > 0 AND user_id % 16 IN (SELECT f FROM firsts WHERE p = 1)")
 def store_search_prose(s, d):
     """Prose through the stored index, of one project, role and tag; statistics are those of all prose."""
     r = search.SearchRequest("k7", project="p1", role="user", source="sessions", content_type="text", tag="debugging", limit=10_000_000)
-    return _store_hits(ingested(s, d), r)
+    return _store_hits(built(s, d), r)
 
 
 @query(f"WITH {_SAID}, kept AS (SELECT * FROM texts WHERE ts::TIMESTAMP >= TIMESTAMP '2024-01-15') SELECT 'items' AS name, count(*) AS n FROM kept UNION ALL SELECT 'tool_events', count(*) FROM kept WHERE uuid LIKE 'c%' UNION ALL SELECT 'files', count(DISTINCT user_id % 16) FROM kept")
@@ -123,7 +134,7 @@ def store_purge(s, d):
 @query(f"WITH {_SAID} SELECT uuid, CASE WHEN user_id % 16 % 2 = 0 THEN 'h' ELSE 'recovered' END AS hash FROM texts")
 def store_recover(s, d):
     """Every other file's store lost: what another store has is taken from there and marked."""
-    other = ingested(s, d)
+    other = built(s, d)
     st = store.Store(s, folder(s))
     even = (F.regexp_extract("path", "f=([0-9]+)/", 1).cast("int") % 2) == 0
     files = other.table("files").where(even)
