@@ -7,6 +7,7 @@ import random
 import unicodedata
 import zlib
 
+import duckdb
 import numpy as np
 import pytest
 import xxhash
@@ -177,6 +178,19 @@ def test_substring_dedup_of_hostile_texts(spark):
         assert {r["doc_id"]: (r["n_words"], r["n_removed"]) for r in substring_dedup.remove_repeats(docs, shard_segments=size).collect()} == want
 
 
+def test_substring_dedup_of_texts_that_repeat_only_themselves(spark, tmp_path):
+    """One segment in the corpus holds all windows that repeat: the query against its SQL."""
+    from tracelode.llm import queries
+
+    texts = ["one " * 25, "x y z " * 8, "l e f t " * 6 + "right " * 30, " ".join(f"v{i % 19}" for i in range(45)), "once " * 20, " ".join(f"n{i}" for i in range(60))]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = sorted(con.execute(queries.ORACLE_SQL["op2_substring_dedup"]).fetchall())
+    assert [r[2] for r in want] == [24, 21, 49, 26, 0, 0]
+    assert sorted(map(tuple, queries.op2(spark, str(tmp_path)).collect())) == want
+
+
 def test_quality_prior_and_fit():
     rng = np.random.default_rng(0)
     d = quality.FEATURES

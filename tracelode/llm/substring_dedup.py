@@ -2,8 +2,9 @@
 
 A window is `length` consecutive words. Windows are dealt to shards by content: a window's minimiser is the smallest
 hash among its `gram`-word grams, and a run of windows with one minimiser forms a segment. Equal windows have equal
-minimisers, hence meet in one shard, and a minimiser that occurs once in the corpus cannot repeat: its segments are
-dropped before any text moves. Tasks combine segments of equal bytes, each with its earliest place, before they are moved.
+minimisers, hence meet in one shard, and the windows of a minimiser that has one segment in the corpus, and there one
+place, cannot repeat: that segment is dropped before any text moves. Tasks combine segments of equal bytes, each with its
+earliest place, before they are moved.
 
 A shard's distinct segments, in the order of their earliest places, are indexed by an FM-index (wavelet matrix over the BWT
 of word numbers) with a bit vector that marks where neighbouring suffixes agree on fewer than `length` words. The
@@ -83,6 +84,19 @@ def segments(h: np.ndarray, ends: np.ndarray, length: int, gram: int, longest: i
     return of[first], value[first], at[first], np.diff(np.append(first, len(at)))
 
 
+def recurring(h: np.ndarray, begin: np.ndarray, minimiser: np.ndarray, windows: np.ndarray, length: int, gram: int) -> np.ndarray:
+    """Which segments, beginning at these places of h, hold the gram of their minimiser more than once. No other segment can
+    hold equal windows, for each of them has that gram at a place of its own."""
+    grams, found = gram_hashes(h, gram), np.zeros(len(begin), bool)
+    for lo in range(0, len(begin), 10_000):  # each gram lies in some three segments: little memory at a time
+        part = slice(lo, lo + 10_000)
+        size = windows[part] + length - gram
+        first = np.cumsum(size) - size
+        at = np.arange(size.sum()) + np.repeat(begin[part] - first, size)
+        found[part] = np.add.reduceat(grams[at] == np.repeat(minimiser[part], size), first, dtype=np.int64) > 1
+    return found
+
+
 # --- FM-index ------------------------------------------------------------------------------------------------------
 
 
@@ -204,7 +218,7 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def _minimisers(base: DataFrame, length: int, gram: int) -> DataFrame:
-    """(minimiser, same, kind, start, windows) of all segments."""
+    """(minimiser, same, kind, start, windows, recurs) of all segments."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _Hashes()
@@ -213,13 +227,15 @@ def _minimisers(base: DataFrame, length: int, gram: int) -> DataFrame:
                 b = batch.slice(at, 200)
                 same, kind = np.asarray(b.column(0)), np.asarray(b.column(1))
                 words = [np.array([hashes[w] for w in words_of(t)], dtype=np.uint64) for t in b.column(2).to_pylist()]
-                of, minimiser, start, windows = segments(np.concatenate(words), np.cumsum([len(w) for w in words]), length, gram)
+                h, ends = np.concatenate(words), np.cumsum([len(w) for w in words])
+                of, minimiser, start, windows = segments(h, ends, length, gram)
+                recurs = recurring(h, np.concatenate(([0], ends))[of] + start, minimiser, windows, length, gram)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(minimiser.view(np.int64)), pa.array(same[of]), pa.array(kind[of]), pa.array(start.astype(np.int32)), pa.array(windows.astype(np.int32))],
-                    names=["minimiser", "same", "kind", "start", "windows"],
+                    [pa.array(minimiser.view(np.int64)), pa.array(same[of]), pa.array(kind[of]), pa.array(start.astype(np.int32)), pa.array(windows.astype(np.int32)), pa.array(recurs)],
+                    names=["minimiser", "same", "kind", "start", "windows", "recurs"],
                 )
 
-    return base.select("same", "kind", "text").mapInArrow(run, "minimiser bigint, same bigint, kind bigint, start int, windows int")
+    return base.select("same", "kind", "text").mapInArrow(run, "minimiser bigint, same bigint, kind bigint, start int, windows int, recurs boolean")
 
 
 #: Bytes of distinct segments that a task keeps before it sends them on.
@@ -320,7 +336,7 @@ def repeats(docs: DataFrame, length: int = 20, gram: int = 5, shard_segments: in
     """
     base = _keyed(docs)
     places = stored(_minimisers(base, length, gram), "places")
-    counts = stored(places.groupBy("minimiser").agg(F.count("*").alias("n")).where("n > 1"), "counts")
+    counts = stored(places.groupBy("minimiser").agg(F.count("*").alias("n"), F.bool_or("recurs").alias("again")).where("n > 1 or again").drop("again"), "counts")
     candidates = places.join(counts, "minimiser").withColumn("hot", F.col("n") > shard_segments // 4)
     grouped = stored(candidates.groupBy("same", "kind").agg(F.collect_set(F.struct("start", "windows", "minimiser", "hot")).alias("segments")), "candidates")
     contents = stored(_contents(base.join(grouped.hint("merge"), ["same", "kind"]), length), "contents")
