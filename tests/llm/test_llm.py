@@ -191,6 +191,33 @@ def test_substring_dedup_of_texts_that_repeat_only_themselves(spark, tmp_path):
     assert sorted(map(tuple, queries.op2(spark, str(tmp_path)).collect())) == want
 
 
+def test_substring_dedup_of_random_rows(spark):
+    """Periods of 1 to 25 words, shared and own passages, all separators, characters that are none, ids in any order."""
+    rng = random.Random(9)
+    words, spaces = ["a", "B", "b", "é", "\x00", "\x85", "\x1c", "\xa0", "\u3000x"] + [f"w{i}" for i in range(90)], [" ", " ", "\n", "\t", "\r\n", "\x0b", "\x0c", "  "]
+    passages, texts = [rng.choices(words, k=60) for _ in range(8)], [None, "", " \n", "q " * 20, "q " * 21]
+    for i in range(250):
+        parts = []
+        for j in range(rng.randrange(1, 5)):
+            own = [f"u{i}-{j}-{k}" for k in range(rng.randrange(1, 26))]
+            at = rng.randrange(40)
+            parts += rng.choice([(own * 60)[: rng.randrange(1, 60)], rng.choices(words, k=rng.randrange(40)), rng.choice(passages)[at : at + rng.randrange(60)]])
+        texts.append("".join(w + rng.choice(spaces) for w in parts))
+    rows = list(zip(rng.sample(range(-(10**12), 10**12), len(texts)), texts, strict=True))
+    seen, want = set(), {}
+    for i, t in sorted(rows):
+        ws, gone = (t or "").encode().split(), set()
+        for s in range(len(ws) - 19):
+            w = tuple(ws[s : s + 20])
+            if w in seen:
+                gone.update(range(s, s + 20))
+            seen.add(w)
+        want[i] = (len(ws), len(gone), hashlib.sha256(b" ".join(w for k, w in enumerate(ws) if k not in gone)).hexdigest())
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
+    for size in (40_000, 30):
+        assert {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in substring_dedup.remove_repeats(docs, shard_segments=size).collect()} == want
+
+
 def test_quality_prior_and_fit():
     rng = np.random.default_rng(0)
     d = quality.FEATURES
