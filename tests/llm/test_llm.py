@@ -218,6 +218,23 @@ def test_substring_dedup_of_random_rows(spark):
         assert {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in substring_dedup.remove_repeats(docs, shard_segments=size).collect()} == want
 
 
+def test_substring_dedup_of_batches_of_few_words(spark):
+    """Every number of words that a task's only text may have, around those of a gram and a window."""
+    texts = [None, *(" ".join(f"w{j}" for j in range(k)) for k in range(44))]
+    seen, want = set(), {}
+    for i, t in enumerate(texts):
+        ws, gone = (t or "").split(), set()
+        for s in range(len(ws) - 19):
+            w = tuple(ws[s : s + 20])
+            if w in seen:
+                gone.update(range(s, s + 20))
+            seen.add(w)
+        want[i] = (len(ws), len(gone), hashlib.sha256(" ".join(w for k, w in enumerate(ws) if k not in gone).encode()).hexdigest())
+    alone = spark.createDataFrame(spark.sparkContext.parallelize(list(enumerate(texts)), len(texts)), "doc_id bigint, text string")
+    got = substring_dedup.remove_repeats(alone).collect()
+    assert {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in got} == want
+
+
 def test_quality_prior_and_fit():
     rng = np.random.default_rng(0)
     d = quality.FEATURES

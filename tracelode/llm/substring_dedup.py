@@ -52,7 +52,8 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 def gram_hashes(h: np.ndarray, width: int) -> np.ndarray:
     """Hash of each run of `width` word hashes."""
-    n, acc = len(h) - width + 1, np.zeros(max(0, len(h) - width + 1), np.uint64)
+    n = max(0, len(h) - width + 1)
+    acc = np.zeros(n, np.uint64)
     for j in range(width):
         acc = acc * _MIX + h[j : j + n]
     return _mixed(acc)
