@@ -6,6 +6,9 @@ is a function of (spark, docs, sf_dir); all but the last return the columns of d
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,19 +17,34 @@ from tracelode.llm._common import bitmap, bounded_batches, in_bitmap, scratch, s
 from tracelode.llm.queries import tokenizer_path
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def bounded(stage: Stage) -> Stage:
+    """The stage with bounded batches, whether run() or another caller goes through STAGES."""
+
+    @wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        bounded_batches(spark, size="8m")
+        return stage(spark, docs, sf_dir)
+
+    return run_stage
 
 
+@bounded
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go (operator 3)."""
     network = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return quality.score(docs, network, keep=COLUMNS).where("predicted = 1").select(*COLUMNS)
 
 
+@bounded
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated lines go (operator 4); n_chars follows the text."""
     return line_dedup.dedup_lines(docs, keep=["lang", "source"]).select("doc_id", F.col("kept_text").alias("text"), "lang", "source", F.char_length("kept_text").cast("long").alias("n_chars"))
 
 
+@bounded
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays, the one with the smallest id.
 
@@ -41,6 +59,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return in_bitmap(marked, "id_hash", bits, "left_anti").select(*COLUMNS).unionByName(perhaps.select(*COLUMNS))
 
 
+@bounded
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with benchmark passages go (operator 7), by row and text, so null and repeated ids are no exception."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
@@ -48,6 +67,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return found.where("not contaminated").select(*COLUMNS)
 
 
+@bounded
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of packed sequences (operator 10)."""
     return packing.pack_documents(docs, tokenizer_path())
@@ -67,7 +87,6 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply the stages to documents; each result is written as Parquet and read again."""
-    bounded_batches(spark)
     docs, base = spark.read.parquet(f"{sf_dir}/documents.parquet"), scratch(spark)
     for i, (name, stage) in enumerate(STAGES):
         path = f"{base}/{i}-{name}"

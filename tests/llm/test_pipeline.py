@@ -142,3 +142,22 @@ def test_empty_tables_and_the_whole_run(spark, docs, odd):
     out = corpus_pipeline.run(spark, FOLDER)
     kept = {r["doc_id"] for r in out.select("doc_id").distinct().collect()}
     assert 0 < len(kept) < docs.count() and [n for n, _ in corpus_pipeline.STAGES] == ["quality_classifier", "line_dedup", "simhash_near_dedup", "benchmark_decontamination", "packing"]
+
+
+def test_every_stage_bounds_its_batches_without_run(spark, odd):
+    import pyarrow as pa
+
+    keys = [f"spark.sql.execution.arrow.max{what}PerBatch" for what in ("Records", "Bytes")]
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows]), pa.array([b.nbytes])], names=["rows", "bytes"])
+
+    for name, stage in corpus_pipeline.STAGES:
+        for key in keys:
+            spark.conf.unset(key)
+        stage(spark, odd.limit(0), FOLDER)
+        for length in (1, 10_000):
+            got = spark.range(0, 5_000, 1, 1).selectExpr(f"repeat('x', {length}) AS text").mapInArrow(sizes, "rows bigint, bytes bigint").collect()
+            assert sum(r["rows"] for r in got) == 5_000, name
+            assert max(r["rows"] for r in got) <= 2_000 and max(r["bytes"] for r in got) < 9_000_000, name

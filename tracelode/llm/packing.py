@@ -114,4 +114,4 @@ def pack_documents(docs: DataFrame, tokenizer: str, length: int = 2048, end_id:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
 
     schema = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint, ids binary"
-    return tokens.select("part", "before", "doc_id", "n", "ids").mapInArrow(run, schema)
+    return tokens.select("part", "before", "doc_id", "n", "ids").mapInArrow(frugal(run), schema)
